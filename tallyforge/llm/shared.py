@@ -123,3 +123,22 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     x *= powers(INVERSE, len(sums))[start]
     x += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mixed(x)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes with inside[byte], which never cross rows; n+1 word counts up to each row."""
+    mask = inside[data]
+    edge = np.zeros(len(data) + 1, bool)  # a row starts here
+    edge[offsets] = True
+    begin = mask.copy()
+    begin[1:] &= ~mask[:-1] | edge[1:-1]
+    end = mask
+    end[:-1] &= ~mask[1:] | edge[1:-1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
+
+
+#: Byte tables: lower case for A-Z alone; letters, digits and all of UTF-8's longer forms; all but space and 0x09-0x0D.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+SOLID = np.array([b not in (32, 9, 10, 11, 12, 13) for b in range(256)])
