@@ -1,8 +1,65 @@
-"""The corpus pipeline: STAGES in order, each over all that the one before it kept."""
+"""The corpus pipeline: STAGES in order, each over all rows that the one before it kept.
 
-STAGES = []
+Every function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import exact_dedup, minhash, mixing, packing, toxicity
+from tallyforge.llm.shared import dropped, scratch, table
+
+
+def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs that a table of doc_id and kept keeps; a row that repeats a kept id counts once, a null id stays."""
+    ids = decisions.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    own = docs.join(ids, "doc_id", "left_semi")
+    twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if not twice.isEmpty():
+        repeats = own.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        own = own.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(repeats.select(docs.columns))
+    return own.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, exact_dedup.exact_groups(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, minhash.near_groups(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs, table(spark, sf_dir, "labels"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(docs)
+    return pieces.select("doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", F.crc32("ids").alias("ids_crc32"))
+
+
+STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_exact_copies), ("MinHash near-dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
+
+#: The model stages and the tokenizer cannot be put in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each stage's rows are written to the shared folder and read by the next."""
+    docs, read = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        path = scratch(spark, f"stage-{stage.__name__}")
+        out.write.parquet(path)
+        if read is not None:
+            dropped(spark, read)
+        docs = read = spark.read.parquet(path)
+    return docs

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm.components import components
 from tallyforge.llm.shared import LOWER, SOLID, buffers, dropped, mixed, prefix_sums, slices, span_hashes, stored, text_or_empty, words_of
@@ -132,7 +133,7 @@ def likely(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) ->
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def estimated(left: pa.Array, right: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
     if not len(left):
         return pa.array([], pa.float64())
@@ -141,7 +142,7 @@ def estimated(left: pa.Array, right: pa.Array, n: pa.Array, m: pa.Array) -> pa.A
     return pa.array(np.concatenate([likely(x[i : i + 2000], y[i : i + 2000], *(s[i : i + 2000] for s in sizes)) for i in range(0, len(x), 2000)]))
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def similar(left: pa.Array, right: pa.Array) -> pa.Array:
     """Whether two full sets (sorted little-endian uint64) reach the threshold, in whole numbers."""
     out = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import exact_dedup, packing, toxicity
+from tallyforge.llm import embeddings, exact_dedup, minhash, mixing, packing, sharding, suffixes, toolcalls, toxicity, warc
 from tallyforge.llm.shared import table
 
 
@@ -16,6 +16,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.turns(table(spark, sf_dir, "conversations"))
+    rows = toolcalls.linked(calls, results, toolcalls.REPLY)
+    return rows.select("conv_id", "call_id", "call_turn", "result_turn", "depth", "status", F.array_join("faults", "; ").alias("faults"), "line")
+
+
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", [f"shard-{i:03d}" for i in range(256)])
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +46,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -37,5 +67,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+SQL_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     r AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": SQL_EXACT}
+    return {"op8_exact_dedup": SQL_EXACT, "op10_warc": SQL_WARC}

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import LETTERS, LOWER, buffers, mixed, prefix_sums, slices, span_hashes, text_or_empty, words_of
 
-BITS, MOST_ROWS, EPOCHS, THRESHOLD = 20, 16_384, 4, 0.7
+BITS, MOST_ROWS, EPOCHS, THRESHOLD = 20, 16_384, 6, 0.7
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,60 +68,69 @@ def held_out(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1
 
 
-def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """The places that have a weight, their weights, and the intercept."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(~held_out())
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+#: A model of one class: the places that have a weight, their weights, and the intercept.
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+def trained(docs: DataFrame, labels: DataFrame, classes: list[Column], most_rows: int = MOST_ROWS) -> list[Model]:
+    """A model for each of some 0/1 columns of the labels, from one bounded sample."""
+    ys = [f"y{k}" for k in range(len(classes))]
+    known = labels.filter(F.col("doc_id").isNotNull()).filter(~held_out()).select("doc_id", *[c.cast("double").alias(y) for c, y in zip(classes, ys, strict=True)]).dropna()
+    known = known.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in ys]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")  # most_rows bounds it
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for batch in batches:
             data, offsets = buffers(batch["text"])
-            ids, ys = batch["doc_id"].to_pylist(), batch["y"].to_pylist()
-            for i, (doc, y) in enumerate(zip(ids, ys, strict=True)):
+            for i, row in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", *ys)), strict=True)):
                 _, places = features(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i])
-                key = int(mixed(np.array([doc & (2**64 - 1)], np.uint64))[0])
-                texts.append((key, doc, np.unique(places).astype(np.int64), y))
-        texts.sort(key=lambda t: t[:2])  # the same model however the rows came in
-        w, b = learn([t[2:] for t in texts])
-        at = np.flatnonzero(w)
-        yield pa.record_batch([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], b), pa.float64())], ["place", "weight"])
-
-    found = rows.coalesce(1).mapInArrow(fit, "place long, weight double").toArrow()
-    places, weights = found["place"].to_numpy(), found["weight"].to_numpy()
-    return places[places >= 0], weights[places >= 0], float(weights[places < 0].sum())
-
-
-def scorer(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Callable[[Column], Column]:
+                key = int(mixed(np.array([row[0] & (2**64 - 1)], np.uint64))[0])
+                texts.append((key, *row, np.unique(places).astype(np.int32)))
+        texts.sort(key=lambda t: t[:-1])  # the same model however the rows came in
+        for k in range(len(ys)):
+            w, b = learn([(t[-1], t[2 + k]) for t in texts])
+            at = np.flatnonzero(w)
+            yield pa.record_batch([pa.array(np.full(len(at) + 1, k), pa.int32()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], b), pa.float64())], ["k", "place", "weight"])
+
+    found = rows.coalesce(1).mapInArrow(fit, "k int, place long, weight double").toArrow()
+    of, places, weights = (found[c].to_numpy() for c in ("k", "place", "weight"))
+    return [(places[(of == k) & (places >= 0)], weights[(of == k) & (places >= 0)], float(weights[(of == k) & (places < 0)].sum())) for k in range(len(ys))]
+
+
+def margins(texts: pa.Array, models: list[Model]) -> np.ndarray:
+    """Texts x models: the intercept and the weights of a text's features, added up."""
+    tables = np.zeros((len(models), 1 << BITS), np.float32)
+    for table, (places, weights, _) in zip(tables, models, strict=True):
+        table[places] = weights
+    any_weight = (tables != 0).any(0)
+    data, offsets = buffers(texts)
+    out = np.tile([m[2] for m in models], (len(offsets) - 1, 1))
+    for i, j in slices(offsets, 1 << 20):
+        row, place = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        hit = np.flatnonzero(any_weight[place])
+        pair = np.unique(row[hit].astype(np.int64) << BITS | place[hit].astype(np.int64))  # presence
+        for k, table in enumerate(tables):
+            np.add.at(out[:, k], i + (pair >> BITS), table[pair & ((1 << BITS) - 1)])
+    return np.clip(out, -35, 35)
+
+
+def scorer(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
     """text column -> score column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, [F.col("toxic")]))
 
     def score(texts: pa.Array) -> pa.Array:
-        places, weights, intercept = shared.value
-        table = np.zeros(1 << BITS)
-        table[places] = weights
-        data, offsets = buffers(texts)
-        sums = np.full(len(offsets) - 1, intercept)
-        for i, j in slices(offsets, 1 << 20):
-            row, place = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            hit = np.flatnonzero(table[place])
-            pair = np.unique(row[hit].astype(np.int64) << BITS | place[hit].astype(np.int64))  # presence
-            np.add.at(sums, i + (pair >> BITS), table[pair & ((1 << BITS) - 1)])
-        return pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
+        return pa.array(1 / (1 + np.exp(-margins(texts, shared.value)[:, 0])))
 
     return F.arrow_udf(score, "double")
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    score = scorer(docs, trained(docs, labels))
-    rows = docs.select("doc_id", score(text_or_empty()).alias("score"))
-    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select("doc_id", scorer(docs, labels)(text_or_empty()).alias("score"))
+    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose texts are not scored as toxic."""
-    score = scorer(docs, trained(docs, labels))
-    return docs.filter(score(text_or_empty()) < threshold)
+    return docs.filter(scorer(docs, labels)(text_or_empty()) < threshold)
