@@ -1,0 +1,647 @@
+"""The queries over the driver's tables, by name, and the same in SQL. Each names the survey's operators that it covers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.functions import scalars as S
+from tallyforge.operators import graph, joins, pricing, retrieval, sequences, snapshots, usage
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows_of_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.from_events(table(spark, sf_dir, "events"))
+
+
+#: usage.from_events in SQL.
+U = """u AS (SELECT event_id AS id, user_id AS session_id, event_type AS agent, 'model-' || CAST(user_id % 5 AS VARCHAR) AS model, ts,
+  CASE WHEN event_type <> 'error' THEN CAST(floor(value * 100 + 0.5) AS BIGINT) END AS input_tokens,
+  CASE WHEN user_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS cache_read_tokens,
+  CASE WHEN event_id % 11 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) * 2 END AS output_tokens,
+  CASE WHEN event_id % 13 <> 0 THEN 1 END AS request_count FROM events)"""
+STATS = """sum(input_tokens)::BIGINT AS input_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+  sum(coalesce(request_count, 1))::BIGINT AS requests, count(DISTINCT session_id) AS sessions,
+  CASE WHEN sum(input_tokens) IS NOT NULL OR sum(output_tokens) IS NOT NULL THEN (coalesce(sum(input_tokens), 0) + coalesce(sum(output_tokens), 0))::BIGINT END AS total_tokens,
+  CASE WHEN sum(CASE WHEN cache_read_tokens IS NOT NULL THEN input_tokens END) <> 0 THEN
+    floor(10000.0 * sum(CASE WHEN input_tokens IS NOT NULL THEN cache_read_tokens END) / sum(CASE WHEN cache_read_tokens IS NOT NULL THEN input_tokens END))::BIGINT END AS cache_hit_basis_points,
+  count(*) FILTER (WHERE input_tokens IS NULL OR output_tokens IS NULL OR request_count IS NULL) AS rows_with_unknowns,
+  CASE WHEN count(*) FILTER (WHERE input_tokens IS NULL OR output_tokens IS NULL OR request_count IS NULL) > 0 THEN 'known lower bound' ELSE 'reported/reconstructed' END AS count_quality"""
+
+
+# Usage: AGG, FLT, SORT, SET
+@query(f"WITH {U} SELECT strftime(ts, '%Y-%m-%d') AS label, {STATS} FROM u WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY 1")
+def usage_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-01 to AGG-04, FLT-03, FLT-06, FLT-08."""
+    return usage.grouped(usage.dated(usage.within(rows_of_usage(spark, sf_dir), "2024-01-05", "2024-01-25"), "yyyy-MM-dd"), "label")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS label, o_orderpriority AS kind, count(*) AS n, sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT))::BIGINT AS cents FROM orders GROUP BY 1, 2")
+def usage_monthly_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-04."""
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "ts")
+    return usage.dated(rows, "yyyy-MM").groupBy("label", F.col("o_orderpriority").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long")).alias("cents"))
+
+
+@query(f"""WITH {U}, r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, agent, model, input_tokens FROM u)
+SELECT day, agent, model, CAST(GROUPING(day, agent, model) AS INT) AS level, sum(input_tokens)::BIGINT AS input_tokens, count(*) AS n
+FROM r GROUP BY GROUPING SETS ((day), (agent), (model), (agent, model), ())""")
+def usage_rollup_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-03, AGG-05, AGG-06, AGG-41 as grouping sets."""
+    return usage.rollup_sets(rows_of_usage(spark, sf_dir))
+
+
+@query(f"WITH {U} SELECT agent, model, CASE WHEN count(DISTINCT session_id) = 1 THEN 'one' ELSE 'many' END AS sessions_label, {STATS} FROM u GROUP BY agent, model")
+def usage_by_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-05, AGG-06."""
+    return usage.grouped(rows_of_usage(spark, sf_dir), "agent", "model").withColumn("sessions_label", F.when(F.col("sessions") == 1, "one").otherwise("many"))
+
+
+@query(f"""WITH {U} SELECT id, session_id,
+ sum(input_tokens) OVER (PARTITION BY session_id ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR PRECEDING AND CURRENT ROW)::BIGINT AS tokens_5h,
+ sum(input_tokens) OVER (PARTITION BY session_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)::BIGINT AS tokens_7d FROM u""")
+def rolling_5h_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-08."""
+    return usage.rolling(rows_of_usage(spark, sf_dir), {"tokens_5h": 5 * 3600, "tokens_7d": 7 * 86400})
+
+
+@query(f"""WITH {U}, m AS (SELECT agent, max(ts) AS latest FROM u GROUP BY agent)
+SELECT agent, sum(CASE WHEN ts > latest - INTERVAL 5 HOUR THEN input_tokens END)::BIGINT AS tokens_5h, sum(CASE WHEN ts > latest - INTERVAL 7 DAY THEN input_tokens END)::BIGINT AS tokens_7d
+FROM u JOIN m USING (agent) GROUP BY agent""")
+def rolling_anchor_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-09."""
+    return usage.anchored_totals(rows_of_usage(spark, sf_dir), {"tokens_5h": 5 * 3600, "tokens_7d": 7 * 86400})
+
+
+@query(f"""WITH {U}, p AS (SELECT model, sum(CASE WHEN ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15' THEN input_tokens END)::BIGINT AS before,
+ sum(CASE WHEN ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-02-01' THEN input_tokens END)::BIGINT AS now FROM u GROUP BY model)
+SELECT *, CASE WHEN before <> 0 THEN floor(1000.0 * (now - before) / before)::BIGINT END AS change_thousandths FROM p""")
+def period_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10."""
+    return usage.compared_periods(rows_of_usage(spark, sf_dir), "model", ("2024-01-01", "2024-01-15", "2024-02-01"))
+
+
+@query(f"""WITH {U}, t AS (SELECT agent, model, count(*) AS calls, sum(input_tokens)::BIGINT AS characters, round_even(sum(input_tokens)::DOUBLE / 4, 0)::BIGINT AS tokens FROM u GROUP BY agent, model)
+SELECT *, CAST(row_number() OVER (PARTITION BY agent ORDER BY characters DESC NULLS LAST, model) AS INT) AS place FROM t""")
+def tool_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11, SORT-05, SORT-06."""
+    return usage.ranked_tools(rows_of_usage(spark, sf_dir))
+
+
+@query("""SELECT l_orderkey, l_suppkey % 3 AS slot, max(l_quantity) AS quantity, max(l_linenumber) AS lines,
+ coalesce(arg_min(nullif(l_returnflag, 'N'), CASE WHEN l_returnflag <> 'N' THEN l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey END), 'unknown') AS flag FROM lineitem GROUP BY 1, 2""")
+def coalesce_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12, SET-01."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("slot"), F.col("l_linenumber").alias("lines"), F.col("l_quantity").alias("quantity"), F.when(F.col("l_returnflag") == "N", "unknown").otherwise(F.col("l_returnflag")).alias("flag"), (F.col("l_linenumber") * F.lit(100_000_000_000) + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("ord"))
+    return usage.coalesced(rows, ["l_orderkey", "slot"], "ord", ["quantity", "lines"], ["flag"])
+
+
+@query("""WITH r AS (SELECT o_custkey, 0 AS part, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, 1, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 1)
+SELECT o_custkey, arg_max(o_orderstatus, part * 1000000000000 + o_orderkey) AS o_orderstatus, max(o_totalprice) AS o_totalprice FROM r GROUP BY o_custkey""")
+def dataset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-13, SET-01, SET-02, STR-08."""
+    orders = table(spark, sf_dir, "orders")
+    parts = [orders.filter(F.col("o_orderkey") % 2 == k).withColumn("part", F.lit(k)) for k in (0, 1)]
+    return usage.merged(parts[0].unionByName(parts[1]), "o_custkey", ["part", "o_orderkey"], ["o_orderstatus"], ["o_totalprice"])
+
+
+@query(f"""WITH {U}, e AS (SELECT session_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM u GROUP BY session_id)
+SELECT * FROM e WHERE ended >= TIMESTAMP '2024-01-10' AND started < TIMESTAMP '2024-01-20'""")
+def session_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-07, AGG-14, WIN-21."""
+    return usage.overlapping(usage.extents(rows_of_usage(spark, sf_dir)), "2024-01-10", "2024-01-20")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, 4 AS requests, CAST(floor(o_totalprice + 0.5) AS BIGINT) AS cents FROM orders WHERE o_orderkey % 5 <> 0),
+b AS (SELECT l_orderkey AS k, count(*) AS requests, CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18,2))) + 0.5) AS BIGINT) AS cents FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1),
+j AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NULL OR (b.k IS NOT NULL AND b.requests >= a.requests AND b.cents >= a.cents AND (b.requests > a.requests OR b.cents > a.cents)) AS second, a.requests AS ar, a.cents AS ac, b.requests AS br, b.cents AS bc FROM a FULL JOIN b ON a.k = b.k)
+SELECT k, CASE WHEN second THEN 'second' ELSE 'first' END AS source, CASE WHEN second THEN br ELSE ar END AS requests, CASE WHEN second THEN bc ELSE ac END AS cents FROM j""")
+def source_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-15, AGG-36, JOIN-19."""
+    a = table(spark, sf_dir, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.lit(4).cast("long").alias("requests"), F.floor(F.col("o_totalprice") + 0.5).cast("long").alias("cents"))
+    b = table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 <> 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("requests"), F.floor(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")) + F.lit("0.5").cast("decimal(2,1)")).cast("long").alias("cents"))
+    return usage.preferred(a, b, "k", ["requests", "cents"])
+
+
+@query(f"""WITH {U}, o AS (SELECT session_id, id, coalesce(cache_read_tokens, 0) + id // 100 AS used, output_tokens AS tokens, ts FROM u),
+f AS (SELECT *, used < lag(used) OVER (PARTITION BY session_id ORDER BY id) AS falls FROM o),
+g AS (SELECT session_id, count(*) AS n, coalesce(bool_or(falls), false) AS falls, arg_min(used, id) AS lo, arg_max(used, id) AS hi, sum(tokens)::BIGINT AS tokens FROM f GROUP BY session_id),
+r AS (SELECT *, CASE WHEN n < 2 THEN 'too_few_samples' WHEN falls THEN 'not_monotone' WHEN hi - lo < 5 THEN 'span_too_small' ELSE 'calibrated' END AS reason FROM g)
+SELECT session_id, n, tokens, reason, CASE WHEN reason = 'calibrated' THEN floor(tokens::DOUBLE / (hi - lo))::BIGINT END AS tokens_per_point FROM r""")
+def quota_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-16, WIN-08, JOIN-10."""
+    rows = rows_of_usage(spark, sf_dir).select("session_id", "id", (F.coalesce("cache_read_tokens", F.lit(0)) + F.floor(F.col("id") / 100)).alias("used"), F.col("output_tokens").alias("tokens"))
+    return usage.calibrated(rows, "session_id", "id", "used", "tokens", least=2)
+
+
+@query("""WITH c AS (SELECT conv_id, role AS category, sum(length(coalesce(text, '')))::BIGINT AS characters, max(turn) AS latest_turn FROM conversations GROUP BY conv_id, role)
+SELECT *, round_even(characters / 4.0, 0)::BIGINT AS tokens, floor(characters / 6.0)::BIGINT AS lower_tokens, ceil(characters / 2.0)::BIGINT AS upper_tokens FROM c""")
+def context_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-17, AGG-18."""
+    return usage.composition(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT event_type AS code, count(*) AS occurrences, count(DISTINCT user_id) AS sources FROM events GROUP BY 1")
+def warning_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-19, FLT-10."""
+    return usage.histogram(table(spark, sf_dir, "events").select(F.col("event_type").alias("code"), "user_id"), "code", "user_id")
+
+
+@query(f"""WITH {U} SELECT agent, sum(CASE WHEN cache_read_tokens IS NULL THEN coalesce(request_count, 1) ELSE 0 END)::BIGINT AS unverified, count(*) FILTER (WHERE output_tokens IS NULL) AS unknown_output,
+CASE WHEN sum(input_tokens) > 50000 THEN 'heavy use' WHEN count(*) FILTER (WHERE output_tokens IS NULL) > 0 THEN 'incomplete' ELSE 'none' END AS insight FROM u GROUP BY agent""")
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-37 to AGG-39."""
+    rows = rows_of_usage(spark, sf_dir)
+    unknown = F.count_if(F.col("output_tokens").isNull())
+    rule = F.when(F.sum("input_tokens") > 50000, "heavy use").when(unknown > 0, "incomplete").otherwise("none")
+    return rows.groupBy("agent").agg(F.sum(F.when(F.col("cache_read_tokens").isNull(), F.coalesce("request_count", F.lit(1))).otherwise(0)).alias("unverified"), unknown.alias("unknown_output"), rule.alias("insight"))
+
+
+# Pricing: JOIN-04, JOIN-05, SCL-24
+CARD = """card AS (SELECT * FROM (VALUES ('A', CAST(NULL AS TIMESTAMP), TIMESTAMP '1995-01-01', 3.0, 0.3, 3.75, 6.0, 15.0, 2.0), ('A', TIMESTAMP '1995-01-01', CAST(NULL AS TIMESTAMP), 2.5, 0.25, 3.0, 5.0, 12.5, 2.0),
+ ('R', CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), 1.0, 0.1, 1.25, 2.0, 5.0, CAST(NULL AS DECIMAL(4, 2)))) t(card_model, f, e, rate_input, rate_read, rate_5m, rate_1h, rate_output, fast))"""
+
+
+def card(spark: SparkSession) -> DataFrame:
+    rows = [("A", None, "1995-01-01", "3.0", "0.3", "3.75", "6.0", "15.0", "2.0"), ("A", "1995-01-01", None, "2.5", "0.25", "3.0", "5.0", "12.5", "2.0"), ("R", None, None, "1.0", "0.1", "1.25", "2.0", "5.0", None)]
+    names = ["model", "effective_from", "effective_until", "rate_input", "rate_read", "rate_5m", "rate_1h", "rate_output", "fast_multiplier"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    return df.select("model", *[F.col(n).cast("timestamp_ntz").alias(n) for n in names[1:3]], *[F.col(n).cast("decimal(10,4)").alias(n) for n in names[3:8]], F.col("fast_multiplier").cast("decimal(8,4)").alias("fast_multiplier"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = (F.col("l_quantity") * 1000).cast("long")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("model"), F.col("l_shipdate").alias("ts"), q.alias("input"), F.when(F.col("l_linenumber") % 3 != 0, F.floor(q / 2).cast("long")).alias("cache_read"),
+        F.when(F.col("l_linenumber") % 4 != 0, F.floor(q / 10).cast("long")).alias("cache_write"), F.floor(q / 20).cast("long").alias("write_5m"), F.lit(0).cast("long").alias("write_1h"), F.floor(q / 5).cast("long").alias("output"),
+        F.when(F.col("l_linestatus") == "F", "fast").otherwise("standard").alias("speed"), F.when(F.col("l_suppkey") % 2 == 0, "us").otherwise("eu").alias("geo"),
+    )
+
+
+COST = """r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS model, l_shipdate AS ts, CAST(l_quantity * 1000 AS BIGINT) AS q, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_quantity * 1000 AS BIGINT) // 2 END AS rd,
+ CASE WHEN l_linenumber % 4 <> 0 THEN CAST(l_quantity * 1000 AS BIGINT) // 10 END AS wr, CAST(l_quantity * 1000 AS BIGINT) // 20 AS w5, CAST(l_quantity * 1000 AS BIGINT) // 5 AS o, l_linestatus = 'F' AS fast_speed, l_suppkey % 2 = 0 AS us FROM lineitem),
+j AS (SELECT * FROM r LEFT JOIN card ON model = card_model AND (f IS NULL OR ts >= f) AND (e IS NULL OR ts < e)),
+s AS (SELECT *, CASE WHEN card_model IS NULL THEN 'no_effective_rate' WHEN coalesce(rd, 0) + coalesce(wr, 0) > q THEN 'invalid_token_subsets' WHEN w5 > coalesce(wr, 0) THEN 'invalid_cache_ttl_split' WHEN fast_speed AND fast IS NULL THEN 'unknown_speed_rate' END AS reason,
+ coalesce(rd, 0) * rate_read + o * rate_output + w5 * rate_5m AS fixed, coalesce(wr, 0) - w5 AS rw, q - coalesce(rd, 0) - coalesce(wr, 0) AS ri, (CASE WHEN fast_speed THEN fast ELSE 1 END) * (CASE WHEN us THEN 1.1 ELSE 1.0 END) AS factor,
+ least(rate_input, CASE WHEN rd IS NULL THEN rate_read ELSE rate_input END, CASE WHEN wr IS NULL THEN least(rate_5m, rate_1h) ELSE rate_input END) AS lo,
+ greatest(rate_input, CASE WHEN rd IS NULL THEN rate_read ELSE rate_input END, CASE WHEN wr IS NULL THEN greatest(rate_5m, rate_1h) ELSE rate_input END) AS hi FROM j),
+c AS (SELECT *, CASE WHEN reason IS NULL THEN CAST(floor((fixed + rw * least(rate_5m, rate_1h) + ri * lo) * factor * 10 + 0.5) AS BIGINT) END AS lower_e7, CASE WHEN reason IS NULL THEN CAST(floor((fixed + rw * greatest(rate_5m, rate_1h) + ri * hi) * factor * 10 + 0.5) AS BIGINT) END AS upper_e7 FROM s)"""
+
+
+@query(f"WITH {CARD}, {COST} SELECT l_orderkey, l_linenumber, coalesce(reason, CASE WHEN lower_e7 = upper_e7 THEN 'priced' ELSE 'range' END) AS status, lower_e7, upper_e7 FROM c")
+def price_effective_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-04, SCL-24, AGG-40."""
+    rows = pricing.priced(pricing.effective(requests(spark, sf_dir), card(spark)))
+    e7 = lambda c: F.floor(F.col(c) * 10_000_000 + F.lit("0.5").cast("decimal(2,1)")).cast("long").alias(c.replace("cost", "e7"))
+    return rows.select("l_orderkey", "l_linenumber", "status", e7("lower_cost"), e7("upper_cost"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS model, CAST(l_quantity * 1000 AS BIGINT) AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(q * (CASE WHEN model = 'A' AND q > 40000 THEN 9 WHEN model = 'A' AND q > 20000 THEN 6 ELSE 3 END) AS BIGINT) AS millionths FROM r""")
+def price_tiers_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-05."""
+    tiers = spark.createDataFrame([("A", 1, 20000, "6", "1"), ("A", 2, 40000, "9", "1")], "model string, tier_no int, above long, i string, o string")
+    tiers = tiers.select("model", "tier_no", "above", F.col("i").cast("decimal(20,6)").alias("tier_input"), F.col("o").cast("decimal(20,6)").alias("tier_output"))
+    rows = requests(spark, sf_dir).withColumn("rate_input", F.lit("3").cast("decimal(20,6)")).withColumn("rate_output", F.lit("1").cast("decimal(20,6)"))
+    return pricing.with_tier(rows, tiers, "model", "input").select("l_orderkey", "l_linenumber", (F.col("input") * F.col("rate_input")).cast("long").alias("millionths"))
+
+
+# Sequences: WIN
+@query(f"""WITH {U}, t AS (SELECT *, sum(coalesce(input_tokens, 0)) OVER (PARTITION BY session_id ORDER BY id) AS run FROM u),
+s AS (SELECT id, session_id, CAST(CASE WHEN coalesce(cache_read_tokens, 50) < 5 THEN coalesce(input_tokens, 0) ELSE run END AS BIGINT) AS total, coalesce(input_tokens, 0) AS fresh FROM t),
+b AS (SELECT *, lag(total) OVER (PARTITION BY session_id ORDER BY id) AS before FROM s)
+SELECT id, session_id, total, CASE WHEN before IS NULL THEN total WHEN total = before THEN NULL WHEN total > before THEN total - before WHEN total = fresh THEN total END AS delta,
+ CASE WHEN before IS NULL THEN 'first' WHEN total = before THEN 'same' WHEN total > before THEN 'increment' WHEN total = fresh THEN 'reset' ELSE 'excluded' END AS kind FROM b""")
+def cumulative_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-01, SRC-03."""
+    return sequences.cumulative_delta(totals(spark, sf_dir), "session_id", "id", "total", "fresh").select("id", "session_id", "total", "delta", "kind")
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    rows = rows_of_usage(spark, sf_dir).withColumn("fresh", F.coalesce("input_tokens", F.lit(0)))
+    run = F.sum("fresh").over(Window.partitionBy("session_id").orderBy("id"))
+    return rows.withColumn("run", run).withColumn("total", F.when(F.coalesce("cache_read_tokens", F.lit(50)) < 5, F.col("fresh")).otherwise(F.col("run")))
+
+
+@query(f"""WITH {U}, t AS (SELECT session_id, id, sum(coalesce(input_tokens, 0)) OVER (PARTITION BY session_id ORDER BY id)::BIGINT AS total, sum(coalesce(output_tokens, 0)) OVER (PARTITION BY session_id ORDER BY id)::BIGINT AS out FROM u),
+d AS (SELECT * FROM t UNION ALL SELECT session_id, id + 1000000, total, out FROM t), f AS (SELECT *, row_number() OVER (PARTITION BY session_id, total, out ORDER BY id) AS nth FROM d)
+SELECT session_id, id, total, out, (total - coalesce(lag(total) OVER w, 0))::BIGINT AS delta_total, (out - coalesce(lag(out) OVER w, 0))::BIGINT AS delta_out FROM f WHERE nth = 1 WINDOW w AS (PARTITION BY session_id ORDER BY id, total, out)""")
+def endpoint_rederive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-02."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("session_id").orderBy("id")
+    rows = rows_of_usage(spark, sf_dir).select("session_id", "id", F.sum(F.coalesce("input_tokens", F.lit(0))).over(w).alias("total"), F.sum(F.coalesce("output_tokens", F.lit(0))).over(w).alias("out"))
+    return sequences.rederived(rows.unionByName(rows.withColumn("id", F.col("id") + 1_000_000)), "session_id", "id", ["total", "out"])
+
+
+@query(f"""WITH {U}, t AS (SELECT session_id, id, agent, coalesce(input_tokens, 0) AS own, sum(coalesce(input_tokens, 0)) OVER (PARTITION BY session_id ORDER BY id)::BIGINT AS total FROM u),
+n AS (SELECT session_id, arg_min(total - own, id) AS budget FROM t WHERE agent = 'purchase' GROUP BY session_id)
+SELECT t.session_id, id, total, budget FROM t LEFT JOIN n USING (session_id) WHERE agent <> 'purchase' AND (budget IS NULL OR total <= budget)""")
+def boundary_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-03."""
+    from pyspark.sql.window import Window
+
+    rows = rows_of_usage(spark, sf_dir).withColumn("own", F.coalesce("input_tokens", F.lit(0)))
+    rows = rows.withColumn("total", F.sum("own").over(Window.partitionBy("session_id").orderBy("id"))).select("session_id", "id", "agent", "own", "total")
+    out = sequences.before_native(rows.filter("agent <> 'purchase'"), rows.filter("agent = 'purchase'"), "session_id", "id", "total", "own")
+    return out.select("session_id", "id", "total", "budget")
+
+
+@query(f"""WITH {U}, t AS (SELECT session_id, id, coalesce(input_tokens, 0) AS a, coalesce(output_tokens, 0) AS b FROM u), l AS (SELECT *, lag(a) OVER w AS la, lag(b) OVER w AS lb, row_number() OVER w = 1 AS undated FROM t WINDOW w AS (PARTITION BY session_id ORDER BY id))
+SELECT session_id, id, a, b, undated, CASE WHEN coalesce(a < la, false) OR coalesce(b < lb, false) THEN a ELSE a - coalesce(la, 0) END AS delta_a, CASE WHEN coalesce(a < la, false) OR coalesce(b < lb, false) THEN b ELSE b - coalesce(lb, 0) END AS delta_b FROM l""")
+def agy_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-04, SRC-08."""
+    rows = rows_of_usage(spark, sf_dir).select("session_id", "id", F.coalesce("input_tokens", F.lit(0)).alias("a"), F.coalesce("output_tokens", F.lit(0)).alias("b"))
+    return sequences.agy_delta(rows, "session_id", "id", ["a", "b"])
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_type || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS filled,
+ event_type <> 'signup' AND last_value(CASE WHEN event_type = 'signup' THEN 1 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) IS NOT NULL AS inferred FROM events""")
+def forward_fill_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-06, JOIN-01."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") == "signup", F.concat("event_type", F.col("event_id").cast("string"))).alias("model"))
+    return sequences.filled(rows, "user_id", "event_id", "model").select("event_id", "user_id", "filled", "inferred")
+
+
+@query("""WITH s AS (SELECT event_id, user_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM events)
+SELECT *, segment = max(segment) OVER (PARTITION BY user_id) AS is_last FROM s""")
+def compaction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-07, WIN-22."""
+    return sequences.segments(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error").select("event_id", "user_id", "segment", "is_last")
+
+
+@query("SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-05."""
+    return sequences.newest(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "ts")
+
+
+@query("""WITH i AS (SELECT l_suppkey, l_linenumber, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS hi FROM lineitem),
+f AS (SELECT *, max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM i)
+SELECT l_suppkey, sum(greatest(0, hi - greatest(lo, coalesce(far + 1, lo)) + 1))::BIGINT AS covered, count(*) AS n FROM f GROUP BY l_suppkey""")
+def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-17."""
+    day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("lo"), (day + F.col("l_quantity").cast("long")).alias("hi"))
+    return sequences.union_length(rows, "l_suppkey", "lo", "hi")
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, event_id // 3 AS p FROM events), m AS (SELECT *, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS g FROM d)
+SELECT user_id, min(p) AS lo, max(p) AS hi FROM m GROUP BY user_id, g""")
+def contiguous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-18."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 3).cast("long").alias("p")).distinct()
+    return sequences.islands(rows, "user_id", "p")
+
+
+# Joins
+@query("""WITH c AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS call FROM events WHERE event_type = 'click' GROUP BY 1, 2), r AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS result FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT coalesce(c.user_id, r.user_id) AS user_id, coalesce(c.day, r.day) AS day, call, result, CASE WHEN call IS NULL THEN 'result_only' WHEN result IS NULL THEN 'call_only' ELSE 'both' END AS pairing FROM c FULL JOIN r ON c.user_id = r.user_id AND c.day = r.day""")
+def call_result_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-02."""
+    rows = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    side = lambda kind, name: rows.filter(F.col("event_type") == kind).groupBy("user_id", "day").agg(F.min("event_id").alias(name))
+    return joins.paired(side("click", "call"), side("view", "result"), ["user_id", "day"])
+
+
+@query("""WITH k AS (SELECT l_orderkey // 2 AS k, l_orderkey % 2 AS side, l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey AS n, l_suppkey % 4 AS snap FROM lineitem), p AS (SELECT DISTINCT k, snap FROM k WHERE side = 0),
+c AS (SELECT k.k, n, k.snap, CASE WHEN p.k IS NULL THEN 1 ELSE 0 END AS own FROM k LEFT JOIN p ON p.k = k.k AND p.snap = k.snap WHERE side = 1), s AS (SELECT *, max(own) OVER (PARTITION BY k ORDER BY n ROWS UNBOUNDED PRECEDING) AS started FROM c)
+SELECT k, n, snap FROM s WHERE started = 1""")
+def replay_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-03, SET-04."""
+    rows = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 2).cast("long").alias("k"), (F.col("l_orderkey") % 2).alias("side"), (F.col("l_linenumber") * F.lit(100_000_000_000) + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("n"), (F.col("l_suppkey") % 4).alias("snap"))
+    return joins.without_replay(rows.filter("side = 1").drop("side"), rows.filter("side = 0").drop("side"), "k", "n", ["snap"])
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, c_custkey // 3 AS parent, c_mktsegment = 'BUILDING' AS chosen FROM customer)
+SELECT k, parent FROM s WHERE chosen UNION ALL SELECT k, parent FROM s WHERE NOT chosen AND parent IN (SELECT k FROM s WHERE chosen)""")
+def lineage_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-07, JOIN-06, JOIN-07."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"), (F.col("c_mktsegment") == "BUILDING").alias("chosen"))
+    return joins.lineage(rows, F.col("chosen"), "k", "parent").select("k", "parent")
+
+
+@query("""SELECT e.event_id, coalesce(a.task, b.task, 'unclassified') AS task FROM events e LEFT JOIN (SELECT c_custkey AS k, 'task-' || c_nationkey AS task FROM customer WHERE c_custkey % 3 = 0) a ON a.k = e.user_id
+LEFT JOIN (SELECT c_custkey AS k, 'task-' || c_nationkey AS task FROM customer WHERE c_custkey % 3 = 0) b ON b.k = e.user_id // 2""")
+def task_map_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-08, UDF-10."""
+    mapping = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("session"), F.concat(F.lit("task-"), F.col("c_nationkey").cast("string")).alias("task"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), F.floor(F.col("user_id") / 2).cast("long").alias("parent"))
+    return joins.with_fallback(rows, mapping, "session", "parent", "task", "unclassified").select("event_id", "task")
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'click' AND user_id % 10 = 3 THEN 'exact' WHEN event_type IN ('click', 'view') THEN 'any-' || event_type END AS provider FROM events""")
+def attribution_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-09, SCL-25."""
+    mapping = spark.createDataFrame([("click", "3", "exact"), ("click", "*", "any-click"), ("view", "*", "any-view")], "agent string, session string, provider string")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("agent"), (F.col("user_id") % 10).cast("string").alias("session"))
+    return joins.with_wildcard(rows, mapping, "agent", "session", "provider").select("event_id", "provider")
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + l_linenumber AS hi FROM lineitem)
+SELECT a.l_suppkey, a.l_orderkey AS a_order, a.l_linenumber AS a_line, b.l_orderkey AS b_order, b.l_linenumber AS b_line FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.lo <= b.hi AND a.hi >= b.lo WHERE a.l_orderkey % 2 = 0 AND b.l_orderkey % 2 = 1""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-15, WIN-20."""
+    day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = table(spark, sf_dir, "lineitem")
+    side = lambda x, odd: rows.filter(F.col("l_orderkey") % 2 == odd).select("l_suppkey", F.col("l_orderkey").alias(f"{x}_order"), F.col("l_linenumber").alias(f"{x}_line"), day.alias(f"{x}_lo"), (day + F.col("l_linenumber")).alias(f"{x}_hi"))
+    return joins.overlaps(side("a", 0), side("b", 1), "l_suppkey", 16).select("l_suppkey", "a_order", "a_line", "b_order", "b_line")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), x AS (SELECT doc_id, md5(line) AS h FROM l),
+a AS (SELECT h, doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS nth FROM x WHERE doc_id % 2 = 0), b AS (SELECT h, doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS nth FROM x WHERE doc_id % 2 = 1)
+SELECT CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'departed' WHEN a.doc_id = b.doc_id THEN 'kept' ELSE 'moved' END AS status, count(*) AS n FROM a FULL JOIN b ON a.h = b.h AND a.nth = b.nth GROUP BY 1""")
+def multiset_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-17, JOIN-22, AGG-29, STR-11."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select(F.md5("line").alias("h"), "doc_id")
+    return joins.credited(lines.filter("doc_id % 2 = 0"), lines.filter("doc_id % 2 = 1"), "h", "doc_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Text
+WORDS = r"regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)"
+
+
+@query(f"SELECT doc_id, len({WORDS}) AS n_words, len(list_distinct({WORDS})) AS n_distinct, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CASE WHEN len({WORDS}) > 0 THEN length(array_to_string({WORDS}, '')) END AS letters FROM documents")
+def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-03, SCL-07, SCL-11, SET-03."""
+    w = S.words(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), S.token_estimate(F.col("text")).alias("tokens"), F.nullif(F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)), F.lit(0)).alias("letters"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) AS w FROM documents), a AS (SELECT w, CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' WHEN w LIKE '%sses' THEN w[:-3] WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN w[:-2] ELSE w END AS x FROM w),
+b AS (SELECT w, x, CASE WHEN x LIKE '%ing' AND length(x) > 5 THEN x[:-4] WHEN x LIKE '%ed' AND length(x) > 4 THEN x[:-3] END AS y FROM a),
+c AS (SELECT w, CASE WHEN y IS NULL THEN x WHEN length(y) > 2 AND right(y, 1) = y[-2] AND NOT regexp_matches(right(y, 1), '[aeiou]') THEN y[:-2] ELSE y END AS x FROM b),
+d AS (SELECT w, CASE WHEN x LIKE '%ization' THEN x[:-8] || 'ize' WHEN x LIKE '%ational' THEN x[:-8] || 'ate' WHEN x LIKE '%ation' THEN x[:-6] || 'ate' WHEN x LIKE '%fulness' THEN x[:-8] || 'ful' WHEN x LIKE '%ness' THEN x[:-5] WHEN x LIKE '%ment' THEN x[:-5] ELSE x END AS x FROM c)
+SELECT w AS word, CASE WHEN length(w) > 3 AND regexp_matches(w, '^[a-z]+$') THEN CASE WHEN x LIKE '%e' AND length(x) > 3 THEN x[:-2] ELSE x END ELSE w END AS stem FROM d""")
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-08, SCL-09."""
+    w = table(spark, sf_dir, "documents").select(F.explode(S.words(F.col("text"))).alias("word")).distinct()
+    return w.select("word", S.stem(F.col("word")).alias("stem"))
+
+
+@query(r"""SELECT p_partkey, regexp_extract_all(lower(regexp_replace(regexp_replace(replace(p_name, ' ', '') || 'HTTPServer' || p_brand, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '([\p{L}\p{N}]+)', 1) AS parts FROM part""".replace("SELECT p_partkey, ", "SELECT p_partkey, array_to_string(").replace(" AS parts", ", ' ') AS parts"))
+def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-05."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("HTTPServer"), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.split_identifier(name), " ").alias("parts"))
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(text, '{S.ANY_SECRET}', 1)) AS n_secrets, md5(regexp_replace(text, '{S.ANY_SECRET}', '[redacted]', 'g')) AS redacted FROM documents")
+def secret_spans_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-18 to FLT-20, FLT-25, SCL-04."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(S.ANY_SECRET), 1)).cast("long").alias("n_secrets"), F.md5(S.redacted(F.col("text"))).alias("redacted"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS x FROM documents), w AS (SELECT doc_id, x, unnest(generate_series(1, greatest(1, len(x) - 5), 15)) AS first_line FROM l)
+SELECT doc_id, CAST(first_line AS INT) AS first_line, CAST(least(first_line + 19, len(x)) AS INT) AS last_line, md5(array_to_string(x[first_line:least(first_line + 19, len(x))], chr(10))) AS h FROM w""")
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-14 to WIN-16, SCL-18."""
+    rows = sequences.line_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 20, 15)
+    return rows.select("doc_id", "first_line", "last_line", F.md5("window").alias("h"))
+
+
+HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1))"
+
+
+@query(rf"""WITH p AS (SELECT page_id, {HOST} AS host, octet_length(encode(html)) AS n FROM pages), k AS (SELECT *, string_split(host, '.') AS s, CASE WHEN regexp_matches(host, '\.(co|com|org|net|gov|ac|edu)\.[a-z]{{2}}$') THEN 3 ELSE 2 END AS d FROM p),
+h AS (SELECT array_to_string(s[greatest(len(s) - d + 1, 1):], '.') AS site, n FROM k WHERE host <> '')
+SELECT site, count(*) AS requests, sum(n)::BIGINT AS bytes, sum(CASE WHEN site = 'example.com' THEN 0 ELSE n END)::BIGINT AS third_party_bytes FROM h GROUP BY site""")
+def site_key_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-22, AGG-21, AGG-42, FLT-22."""
+    rows = table(spark, sf_dir, "pages").select(S.site_key(F.col("url")).alias("site"), F.octet_length("html").cast("long").alias("n")).filter("site IS NOT NULL")
+    return snapshots.payload(rows, "site", "n", F.col("site") == "example.com")
+
+
+@query()
+def html_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-29, TXT-07, WIN-13: headings of pages with their breadcrumbs, and the text's length."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.length(S.html_text(F.col("html"))).alias("n"), F.regexp_extract_all("html", F.lit(r"(?is)<h([1-6])[^>]*>"), 1).alias("levels"), F.regexp_extract_all("html", F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), 1).alias("titles"))
+    heads = rows.select("page_id", "n", F.posexplode(F.arrays_zip("levels", "titles")).alias("position", "x")).select("page_id", "n", "position", F.col("x.levels").cast("int").alias("level"), F.regexp_replace("x.titles", "<[^>]*>", "").alias("title"))
+    return sequences.breadcrumbs(heads, "page_id", "position", "level", "title").select("page_id", "position", "level", "breadcrumb", "n")
+
+
+@query("""WITH r AS (SELECT l_returnflag || l_linestatus AS form, l_orderkey * 10 + l_linenumber AS run, l_extendedprice AS x FROM lineitem), m AS (SELECT form, median(x) AS median, min(x) AS least, max(x) AS most, count(x) AS n FROM r GROUP BY form),
+d AS (SELECT r.form, run, row_number() OVER (PARTITION BY r.form ORDER BY abs(x - median), run) AS k FROM r JOIN m ON r.form = m.form) SELECT m.form, median, least, most, n, run AS representative FROM m JOIN d ON m.form = d.form AND k = 1""")
+def run_median_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-20, SORT-12, SRC-26."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("form"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run"), F.col("l_extendedprice").alias("x"))
+    return snapshots.run_summary(rows, "form", "run", "x")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'good' WHEN p_size <= 30 THEN 'needs improvement' ELSE 'poor' END AS band, p_size > 30 AND p_retailprice > 1000 AS over_budget FROM part")
+def banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-23, AGG-43, FLT-21."""
+    return table(spark, sf_dir, "part").select("p_partkey", S.band(F.col("p_size"), 10, 30).alias("band"), ((F.col("p_size") > 30) & (F.col("p_retailprice") > 1000)).alias("over_budget"))
+
+
+# Retrieval and evaluation
+BM25 = r"""q AS (SELECT item_id AS question, array_to_string(string_split(text, ' ')[:12], ' ') AS text FROM benchmark), qt AS (SELECT DISTINCT question, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) AS term FROM q),
+d AS (SELECT doc_id AS unit, regexp_extract_all(lower(coalesce(text, '')), '([\p{L}\p{N}_]+)', 1) AS terms FROM documents), st AS (SELECT count(*) AS units, avg(len(terms)) AS mean FROM d),
+p AS (SELECT unit, term, count(*) AS tf, any_value(n) AS n FROM (SELECT unit, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY unit, term), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+sc AS (SELECT question, p.unit, round(sum(ln(1 + (units - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM qt JOIN p ON qt.term = p.term JOIN df ON df.term = p.term, st GROUP BY question, p.unit),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, unit) AS INT) AS place FROM sc)"""
+
+
+def ranking(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
+    return retrieval.bm25(table(spark, sf_dir, "documents"), questions, "doc_id", "text", limit)
+
+
+@query(f"WITH {BM25} SELECT question, unit, place FROM ranked WHERE place <= 5")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-34, SORT-03, SORT-04, TXT-16, FLT-13."""
+    return ranking(spark, sf_dir, 5).select("question", "unit", "place")
+
+
+NEAR = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), near AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id < 20),
+top AS (SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INT) AS place FROM near)"""
+
+
+@query(f"WITH {NEAR} SELECT query, id, place FROM top WHERE place <= 10")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SORT-01, SORT-02, SCL-26, UDF-07: the stated queries are the first twenty vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    out = retrieval.cosine_topk(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), 10)
+    return out.select("query", "id", "place")
+
+
+@query(f"""WITH {BM25}, {NEAR}, c AS (SELECT question, unit, 'fts' AS channel, place FROM ranked WHERE place <= 50 UNION ALL SELECT query, id, 'vector', place FROM top WHERE place <= 50)
+SELECT question, unit, round(sum((CASE channel WHEN 'fts' THEN 1.0 ELSE 2.0 END) / (60 + place)), 9) AS score FROM c GROUP BY question, unit""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-09, SORT-04."""
+    e = table(spark, sf_dir, "embeddings")
+    v = retrieval.cosine_topk(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), 50)
+    lists = ranking(spark, sf_dir, 50).select("question", "unit", F.lit("fts").alias("channel"), "place").unionByName(v.select(F.col("query").alias("question"), F.col("id").alias("unit"), F.lit("vector").alias("channel"), "place"))
+    return retrieval.fused(lists)
+
+
+@query(f"""WITH {BM25}, s AS (SELECT ranked.*, source FROM ranked JOIN documents ON doc_id = unit WHERE place <= 50), f AS (SELECT *, row_number() OVER (PARTITION BY question, source ORDER BY place) AS k FROM s)
+SELECT question, unit, source, CAST(row_number() OVER (PARTITION BY question ORDER BY place) AS INT) AS nth FROM f WHERE k <= 3 QUALIFY nth <= 10""")
+def per_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-10, JOIN-11."""
+    rows = ranking(spark, sf_dir, 50).withColumnRenamed("place", "was").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "source"), "unit")
+    return retrieval.capped(rows, "question", "source", [F.col("was")]).select("question", "unit", "source", F.col("place").alias("nth"))
+
+
+EXPECTED = "x AS (SELECT item_id AS question, doc_id AS unit FROM benchmark JOIN documents ON contains(documents.text, substr(benchmark.text, 1, 60)))"
+
+
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a question's first sixty characters: found by the words of the passage first, so that it is no cross join."""
+    key = F.substring("text", 1, 60)
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), key.alias("passage"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text")
+    near = d.select("unit", F.explode(F.array_distinct(S.words(F.col("text")))).alias("term"))
+    second = b.withColumn("term", F.try_element_at(S.words(F.col("passage")), F.lit(2)))
+    short = second.filter("term IS NULL")
+    hit = second.filter("term IS NOT NULL").join(near, "term").join(d, "unit").filter(F.contains("text", "passage")).select("question", "unit")
+    return hit.distinct() if short.isEmpty() else hit.unionByName(d.join(F.broadcast(short), F.contains("text", "passage")).select("question", "unit")).distinct()
+
+
+METRICS = f"""{EXPECTED}, wanted AS (SELECT question, count(DISTINCT unit) AS w FROM x GROUP BY question), h AS (SELECT question, min(place) AS first, count(DISTINCT unit) AS found FROM ranked JOIN x USING (question, unit) WHERE place <= 10 GROUP BY question),
+m AS (SELECT question, coalesce(first <= 1, false) AS hit_1, coalesce(first <= 3, false) AS hit_3, coalesce(first <= 5, false) AS hit_5, coalesce(first <= 10, false) AS hit_10, round(coalesce(1.0 / first, 0), 6) AS reciprocal_rank, round(coalesce(found, 0) / w::DOUBLE, 6) AS recall FROM q JOIN wanted USING (question) LEFT JOIN h USING (question))"""
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"))
+    return retrieval.question_metrics(ranking(spark, sf_dir, 10), expected(spark, sf_dir), questions)
+
+
+@query(f"WITH {BM25}, {METRICS} SELECT * FROM m")
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-22, SRC-23, SRC-24, UDF-08."""
+    return metrics(spark, sf_dir)
+
+
+@query(f"""WITH {BM25}, {METRICS} SELECT count(*) AS questions, round(avg(hit_1::INT), 6) AS hit_1, round(avg(hit_3::INT), 6) AS hit_3, round(avg(hit_5::INT), 6) AS hit_5, round(avg(hit_10::INT), 6) AS hit_10, round(avg(reciprocal_rank), 6) AS mrr, round(avg(recall), 6) AS recall,
+ quantile_disc(question, 0.5) AS p50, quantile_disc(question, 0.95) AS p95 FROM m""")
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-24, AGG-25."""
+    return retrieval.summary(metrics(spark, sf_dir), "question")
+
+
+@query(f"""WITH {BM25}, {EXPECTED}, r AS (SELECT question, unit, place, length(text) AS characters, coalesce(sum(length(text)) OVER (PARTITION BY question ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked JOIN documents ON doc_id = unit WHERE place <= 10),
+u AS (SELECT r.question, greatest(0, least(characters, 8000 - before)) AS used, x.unit IS NOT NULL AS ok FROM r LEFT JOIN x USING (question, unit))
+SELECT question, sum(used)::BIGINT AS used_characters, sum(CASE WHEN ok THEN used ELSE 0 END)::BIGINT AS right_characters, bool_or(ok) AS hit FROM u WHERE used > 0 GROUP BY question""")
+def token_budget_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-23."""
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.length("text").cast("long").alias("characters"))
+    return retrieval.budget_metrics(ranking(spark, sf_dir, 10).join(sizes, "unit"), expected(spark, sf_dir), 2000)
+
+
+@query()
+def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-11, WIN-12: order-dependent; tested against its rule in tests/."""
+    rows = ranking(spark, sf_dir, 30).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.col("source").alias("file")), "unit")
+    return retrieval.diverse(rows.select("question", "unit", "file", "score"))
+
+
+@query()
+def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SORT-07 to SORT-11: order-dependent; tested against its rule in tests/."""
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), S.token_estimate(F.col("text")).alias("tokens"))
+    return retrieval.budgeted(ranking(spark, sf_dir, 30).join(sizes, "unit").select("question", "place", "unit", "tokens"), 2000)
+
+
+# Graph
+EDGES = """g AS (SELECT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey % 5 <> 0 GROUP BY 1, 2),
+nodes AS (SELECT 'n' || n_nationkey AS node FROM nation), o AS (SELECT src, sum(weight) AS out FROM g GROUP BY src), sh AS (SELECT g.src, dst, weight / out AS w FROM g JOIN o ON g.src = o.src), r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes)"""
+STEP = """, r{n} AS (SELECT a.node, 0.85 * coalesce((SELECT sum(b.rank * sh.w) FROM sh JOIN r{m} b ON b.node = sh.src WHERE sh.dst = a.node), 0) + (0.85 * coalesce((SELECT sum(rank) FROM r{m} WHERE node NOT IN (SELECT src FROM o)), 0) + 0.15) / (SELECT count(*) FROM nodes) AS rank FROM r{m} a)"""
+
+
+def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = lambda n: table(spark, sf_dir, n)
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    rows = t("orders").join(t("customer").filter("c_nationkey % 5 <> 0"), F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    edges = rows.groupBy(name("c_nationkey").alias("src"), name("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return t("nation").select(name("n_nationkey").alias("node")), edges
+
+
+@query(f"WITH {EDGES}" + "".join(STEP.format(n=k + 1, m=k) for k in range(8)) + " SELECT node, round(rank, 9) AS rank FROM r8")
+def pagerank_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-31, AGG-35."""
+    nodes, edges = nation_graph(spark, sf_dir)
+    return graph.pagerank(nodes, edges, rounds=8, tolerance=None).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query(f"WITH {EDGES}" + "".join(STEP.format(n=k + 1, m=k) for k in range(4)) + " SELECT g.dst, 'x' AS ident, round(sum(rank * weight / out), 9) AS score FROM g JOIN o ON g.src = o.src JOIN r4 ON r4.node = g.src GROUP BY g.dst")
+def definition_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-32, AGG-33, WIN-19, SET-07."""
+    nodes, edges = nation_graph(spark, sf_dir)
+    rank = graph.pagerank(nodes, edges, rounds=4, tolerance=None)
+    return graph.definition_scores(edges.withColumn("ident", F.lit("x")), rank).select("dst", "ident", F.round("score", 9).alias("score"))
+
+
+@query(r"""WITH d AS (SELECT DISTINCT n_name || 'Key' AS ident, 'f' || n_regionkey AS path FROM nation), r AS (SELECT n.n_name || 'Key' AS ident, 's' || (c_custkey % 7) AS path FROM customer JOIN nation n ON n_nationkey = c_nationkey WHERE c_nationkey < 20),
+k AS (SELECT path, ident, count(*) AS n FROM r GROUP BY path, ident), s AS (SELECT ident, count(DISTINCT path) AS definers FROM d GROUP BY ident),
+e AS (SELECT k.path AS src, d.path AS dst, k.ident, sqrt(k.n) * (CASE WHEN regexp_matches(k.ident, '[a-z][A-Z]|_|-') AND length(k.ident) >= 8 THEN 10.0 ELSE 1.0 END) * (CASE WHEN definers > 5 THEN 0.1 ELSE 1.0 END) AS weight FROM k JOIN d ON d.ident = k.ident JOIN s ON s.ident = k.ident)
+SELECT src, dst, ident, round(weight, 6) AS weight FROM e UNION ALL SELECT path, path, ident, 0.1 FROM d WHERE ident NOT IN (SELECT ident FROM k)""")
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-16, AGG-32, SCL-21."""
+    nation = table(spark, sf_dir, "nation")
+    d = nation.select(F.concat("n_name", F.lit("Key")).alias("ident"), F.concat(F.lit("f"), F.col("n_regionkey").cast("string")).alias("path"))
+    r = table(spark, sf_dir, "customer").filter("c_nationkey < 20").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat("n_name", F.lit("Key")).alias("ident"), F.concat(F.lit("s"), (F.col("c_custkey") % 7).cast("string")).alias("path"))
+    return graph.reference_edges(d, r).withColumn("weight", F.round("weight", 6))
+
+
+# Snapshots and streams
+@query("""WITH a AS (SELECT doc_id, n_chars AS s, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS s, CASE WHEN doc_id % 9 = 0 THEN md5(text || 'x') ELSE md5(text) END AS h FROM documents WHERE doc_id % 7 <> 0)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'add' WHEN b.doc_id IS NULL THEN 'delete' WHEN a.s = b.s THEN 'keep' WHEN a.h = b.h THEN 'metadata' ELSE 'change' END AS action FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-01, STR-02, JOIN-18."""
+    d = table(spark, sf_dir, "documents")
+    a = d.filter("doc_id % 5 <> 0").select("doc_id", F.col("n_chars").alias("s"), F.md5("text").alias("h"))
+    b = d.filter("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("s"), F.when(F.col("doc_id") % 9 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text")).alias("h"))
+    return snapshots.refreshed(a, b, "doc_id", "s", "h")
+
+
+@query("""WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id, h, 'index' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT doc_id, h, 'disk' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def strict_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03, SET-05."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    return snapshots.audited(d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 7 <> 0"))
+
+
+@query("""WITH l AS (SELECT source, CAST(doc_id AS VARCHAR) || chr(9) || sha256(text) AS line FROM documents)
+SELECT source, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint, count(*) AS n FROM l GROUP BY source""")
+def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-30, SCL-01, SRC-17."""
+    return snapshots.fingerprint(table(spark, sf_dir, "documents"), "source", "doc_id", F.col("text"))
+
+
+@query("""WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders), k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT * FROM k""")
+def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07, SNK-06."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return snapshots.upserted(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey")
