@@ -1,0 +1,125 @@
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.functions import scalars as S
+from tallyforge.operators import graph, joins, pricing, retrieval, sequences, snapshots, usage
+from tallyforge.streaming import ledger
+
+
+def one(spark, column, **values):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_stem_and_words(spark):
+    want = {"ponies": "pony", "dies": "die", "classes": "class", "cats": "cat", "bus": "bus", "running": "run", "hoped": "hop", "seeing": "see", "organization": "organiz", "relational": "relat", "creation": "creat", "hopefulness": "hopeful", "kindness": "kind", "payment": "pay", "make": "mak", "the": "the", "x1234s": "x1234s"}
+    df = spark.createDataFrame([(w,) for w in want], "w string")
+    assert {r.w: r.s for r in df.select("w", S.stem(F.col("w")).alias("s")).collect()} == want
+    assert one(spark, S.words(F.lit("Été foo_bar, x2!"))) == ["été", "foo_bar", "x2"]
+    assert one(spark, S.split_identifier(F.lit("parseHTTPResponse_v2"))) == ["parse", "http", "response", "v2"]
+
+
+def test_guards_and_instants(spark):
+    assert one(spark, S.guarded(F.lit(float("nan")))) is None and one(spark, S.guarded(F.lit(-1.0))) is None and one(spark, S.guarded(F.lit(2))) == 2
+    assert str(one(spark, S.instant(F.lit("1700000000123")))) == "2023-11-14 22:13:20.123000"
+    assert str(one(spark, S.instant(F.lit("2024-01-01T02:00:00+02:00")))) == "2024-01-01 00:00:00"
+    assert one(spark, S.instant(F.lit("2024-01-01T02:00:00"))) is None
+    assert one(spark, S.present(F.lit('{"a": null, "b": 2}'), "a", "b")) is None and one(spark, S.present(F.lit('{"b": 2}'), "a", "b")) == "2"
+    assert one(spark, S.safe_name(F.lit("gpt-4 (x)"))) == "gpt-4 (x)" and one(spark, S.safe_name(F.lit("sk-abc"))) == "unknown"
+    assert one(spark, S.site_key(F.lit("https://a.b.co.uk:80/x"))) == "b.co.uk" and one(spark, S.site_key(F.lit("http://www.Example.com"))) == "example.com"
+
+
+def priced(spark, **row):
+    base = {"model": "m", "ts": None, "input": 25000, "cache_read": 20000, "cache_write": 4000, "write_5m": 4000, "write_1h": 0, "output": 500, "speed": "standard", "geo": "eu"} | row
+    df = spark.createDataFrame([tuple(base.values())], "model string, ts timestamp_ntz, input long, cache_read long, cache_write long, write_5m long, write_1h long, output long, speed string, geo string")
+    card = spark.sql("SELECT 'm' AS model, CAST(NULL AS TIMESTAMP_NTZ) AS effective_from, CAST(NULL AS TIMESTAMP_NTZ) AS effective_until, CAST(1 AS DECIMAL(10,4)) AS rate_input, CAST(0.1 AS DECIMAL(10,4)) AS rate_read, CAST(1.25 AS DECIMAL(10,4)) AS rate_5m, CAST(2 AS DECIMAL(10,4)) AS rate_1h, CAST(22 AS DECIMAL(10,4)) AS rate_output, CAST(2 AS DECIMAL(8,4)) AS fast_multiplier")
+    r = pricing.priced(pricing.effective(df, card)).first()
+    return r.status, r.lower_cost, r.upper_cost
+
+
+def test_prices(spark):
+    assert priced(spark) == ("priced", Decimal("0.019000000000"), Decimal("0.019000000000"))
+    assert priced(spark, speed="fast", geo="us")[1] == Decimal("0.041800000000")
+    low = priced(spark, write_5m=None, write_1h=None)
+    assert low == ("range", Decimal("0.019000000000"), Decimal("0.022000000000"))
+    assert priced(spark, output=None)[0] == "missing_usage" and priced(spark, cache_read=30000)[0] == "invalid_token_subsets" and priced(spark, model="z")[0] == "no_effective_rate" and priced(spark, write_1h=1)[0] == "invalid_cache_ttl_split"
+
+
+def test_sequences(spark):
+    df = spark.createDataFrame([("a", 1, 50), ("a", 2, 150), ("a", 3, 20), ("a", 4, 20), ("a", 5, 10)], "k string, n int, t int").withColumn("fresh", F.when(F.col("n") == 3, 20).otherwise(1))
+    assert [(r.delta, r.kind) for r in sequences.cumulative_delta(df, "k", "n", "t", "fresh").orderBy("n").collect()] == [(50, "first"), (100, "increment"), (20, "reset"), (None, "same"), (None, "excluded")]
+    spans = spark.createDataFrame([("a", 1, 5), ("a", 3, 8), ("a", 20, 22), ("a", 4, 4)], "k string, lo int, hi int")
+    assert sequences.union_length(spans, "k", "lo", "hi").first().covered == 11
+    heads = spark.createDataFrame([(1, i, lv, t) for i, (lv, t) in enumerate([(1, "A"), (2, "B"), (3, "C"), (2, "D"), (1, "E"), (3, "F")])], "k int, p int, level int, title string")
+    assert [r.breadcrumb for r in sequences.breadcrumbs(heads, "k", "p", "level", "title").orderBy("p").collect()] == ["A", "A > B", "A > B > C", "A > D", "E", "E > F"]
+    assert one(spark, sequences.greedy_lines(F.array(*map(F.lit, ["abc", "d e", "fgh", "", "ijklmnop", "q"])), 5)) == [0, 0, 1, 1, 2, 3]
+
+
+def test_joins(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), ("z", 9)], "h string, m int")
+    b = spark.createDataFrame([("x", 2), ("y", 1), ("y", 2), ("w", 1)], "h string, m int")
+    got = sorted((r.h, r.old_member, r.new_member, r.status) for r in joins.credited(a, b, "h", "m").fillna(-1).collect())
+    assert got == [("w", -1, 1, "added"), ("x", 1, 2, "moved"), ("x", 2, -1, "departed"), ("y", -1, 2, "added"), ("y", 1, 1, "kept"), ("z", 9, -1, "departed")]
+    child = spark.createDataFrame([("s", 1, "p"), ("s", 2, "q"), ("s", 3, "r"), ("s", 4, "p")], "k string, n int, snap string")
+    parent = spark.createDataFrame([("s", 1, "p"), ("s", 2, "q")], "k string, n int, snap string")
+    assert [r.n for r in joins.without_replay(child, parent, "k", "n", ["snap"]).orderBy("n").collect()] == [3, 4]
+    x = spark.createDataFrame([("k", 0, 100), ("k", 7, 7)], "k string, a_lo int, a_hi int")
+    y = spark.createDataFrame([("k", 7, 9), ("k", 101, 120), ("k", 100, 300)], "k string, b_lo int, b_hi int")
+    assert sorted((r.a_lo, r.b_lo) for r in joins.overlaps(x, y, "k", 8).collect()) == [(0, 7), (0, 100), (7, 7)]
+
+
+def test_pagerank_of_a_cycle_and_a_dangling_node(spark):
+    nodes = spark.createDataFrame([(c,) for c in "abcd"], "node string")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("a", "d", 3.0)], "src string, dst string, weight double")
+    got = {r.node: r.rank for r in graph.pagerank(nodes, edges).collect()}
+    rank = dict.fromkeys("abcd", 0.25)
+    for _ in range(200):
+        lost = rank["d"]
+        base = (0.85 * lost + 0.15) / 4
+        rank = {"a": base + 0.85 * rank["c"], "b": base + 0.85 * rank["a"] / 4, "c": base + 0.85 * rank["b"], "d": base + 0.85 * rank["a"] * 3 / 4}
+    assert all(abs(got[n] - rank[n]) < 1e-4 for n in rank) and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_greedy_selection_ignores_input_order(spark):
+    rows = [("q", u, f, s) for u, f, s in [("u1", "a", 1.0), ("u2", "a", 0.999), ("u3", "b", 0.996), ("u4", "c", 0.5), ("u5", "a", 0.998)]]
+    want = None
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "question string, unit string, file string, score double")
+        got = [r.unit for r in retrieval.diverse(df).orderBy("place").collect()]
+        want = want or got
+        assert got == want == ["u1", "u3", "u2", "u5", "u4"]
+    df = spark.createDataFrame([("q", i + 1, f"u{i}", n) for i, n in enumerate([50, 60, 40, 20, 10])], "question string, place int, unit string, tokens int")
+    assert [r.unit for r in retrieval.budgeted(df, 100).orderBy("place").collect()] == ["u0", "u2", "u4"]
+
+
+def test_metrics(spark):
+    results = spark.createDataFrame([("q", "x", 1), ("q", "b", 2), ("p", "z", 1)], "question string, unit string, place int")
+    expected = spark.createDataFrame([("q", "a"), ("q", "b"), ("p", "y")], "question string, unit string")
+    got = {r.question: r for r in retrieval.question_metrics(results, expected, spark.createDataFrame([("q",), ("p",)], "question string")).collect()}
+    assert (got["q"].hit_1, got["q"].hit_3, got["q"].reciprocal_rank, got["q"].recall) == (False, True, 0.5, 0.5) and not got["p"].hit_10
+
+
+def test_refresh_and_ledger_stream(spark, tmp_path):
+    a = spark.createDataFrame([("a", 1, "h"), ("b", 1, "h"), ("c", 1, "h"), ("d", 1, "h")], "p string, s int, h string")
+    b = spark.createDataFrame([("a", 1, "h"), ("b", 2, "h"), ("c", 2, "i"), ("e", 1, "h")], "p string, s int, h string")
+    assert {r.p: r.action for r in snapshots.refreshed(a, b, "p", "s", "h").collect()} == {"a": "keep", "b": "metadata", "c": "change", "d": "delete", "e": "add"}
+    src, out = tmp_path / "in", f"file://{tmp_path}/ledger"
+    schema = "id string, n int, v string"
+    for k, rows in enumerate([[("x", 1, "old"), ("y", 1, "y")], [("x", 2, "new"), ("z", 1, "z"), ("y", 0, "late")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{src}")
+        ledger.start_ledger(spark.readStream.schema(schema).parquet(f"file://{src}"), out, f"file://{tmp_path}/cp", ["id"], "n").awaitTermination(120)
+    assert {(r.id, r.v) for r in ledger.newest(spark, out).collect()} == {("x", "new"), ("y", "y"), ("z", "z")}
+
+
+def test_unknown_is_not_zero(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", None, 7), ("b", None, None)], "agent string, input_tokens long, output_tokens long").withColumns({"session_id": F.lit("s"), "cache_read_tokens": F.lit(None).cast("long"), "request_count": F.lit(1).cast("long")})
+    got = {r.agent: r for r in usage.grouped(df, "agent").collect()}
+    assert got["a"].input_tokens == 1 and got["a"].total_tokens == 13 and got["b"].total_tokens is None and got["b"].input_tokens is None and got["a"].rows_with_unknowns == 1
+
+
+@pytest.mark.parametrize("name", ["usage_daily_stats", "bm25_topk"])
+def test_queries_run_without_the_llm_folder(spark, name):
+    from tallyforge.plans import queries
+
+    assert queries.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() <= 1
