@@ -33,8 +33,8 @@ from pyspark.sql.window import Window
 from tallyforge.llm.shared import stored, text_or_empty
 
 WINDOW, BURST, CYCLE = 2048, 256, 256
-#: Chunks that a worker remembers, and the longest one worth remembering.
-REMEMBERED, LONGEST = 150_000, 64
+#: Words that a worker remembers twice over, and the longest one worth remembering.
+REMEMBERED, LONGEST = 120_000, 64
 #: What a byte-level BPE splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Marks that may end a word as a piece of their own.
@@ -47,13 +47,16 @@ class Pieces(dict):
     def __init__(self, encode: Callable[[bytes], list[int]], code: str):
         self.encode, self.code = encode, code
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array(self.code, self.encode(piece.encode()))
+    def ids(self, piece: str) -> bytes:
+        out = array(self.code, self.encode(piece.encode()))
         if sys.byteorder == "big":
-            ids.byteswap()
-        out = ids.tobytes()
+            out.byteswap()
+        return out.tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.ids(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 4:
                 self.clear()
             self[piece] = out
         return out
@@ -95,34 +98,33 @@ class Encoder(dict):
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.code).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        return self.keep(chunk, self.encoded(chunk) if ids is None else ids)
-
-    def keep(self, chunk: str, ids: bytes) -> bytes:
-        """Remembers in two generations, so that frequent chunks outlast rare ones."""
-        if len(chunk) <= LONGEST:
+    def __missing__(self, word: str) -> bytes:
+        """Ids of a word after a space. Two generations are remembered, so that frequent words outlast rare ones."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoded(" " + word)
+        if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
                 self.clear()
-            self[chunk] = ids
+            self[word] = ids
         return ids
 
     def encoded(self, chunk: str) -> bytes:
+        if not self.by_chunk:
+            return self.plain(chunk)
         word = chunk[1:] if chunk[:1] == " " else chunk
         if word.isalpha():
-            parts = (chunk,)
-        elif word[:-1].isalpha() and word[-1] in ENDS:
-            parts = (chunk[:-1], word[-1])
-        else:
-            parts = self.words.findall(chunk)
-        return b"".join(map(self.pieces.__getitem__, parts))
+            return self.pieces.ids(chunk)
+        if word[:-1].isalpha() and word[-1] in ENDS:
+            return self.pieces.ids(chunk[:-1]) + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.words.findall(chunk)))
 
     def one(self, text: str) -> bytes:
         if not self.by_chunk or self.uneven.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
-        return b"".join([self[first], *map(self.__getitem__, map(" ".__add__, rest))])
+        return b"".join([self.encoded(first), *map(self.__getitem__, rest)])
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
