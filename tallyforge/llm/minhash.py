@@ -7,13 +7,13 @@ floor(1 - log_B(x)), held within 0 and TOP. Sketches merge by taking larger regi
 likely as the sets are similar, so ROWS registers together make a band's key.
 
 1. Equal sets become one class, with its smallest doc_id (copies are combined on the map side, never paired).
-2. Classes that share a band's key are candidates. In each bucket the smallest class is its pivot and is compared with
-   every other; a bucket never yields all its pairs. A pair's similarity is estimated from both sketches and sizes by
+2. Classes that share a band's key are candidates. In each bucket the class that meets most others in all its buckets (an
+   original rather than one of its edited copies) is the pivot and is compared with every other; a bucket never yields all its pairs. A pair's similarity is estimated from both sketches and sizes by
    maximum likelihood; clearly dissimilar pairs (MARGIN below the threshold, over five standard errors) end there.
 3. The others are confirmed or refused on their full sets.
 4. Components of the links are found (components.py). A bucket whose members are in one component is done. In the others,
-   further pivots are compared with all members of other components, more pivots each round, until each bucket is down to one
-   component: every pair of a bucket that could join two components is checked, whatever the bucket's size.
+   members outside of its largest component become pivots in turn, more each round, and are compared with all members of
+   other components, until those left are in one component: every pair of a bucket that could join two components is checked.
 
 A pair at similarity s has no band in common with probability (1 - s**4)**32: 5e-6 at 0.75, less above.
 
@@ -176,11 +176,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(best)
     classes = stored(classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), F.col("best.doc_id").alias("id"), F.col("best.sketch").alias("sketch")), "near-classes")
 
-    member = bands(classes)
+    member = stored(bands(classes), "near-bands")
     mark = F.bit_xor(F.xxhash64("id"))
     buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), mark.alias("mark")).filter("n > 1 AND low < high")
-    buckets = stored(buckets.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")), "near-buckets")  # the same members in another band add nothing
-    member = stored(member.join(buckets.select("bucket", "low"), "bucket"), "near-members")
+    buckets = stored(buckets, "near-buckets")
+    crowded = member.join(buckets.select("bucket", "n"), "bucket")
+    central = stored(crowded.groupBy("id").agg(F.sum("n").alias("company")), "near-central")  # how many a class meets in all its buckets
+    once = buckets.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket"))  # the same members in another band add nothing
+    member = member.join(once.select("bucket"), "bucket", "left_semi").join(central, "id")
+    pivot = member.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("order"))).alias("p")).select("bucket", (-F.col("p.order")).alias("low"))
+    member = stored(member.select("bucket", "id").join(pivot, "bucket"), "near-members")
     ids = stored(member.select("id").distinct(), "near-ids")
     known = stored(classes.select("id", "n", "sketch").join(ids, "id", "left_semi"), "near-known")
     sets = stored(full_sets(docs, ids), "near-sets")
@@ -196,16 +201,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
         dropped(spark, guess)
         return links, tried
 
-    links, tried = confirmed(member.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    links, tried = confirmed(member.filter("id != low").select(F.least("low", "id").alias("a"), F.greatest("low", "id").alias("b")))
     left = member.filter("id != low").select("bucket", "id")  # a pivot has met its whole bucket
-    root, pivots = stored(components(links), "near-roots"), 4
+    root, pivots = stored(components(links), "near-roots"), 16
     while True:
         placed = left.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        placed = stored(placed.join(open_, "bucket", "left_semi"), "near-open")
+        counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        most = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", F.col("m.component").alias("most"))
+        placed = stored(placed.join(most, "bucket"), "near-open")
         if placed.isEmpty():
             break
-        chosen = placed.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("deal")).agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("own"))
+        deal = F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("deal")  # the largest component's members need not be pivots
+        chosen = placed.filter("component != most").groupBy("bucket", deal).agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("own"))
         chosen = stored(chosen, "near-pivots")
         met = placed.join(chosen, "bucket").filter("component != own")
         pairs = met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
@@ -213,7 +220,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         links = stored(links.unionByName(more), "near-links")
         tried = stored(tried.unionByName(now), "near-tried")
         left = stored(placed.select("bucket", "id").join(chosen.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti"), "near-left")
-        root, pivots = stored(components(links), "near-roots"), 2 * pivots
+        root, pivots = stored(components(links), "near-roots"), 4 * pivots
     dropped(spark, sets, member, tried)
 
     of_class = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "id").join(root.withColumnRenamed("node", "id"), "id", "left")
