@@ -36,8 +36,8 @@ LEAST, RECORDS_PER_FILE, ARC_BYTES = 1000, 4000, 4 << 20
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 #: What follows the URL on a header line, by version.
 TAIL = {
-    1: re.compile(rb"^(?P<url>.*\S) (?P<ip>\S+) (?P<date>\d{1,17}) (?P<mime>\S+) (?P<length>\d+)\r?$"),
-    2: re.compile(rb"^(?P<url>.*\S) (?P<ip>\S+) (?P<date>\d{1,17}) (?P<mime>\S+) (?P<status>\S+) (?P<checksum>\S+) (?P<location>\S+) (?P<offset>\S+) (?P<name>\S+) (?P<length>\d+)\r?$"),
+    1: re.compile(rb"^(?P<url>.*\S) (?P<ip>\S+) (?P<date>\d{4,17}) (?P<mime>\S+) (?P<length>\d+)\r?$"),
+    2: re.compile(rb"^(?P<url>.*\S) (?P<ip>\S+) (?P<date>\d{4,17}) (?P<mime>\S+) (?P<status>\S+) (?P<checksum>\S+) (?P<location>\S+) (?P<offset>\S+) (?P<name>\S+) (?P<length>\d+)\r?$"),
 }
 
 
@@ -64,14 +64,13 @@ def parse_arc(content: bytes) -> Iterator[tuple[int, int, dict[str, bytes], byte
         if not line.strip():
             at = end + 1
             continue
+        if line.startswith(b"filedesc:") and content[end + 1 : end + 3] in (b"1 ", b"2 "):
+            version = int(content[end + 1 : end + 2])  # the block's first line names the version of its own header line too
         head = TAIL[version].match(line) or TAIL[3 - version].match(line)
         if not head or end + 1 + int(head["length"]) > n:
             at, skipped = end + 1, skipped + 1
             continue
         block = content[end + 1 : end + 1 + int(head["length"])]
-        if line.startswith(b"filedesc:"):
-            declared = block.split(b" ", 1)[0].strip()
-            version = int(declared) if declared in (b"1", b"2") else version
         yield at, version, head.groupdict(), block, skipped
         at = end + 1 + len(block)
 
