@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import graph, joins, pricing, retrieval, sequences, snapshots, usage
+from tallyforge.operators import graph, joins, pricing, reports, retrieval, sequences, snapshots, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -645,3 +645,53 @@ def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-07, SNK-06."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return snapshots.upserted(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey")
+
+
+# Reports and lookups
+@query("""SELECT event_id, 'item-' || substr(sha256('salt' || CAST(user_id AS VARCHAR)), 1, 10) AS user_id FROM events""")
+def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-12."""
+    return reports.pseudonymised(table(spark, sf_dir, "events").select("event_id", "user_id"), ["user_id"], "salt")
+
+
+@query("""WITH c AS (SELECT doc_id, doc_id % 4 AS k, CAST(CASE WHEN doc_id % 9 = 0 THEN 5000 ELSE 1 END AS INT) AS e, text FROM documents)
+SELECT doc_id, CASE WHEN k = 3 THEN 'missing_file' WHEN k = 2 THEN 'stale' WHEN e > len(string_split(text, chr(10))) THEN 'bad_range' WHEN k = 1 THEN 'quote_not_found' ELSE 'ok' END AS verdict FROM c""")
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-23."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = d.filter("doc_id % 4 <> 3").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), "text")
+    quote = F.when(F.col("doc_id") % 4 == 1, F.lit("\u2603 not there")).otherwise(F.substring("text", 1, 3))
+    c = d.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 4 == 2, F.lit("old")).otherwise(F.sha2("text", 256)).alias("sha256"), F.lit(1).alias("start_line"), F.when(F.col("doc_id") % 9 == 0, 5000).otherwise(1).alias("end_line"), F.regexp_extract(quote, "^[^\n]*", 0).alias("quote"))
+    return reports.cited(c, files).select("doc_id", "verdict")
+
+
+@query("""WITH a AS (SELECT p_partkey AS question, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name FROM part WHERE p_partkey % 20 = 0), b AS (SELECT DISTINCT p_brand AS symbol, 'unit-' || p_brand AS unit FROM part)
+SELECT question, unit, CASE WHEN name = symbol THEN 4 WHEN lower(name) = lower(symbol) THEN 3 ELSE 1 END AS level FROM a JOIN b ON lower(name) = lower(symbol)""")
+def symbol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-13, SCL-16: the questions are every twentieth part."""
+    p = table(spark, sf_dir, "part")
+    names = p.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("question"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("name"))
+    symbols = p.select(F.col("p_brand").alias("symbol"), F.concat(F.lit("unit-"), "p_brand").alias("unit")).distinct()
+    return reports.symbol_matches(names, symbols).select("question", "unit", "level")
+
+
+@query("""SELECT source, count(*) AS units, count(vec_id) AS embedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source""")
+def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-12, AGG-26 to AGG-28."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return reports.covered(table(spark, sf_dir, "documents").select("doc_id", "source"), vectors, "source", "doc_id")
+
+
+@query(r"""WITH s AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN lower(p_name) = 'part 7' THEN 100 ELSE 0 END + len(list_intersect(regexp_extract_all(lower(p_name), '([\p{L}\p{N}_]+)', 1), ['part', '7', 'steel', '12'])) AS score FROM part)
+SELECT id, title, CAST(score AS INT) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10""")
+def library_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SORT-14."""
+    return reports.resolved(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "part 7", "part 7 steel 12")
+
+
+@query("""SELECT a.doc_id, CASE WHEN a.doc_id % 6 = 0 THEN 'withheld' WHEN a.doc_id % 5 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM documents a""")
+def result_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-04."""
+    d = table(spark, sf_dir, "documents")
+    now = d.filter("doc_id % 6 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("new")).otherwise(F.md5("text")).alias("sha256"))
+    return reports.verified(d.select("doc_id", F.md5("text").alias("sha256")), now, "doc_id").select("doc_id", "state")
