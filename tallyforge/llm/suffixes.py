@@ -174,7 +174,7 @@ def compared(suffixes: DataFrame) -> DataFrame:
     steps, which are the classes whose outer string does not repeat and, for each repeated outer string that shares an
     inner one with such a class, one class that stands for it."""
     n = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // BUCKET))
-    schema = f"{SUFFIX}, kind int"  # 3 and 2: outer repeats (3: stands for it), 1: inner repeats, 0: to be compared across boundaries
+    schema = f"{SUFFIX}, kind int"  # 2 to 4: outer repeats (3, 4: stands for it), 1: inner repeats; 0 and 4: to be compared across boundaries
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_rows = [b for b in batches if len(b)]
@@ -190,7 +190,8 @@ def compared(suffixes: DataFrame) -> DataFrame:
         inner_n, outer_n = np.bincount(inner)[inner], np.bincount(outer)[outer]
         mixed_run = (np.bincount(inner, outer_n == 1) > 0)[inner]
         kind = np.where(outer_n > 1, np.where(other & mixed_run, 3, 2), np.where(inner_n > 1, 1, -1)).astype(np.int32)
-        kind[(inner == 0) | (inner == inner[-1])] = 0
+        edge = (inner == 0) | (inner == inner[-1])
+        kind[edge] = np.where(outer_n > 1, np.where(other, 4, 2), 0)[edge]  # copies within the bucket are sure, and one of them stands for them
         keep = np.flatnonzero(kind >= 0)
         for at in range(0, len(keep), 100_000):
             now = keep[at : at + 100_000]
@@ -199,13 +200,14 @@ def compared(suffixes: DataFrame) -> DataFrame:
 
     out = suffixes.repartitionByRange(n, "t0", "t1", "t2", "id", "place").mapInArrow(bucket, schema)
     out = stored(out, "suffix-runs")
-    edges = out.filter("kind = 0")
-    outer = edges.groupBy("t0", "t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "place")).alias("one"))
+    edges = out.filter("kind IN (0, 4)")
+    weight = F.sum(F.when(F.col("kind") == 4, 2).otherwise(1))
+    outer = edges.groupBy("t0", "t1", "t2").agg(weight.alias("n"), F.min(F.struct("id", "key", "place")).alias("one"))
     inner = outer.groupBy("t0", "t1").agg(F.sum("n").alias("all"), F.max((F.col("n") == 1).cast("int")).alias("some")).filter("all > 1")
     across = edges.join(inner, ["t0", "t1"]).join(outer, ["t0", "t1", "t2"])
     stands = (F.col("some") == 1) & (F.struct("id", "key", "place") == F.col("one"))
     across = across.select("id", "key", "place", (F.col("n") > 1).alias("all_repeat"), ((F.col("n") == 1) | stands).alias("again"))
-    sure = out.filter("kind > 0").select("id", "key", "place", (F.col("kind") >= 2).alias("all_repeat"), F.col("kind").isin(1, 3).alias("again"))
+    sure = out.filter("kind IN (1, 2, 3)").select("id", "key", "place", (F.col("kind") >= 2).alias("all_repeat"), F.col("kind").isin(1, 3).alias("again"))
     return stored(sure.unionByName(across), "suffix-found")
 
 
