@@ -13,7 +13,8 @@ Sorting the suffixes at every byte of 100 TB would write many times the input, s
   do. Between the two, which happens at the ends of matches only, the class is entered again with the finer steps, the last of
   which are the single windows, next to one class for each repeated outer string that has the same inner one. Strings are compared by 64-bit fingerprints next to their first eight bytes, at each level.
 
-Texts are shuffled once, those with a repeated inner string alone. Then each document's repeated starts are united.
+Texts are shuffled once, and then those with a repeated inner string alone; joins with texts are merge joins at every size, so
+that no list of documents is broadcast and a run over more data does not change its plan. Then each document's repeated starts are united.
 
 Nulls, ties, empties: null text is empty; texts under LENGTH bytes keep all; repeated rows are documents of their own, so that they
 remove one another; a null id is an id of its own; cuts fall between bytes, so what is kept may not be UTF-8; an empty table
@@ -225,10 +226,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = [compared(entered)]
     dropped(spark, entered)
     some = stored(found[0].select("id", "key").distinct(), "suffix-ids")
-    texts = stored(texts.drop("doc_id").join(some, ["id", "key"], "left_semi"), "suffix-texts")
+    texts = stored(texts.drop("doc_id").join(some.hint("merge"), ["id", "key"], "left_semi"), "suffix-texts")
     for step in STEPS[1:]:
         part = found[-1].filter("again").groupBy("id", "key").agg(F.collect_set("place").alias("places"))
-        entered = stored(finer(texts.join(part, ["id", "key"]), step), "suffix-entered")
+        entered = stored(finer(texts.join(part.hint("merge"), ["id", "key"]), step), "suffix-entered")
         found.append(compared(entered))
         dropped(spark, entered)
     places = found[0].filter("all_repeat").select("id", "key", "place")
@@ -249,7 +250,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 yield pa.record_batch([batch["id"].slice(i, 1), batch["key"].slice(i, 1), pa.array([text[~gone].tobytes()], pa.binary()), pa.array([int(gone.sum())], pa.int64()), pa.array([spans], pa.int64())], ["id", "key", "kept", "n_removed", "n_spans"])
 
-    out = texts.join(places, ["id", "key"]).select("id", "key", "text", "places")
+    out = texts.join(places.hint("merge"), ["id", "key"]).select("id", "key", "text", "places")
     return out.mapInArrow(cut, "id long, key long, kept binary, n_removed long, n_spans long")
 
 
