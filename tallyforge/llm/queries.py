@@ -75,5 +75,39 @@ SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN n >= 1000 AND page
 """
 
 
+SQL_NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+     i AS (SELECT doc_id, x, unnest(generate_series(1, greatest(len(x) - 4, 1))) AS k FROM w WHERE len(x) > 0),
+     s AS (SELECT DISTINCT doc_id, md5(array_to_string(x[k:k + 4], ' ')) AS h FROM i),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+     r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+     c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
+"""
+
+SQL_VECTORS = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+     r(node, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+     c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+SQL_CALLS = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations),
+     f AS (SELECT conv_id, min(turn) AS first FROM t WHERE role = 'user' GROUP BY conv_id),
+     c AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text, turn > first AS later, conv_id || '-' || first AS opening FROM t JOIN f USING (conv_id) WHERE role = 'user'),
+     a AS (SELECT conv_id, turn, asked, text, row_number() OVER (PARTITION BY conv_id, asked ORDER BY turn, text) AS nth FROM t WHERE role = 'assistant'),
+     j AS (SELECT c.conv_id, call_id, c.turn AS call_turn, a.turn AS result_turn, CAST(later AS INT) AS depth, CASE WHEN a.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, CASE WHEN c.text = '' THEN '$.prompt: too short' ELSE '' END AS faults,
+           '{"arguments":{' || CASE WHEN later THEN '"opening":{"$call":"' || opening || '"},' ELSE '' END || '"prompt":' || to_json(c.text) || ',"words":' || len(string_split(c.text, ' ')) || '},"conversation":' || c.conv_id || ',"id":"' || call_id || '","name":"reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS line
+           FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.asked = c.turn AND nth = 1)
+SELECT * FROM j UNION ALL
+SELECT conv_id, CASE WHEN asked IS NOT NULL THEN conv_id || '-' || asked END, NULL, turn, NULL, CASE WHEN asked IS NULL THEN 'no_call' ELSE 'repeated' END, '',
+       '{"arguments":null,"conversation":' || conv_id || ',"id":' || coalesce('"' || conv_id || '-' || asked || '"', 'null') || ',"name":null,"result":' || to_json(text) || '}' FROM a WHERE asked IS NULL OR nth > 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": SQL_EXACT, "op10_warc": SQL_WARC}
+    return {"op2_minhash": SQL_NEAR, "op3_embeddings": SQL_VECTORS, "op4_toolcalls": SQL_CALLS, "op8_exact_dedup": SQL_EXACT, "op10_warc": SQL_WARC}
