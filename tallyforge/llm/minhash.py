@@ -195,15 +195,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
         tried = stored(pairs.distinct(), "near-pairs")
         sides = [known.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}")) for x in "ab"]
         guess = tried.join(sides[0], "a").join(sides[1], "b").withColumn("s", estimated("k_a", "k_b", "n_a", "n_b"))
-        guess = stored(guess.filter(F.col("s") >= PERCENT / 100 - MARGIN).select("a", "b").distinct(), "near-likely")
+        guess = stored(guess.filter(F.col("s") >= PERCENT / 100 - MARGIN).select("a", "b"), "near-likely")
         sides = [sets.select(F.col("id").alias(x), F.col("whole").alias(f"w_{x}")) for x in "ab"]
-        links = stored(guess.join(sides[0], "a").join(sides[1], "b").filter(similar("w_a", "w_b")).select("a", "b").distinct(), "near-links")
+        links = stored(guess.join(sides[0], "a").join(sides[1], "b").filter(similar("w_a", "w_b")).select("a", "b"), "near-links")
         dropped(spark, guess)
         return links, tried
 
     links, tried = confirmed(member.filter("id != low").select(F.least("low", "id").alias("a"), F.greatest("low", "id").alias("b")))
     left = member.filter("id != low").select("bucket", "id")  # a pivot has met its whole bucket
-    root, pivots = stored(components(links), "near-roots"), 16
+    root, pivots = components(links), 64
     while True:
         placed = left.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -215,13 +215,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
         chosen = placed.filter("component != most").groupBy("bucket", deal).agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("own"))
         chosen = stored(chosen, "near-pivots")
         met = placed.join(chosen, "bucket").filter("component != own")
-        pairs = met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).join(tried, ["a", "b"], "left_anti")
         more, now = confirmed(pairs)
-        links = stored(links.unionByName(more), "near-links")
-        tried = stored(tried.unionByName(now), "near-tried")
+        links = links.unionByName(more)
+        tried = tried.unionByName(now)
         left = stored(placed.select("bucket", "id").join(chosen.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti"), "near-left")
-        root, pivots = stored(components(links), "near-roots"), 4 * pivots
-    dropped(spark, sets, member, tried)
+        root, pivots = components(links), 8 * pivots
+    dropped(spark, sets, member)
 
     of_class = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "id").join(root.withColumnRenamed("node", "id"), "id", "left")
     of_class = of_class.select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("root"))

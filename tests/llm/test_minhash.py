@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from tallyforge.llm import minhash
 from tallyforge.llm.components import components
 
@@ -75,7 +76,9 @@ def test_estimate_and_merge():
     assert abs(minhash.likely(k[0][None], k[1][None], np.array([700.0]), np.array([700.0]))[0] - 0.75) < 0.12
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("tallyforge.llm.components.FEW", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3), (200, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 200: 200, 300: 200}
