@@ -137,14 +137,14 @@ def arcs_of(pages: DataFrame, date: str = "20200101000000") -> DataFrame:
     """ARC files (path, content) that hold a page's html as an HTTP response; version 1 and 2 by turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, body = TaskContext.get().partitionId(), 0, b""
+        part, number, body = TaskContext.get().partitionId(), 0, bytearray()
         for batch in batches:
             for page, url, html in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 version = 1 + number % 2
                 if not body:
                     about = f"{version} 0 tallyforge\n{FIELDS[version]}\n".encode()
                     plain = f"filedesc://part-{part}-{number}.arc 0.0.0.0 {date} text/plain"
-                    body = f"{plain}{' 200 - - 0 -' * (version == 2)} {len(about)}\n".encode() + about + b"\n"
+                    body += f"{plain}{' 200 - - 0 -' * (version == 2)} {len(about)}\n".encode() + about + b"\n"
                 payload = (html or "").encode()
                 own = "" if page is None else f"X-Page-Id: {page}\r\n"
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{own}\r\n".encode() + payload
@@ -152,10 +152,10 @@ def arcs_of(pages: DataFrame, date: str = "20200101000000") -> DataFrame:
                 more = f" 200 - - {len(body)} part-{part}-{number}.arc" if version == 2 else ""
                 body += f"{uri} 0.0.0.0 {date} text/html{more} {len(block)}\n".encode() + block + b"\n"
                 if len(body) > ARC_BYTES:
-                    yield pa.record_batch([pa.array([f"part-{part}-{number}.arc"]), pa.array([body], pa.binary())], ["path", "content"])
-                    number, body = number + 1, b""
+                    yield pa.record_batch([pa.array([f"part-{part}-{number}.arc"]), pa.array([bytes(body)], pa.binary())], ["path", "content"])
+                    number, body = number + 1, bytearray()
         if body:
-            yield pa.record_batch([pa.array([f"part-{part}-{number}.arc"]), pa.array([body], pa.binary())], ["path", "content"])
+            yield pa.record_batch([pa.array([f"part-{part}-{number}.arc"]), pa.array([bytes(body)], pa.binary())], ["path", "content"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "path string, content binary")
 
