@@ -682,11 +682,11 @@ def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.covered(table(spark, sf_dir, "documents").select("doc_id", "source"), vectors, "source", "doc_id")
 
 
-@query(r"""WITH s AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN lower(p_name) = 'part 7' THEN 100 ELSE 0 END + len(list_intersect(regexp_extract_all(lower(p_name), '([\p{L}\p{N}_]+)', 1), ['part', '7', 'steel', '12'])) AS score FROM part)
+@query(r"""WITH s AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN lower(p_name) = 'red widget' THEN 100 ELSE 0 END + len(list_intersect(regexp_extract_all(lower(p_name), '([\p{L}\p{N}_]+)', 1), ['a', 'red', 'widget', 'or', 'bolt'])) AS score FROM part)
 SELECT id, title, CAST(score AS INT) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10""")
 def library_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SORT-14."""
-    return reports.resolved(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "part 7", "part 7 steel 12")
+    return reports.resolved(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "Red Widget", "a red widget or bolt")
 
 
 @query("""SELECT a.doc_id, CASE WHEN a.doc_id % 6 = 0 THEN 'withheld' WHEN a.doc_id % 5 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM documents a""")
