@@ -63,8 +63,9 @@ def rate(p: list[Column], steps: list[np.ndarray], most: float | None) -> Column
     return out
 
 
-def fitted(rows: DataFrame, targets: dict[str, float], budget: float | None = 1.0, most: float | None = None) -> list[np.ndarray]:
-    """The steps' vectors, from rows with tokens and p. budget None: as many tokens as the targets allow without repeats."""
+def fitted(rows: DataFrame, targets: dict[str, float], budget: float | None = 1.0, most: float | None = None, spared: bool = False) -> list[np.ndarray]:
+    """The steps' vectors, from rows with tokens and p. budget None: as many tokens as the targets allow without repeats. spared: a
+    domain with fewer tokens than its goal is to keep all that it has, and shrinks no other."""
     names, k = list(targets), len(targets)
     share = np.array([targets[n] for n in names], float) / sum(targets.values())
     n, p = F.col("tokens").cast("double"), [F.col("p")[i] for i in range(k)]
@@ -76,6 +77,8 @@ def fitted(rows: DataFrame, targets: dict[str, float], budget: float | None = 1.
     if budget is None:
         budget = min(h / t for h, t in zip(have, share, strict=True) if t)
     goal, steps, scale = share * budget, [], 1.0
+    if spared:
+        goal = np.minimum(goal, have)
     direction = np.linalg.pinv(m, rcond=1e-9) @ (have - goal)
     for _ in range(STEPS):
         if np.abs(have - goal).max() <= CLOSE:
@@ -104,12 +107,15 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     return rows.select("doc_id", "tokens", *[x.alias(f"p_{n}") for x, n in zip(p, names, strict=True)], rate(p, steps, most).alias("rate"))
 
 
-def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, most: float | None = 1.0) -> DataFrame:
+def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, most: float | None = 1.0) -> DataFrame:
     """The rows of docs, all columns, as often as their rates say: the whole part, and once more where a hash of the id and the
-    text falls below the rest. By default no row is repeated, and the total is what the targets allow so."""
+    text falls below the rest. By default no row is repeated. Without targets, each domain is cut to its share in TARGETS of all
+    tokens, and one that has fewer is kept and shrinks no other; the total of given targets is what they allow so."""
+    spared, targets = targets is None, TARGETS if targets is None else targets
+    budget = 1.0 if spared and budget is None else budget
     names = list(targets)
     score = posteriors(docs, labels, names)
-    steps = fitted(stored(docs.select(score(text_or_empty()).alias("x")).select("x.tokens", "x.p"), "mix-posteriors"), targets, budget, most)
+    steps = fitted(stored(docs.select(score(text_or_empty()).alias("x")).select("x.tokens", "x.p"), "mix-posteriors"), targets, budget, most, spared)
     r = rate([F.col("__x.p")[i] for i in range(len(names))], steps, most)
     chance = F.pmod(F.xxhash64(F.lit(9), "doc_id", text_or_empty()), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = docs.withColumn("__x", score(text_or_empty())).withColumn("__times", F.floor(r + chance).cast("int")).filter("__times > 0")

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tallyforge.llm import exact_dedup, minhash, mixing, toxicity
 
 
@@ -37,3 +38,12 @@ def test_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s"), (2, "d", "s")], "doc_id long, text string, source string")
     for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
         assert sorted(str(r.doc_id) for r in stage(spark, rows, "").collect()) == ["1", "2", "None"]
+
+
+def test_mixing_keeps_most_clean_tokens(spark):
+    d = "/root/testdata/sf0.01"
+    docs = corpus_pipeline.reject_toxic(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    size = F.sum(F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), "\\s+")))
+    had, kept = docs.agg(size).first()[0], corpus_pipeline.mix(spark, docs, d).agg(size).first()[0]
+    print("kept share", kept / had)
+    assert kept > 0.85 * had

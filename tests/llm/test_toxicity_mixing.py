@@ -83,3 +83,10 @@ def test_mixed_rows_keep_columns_and_repeat_none(tables):
     assert len(ids) == len(set(ids))
     low = [i for i in range(900) if i % 7 == 3]
     assert len(set(low) & set(ids)) < 0.6 * len(low)
+
+
+def test_a_short_domain_shrinks_no_other(spark):
+    rows = spark.createDataFrame([(10, p) for p in [[1.0, 0.0, 0.0]] * 90 + [[0.0, 1.0, 0.0]] * 9 + [[0.0, 0.0, 1.0]]], "tokens long, p array<double>")
+    steps = mixing.fitted(rows, mixing.TARGETS, 1.0, 1.0, spared=True)
+    got = rows.select("p", mixing.rate([F.col("p")[i] for i in range(3)], steps, 1.0).alias("r")).collect()
+    assert abs(sum(x.r for x in got if x.p[0]) - 86) < 0.1 and all(x.r > 0.999 for x in got if not x.p[0])
