@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators import graph, joins, pricing, retrieval, sequences, snapshots, usage
+from tallyforge.plans import queries
 from tallyforge.streaming import ledger
 
 
@@ -123,3 +124,15 @@ def test_queries_run_without_the_llm_folder(spark, name):
     from tallyforge.plans import queries
 
     assert queries.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() <= 1
+
+
+def selected(spark, tmp_path, texts, question):
+    docs = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return [{r.unit for r in f(spark, str(tmp_path)).collect()} for f in (queries.diversity, queries.budget_fit)]
+
+
+def test_selections_ask_the_whole_question(spark, tmp_path):
+    for got in selected(spark, tmp_path, ["other words", "a rare thing"], " ".join(f"w{i}" for i in range(20)) + " rare"):
+        assert got == {1}
