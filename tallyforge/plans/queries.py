@@ -472,6 +472,10 @@ sc AS (SELECT question, p.unit, round(sum(ln(1 + (units - df + 0.5) / (df + 0.5)
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, unit) AS INT) AS place FROM sc)"""
 
 
+#: SORT-03, WIN-11: the units that the sequential selections see.
+CANDIDATES = 300
+
+
 def ranking(spark: SparkSession, sf_dir: str, limit: int, first_words: int | None = 12) -> DataFrame:
     """The SQL asks the first twelve words of a benchmark text; first_words None asks the whole text."""
     text = F.col("text") if first_words is None else F.array_join(F.slice(F.split("text", " "), 1, first_words), " ").alias("text")
@@ -564,7 +568,7 @@ def token_budget_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-11, WIN-12: order-dependent; tested against its rule in tests/."""
-    rows = ranking(spark, sf_dir, 30, None).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.col("source").alias("file")), "unit")
+    rows = ranking(spark, sf_dir, CANDIDATES, None).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.col("source").alias("file")), "unit")
     return retrieval.diverse(rows.select("question", "unit", "file", "score"))
 
 
@@ -572,7 +576,7 @@ def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SORT-07 to SORT-11: order-dependent; tested against its rule in tests/."""
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), S.token_estimate(F.col("text")).alias("tokens"))
-    return retrieval.budgeted(ranking(spark, sf_dir, 30, None).join(sizes, "unit").select("question", "place", "unit", "tokens"), 2000)
+    return retrieval.budgeted(ranking(spark, sf_dir, CANDIDATES, None).join(sizes, "unit").select("question", "place", "unit", "tokens"), 2000)
 
 
 # Graph

@@ -136,3 +136,9 @@ def selected(spark, tmp_path, texts, question):
 def test_selections_ask_the_whole_question(spark, tmp_path):
     for got in selected(spark, tmp_path, ["other words", "a rare thing"], " ".join(f"w{i}" for i in range(20)) + " rare"):
         assert got == {1}
+
+
+def test_selections_see_three_hundred_candidates(spark, tmp_path):
+    big = [f"term term term number{i} " + "x" * 9000 for i in range(60)]
+    diverse, fit = selected(spark, tmp_path, [*big, "term in a small unit " + "pad " * 300], "term")
+    assert diverse == set(range(61)) and fit == {60}
