@@ -100,6 +100,13 @@ def sha1_of(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def long_of(digits: bytes | None) -> int | None:
+    """A decimal number within a long's range."""
+    if digits and re.fullmatch(rb"-?\d{1,19}", digits) and -(2**63) <= int(digits) < 2**63:
+        return int(digits)
+    return None
+
+
 RECORD = "record_id string, type string, uri string, date string, ip string, mime string, page_id long, head binary, payload binary, block_digest string, payload_digest string, payload_bytes long, same string, version int, skipped int"
 
 
@@ -116,7 +123,7 @@ def converted(arcs: DataFrame) -> DataFrame:
                     kind = "warcinfo" if uri.startswith("filedesc:") else "response" if head else "resource"
                     page = header(head, b"X-Page-Id") if head else None
                     key = uuid.uuid5(uuid.NAMESPACE_URL, f"{name} {place} {f['length']!r} {uri}")
-                    rows.append((f"<urn:uuid:{key}>", kind, uri, warc_date(f["date"]), f["ip"].decode("latin-1"), f["mime"].decode("latin-1"), int(page) if page and re.fullmatch(rb"-?\d{1,18}", page) else None, head, payload, sha1_of(block), sha1_of(payload), len(payload), hashlib.sha256(payload).hexdigest(), version, skipped))
+                    rows.append((f"<urn:uuid:{key}>", kind, uri, warc_date(f["date"]), f["ip"].decode("latin-1"), f["mime"].decode("latin-1"), long_of(page), head, payload, sha1_of(block), sha1_of(payload), len(payload), hashlib.sha256(payload).hexdigest(), version, skipped))
                     size += len(block)
                     if size > ARC_BYTES:
                         yield made(rows)

@@ -48,3 +48,11 @@ def test_archived(spark):
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].sound) == (len(data), hashlib.sha1(data).hexdigest(), True)
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 5) if i in (1, 2) else ("response", None))
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_page_ids_near_the_ends_of_a_long(spark):
+    ids = [2**63 - 1, 10**18, 5, -(2**63)]
+    rows = spark.createDataFrame([(i, "u", "z" * 2000) for i in ids], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived(rows).collect()}
+    assert got == {i: ("response", None) if i == 2**63 - 1 else ("revisit", 2**63 - 1) for i in ids}
+    assert warc.long_of(b"9223372036854775808") is None
