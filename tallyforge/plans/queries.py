@@ -217,7 +217,7 @@ c AS (SELECT *, CASE WHEN reason IS NULL THEN CAST(floor((fixed + rw * least(rat
 
 @query(f"WITH {CARD}, {COST} SELECT l_orderkey, l_linenumber, coalesce(reason, CASE WHEN lower_e7 = upper_e7 THEN 'priced' ELSE 'range' END) AS status, lower_e7, upper_e7 FROM c")
 def price_effective_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-04, SCL-24, AGG-40."""
+    """JOIN-04, SCL-24."""
     rows = pricing.priced(pricing.effective(requests(spark, sf_dir), card(spark)))
     e7 = lambda c: F.floor(F.col(c) * 10_000_000 + F.lit("0.5").cast("decimal(2,1)")).cast("long").alias(c.replace("cost", "e7"))
     return rows.select("l_orderkey", "l_linenumber", "status", e7("lower_cost"), e7("upper_cost"))
@@ -425,7 +425,7 @@ def secret_spans_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS x FROM documents), w AS (SELECT doc_id, x, unnest(generate_series(1, greatest(1, len(x) - 5), 15)) AS first_line FROM l)
 SELECT doc_id, CAST(first_line AS INT) AS first_line, CAST(least(first_line + 19, len(x)) AS INT) AS last_line, md5(array_to_string(x[first_line:least(first_line + 19, len(x))], chr(10))) AS h FROM w""")
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-14 to WIN-16, SCL-18."""
+    """WIN-16, SCL-18."""
     rows = sequences.line_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 20, 15)
     return rows.select("doc_id", "first_line", "last_line", F.md5("window").alias("h"))
 
@@ -485,7 +485,7 @@ def ranking(spark: SparkSession, sf_dir: str, limit: int, first_words: int | Non
 
 @query(f"WITH {BM25} SELECT question, unit, place FROM ranked WHERE place <= 5")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-34, SORT-03, SORT-04, TXT-16, FLT-13."""
+    """AGG-34, SORT-03, SORT-04, TXT-16."""
     return ranking(spark, sf_dir, 5).select("question", "unit", "place")
 
 
@@ -514,7 +514,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BM25}, s AS (SELECT ranked.*, source FROM ranked JOIN documents ON doc_id = unit WHERE place <= 50), f AS (SELECT *, row_number() OVER (PARTITION BY question, source ORDER BY place) AS k FROM s)
 SELECT question, unit, source, CAST(row_number() OVER (PARTITION BY question ORDER BY place) AS INT) AS nth FROM f WHERE k <= 3 QUALIFY nth <= 10""")
 def per_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-10, JOIN-11."""
+    """WIN-10 (the cap only), JOIN-11."""
     rows = ranking(spark, sf_dir, 50).withColumnRenamed("place", "was").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "source"), "unit")
     return retrieval.capped(rows, "question", "source", [F.col("was")]).select("question", "unit", "source", F.col("place").alias("nth"))
 
@@ -545,7 +545,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25}, {METRICS} SELECT * FROM m")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-22, SRC-23, SRC-24, UDF-08."""
+    """AGG-22, UDF-08."""
     return metrics(spark, sf_dir)
 
 
@@ -567,14 +567,14 @@ def token_budget_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-11, WIN-12: order-dependent; tested against its rule in tests/."""
+    """WIN-11 (without the coverage condition): order-dependent; tested against its rule in tests/."""
     rows = ranking(spark, sf_dir, CANDIDATES, None).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.col("source").alias("file")), "unit")
     return retrieval.diverse(rows.select("question", "unit", "file", "score"))
 
 
 @query()
 def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SORT-07 to SORT-11: order-dependent; tested against its rule in tests/."""
+    """SORT-07 (without excerpts), SORT-09: order-dependent; tested against its rule in tests/."""
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), S.token_estimate(F.col("text")).alias("tokens"))
     return retrieval.budgeted(ranking(spark, sf_dir, CANDIDATES, None).join(sizes, "unit").select("question", "place", "unit", "tokens"), 2000)
 
