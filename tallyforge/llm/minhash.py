@@ -8,16 +8,20 @@ likely as the sets are similar, so ROWS registers together make a band's key.
 
 1. Equal sets become one class, with its smallest doc_id (copies are combined on the map side, never paired).
 2. Classes that share a band's key are candidates. In each bucket the class that meets most others in all its buckets (an
-   original rather than one of its edited copies) is the pivot and is compared with every other; a bucket never yields all its pairs. A pair's similarity is estimated from both sketches and sizes by
-   maximum likelihood; clearly dissimilar pairs (MARGIN below the threshold, over five standard errors) end there.
-3. The others are confirmed or refused on their full sets.
+   original rather than one of its edited copies) is the pivot and is compared with every other, which is linear in the bucket.
+   Pairs whose sizes rule a link out end at once; the others' similarity is estimated from both sketches and sizes by
+   maximum likelihood, and clearly dissimilar pairs (MARGIN below the threshold, over five standard errors) end there.
+3. What is left is confirmed or refused on the full sets. A pivot's set is sent once for a block of partners, not once a pair.
 4. Components of the links are found (components.py). A bucket whose members are in one component is done. In the others,
-   members outside of its largest component become pivots in turn, more each round, and are compared with all members of
-   other components, until those left are in one component: every pair of a bucket that could join two components is checked.
+   pairs of blocks of members meet, first by sizes and signs of the registers (two bits each), which tells the members that
+   have a likely partner in another component, then by full sets, as products of 0/1 matrices. Neither step yields pairs: the
+   first yields members, the second the components that it joins. Every pair of a bucket that could join two components is checked,
+   and work grows with the square of a bucket only where thousands of different texts lie just below the threshold.
 
-A pair at similarity s has no band in common with probability (1 - s**4)**32: 5e-6 at 0.75, less above.
+A pair at similarity s has no band in common with probability (1 - s**4)**32: 5e-6 at 0.75, less above. Signs refuse a pair
+at 0.75 with probability 1e-7 (they are 5.2 standard errors below what is expected there). Shingles are compared by 64-bit hashes.
 
-Nulls, ties, empties: null text is empty; a repeated row is in its copy's component; rows that share an id share a component;
+Nulls, ties, empties: null text is empty; a repeated row is in its copy's component; rows that share an id but not a set go by their sets;
 a null id is never a component's smallest and keeps its row; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +44,11 @@ REGISTERS = BANDS * ROWS
 #: The registers' base, the largest register and the rate of the exponential values.
 B, TOP, RATE = 1.001, 65_534, 20.0
 MARGIN = 0.2
+#: Signs (two bits of each register) that a pair at the threshold may differ in: of 128, 24 are expected, with a deviation of 4.4.
+MOST_SIGNS = 47
+#: Members in a block that compares signs; shingles in a block that compares sets, and what a member counts besides its own (a
+#: block has about SETS_BLOCK / LIGHTEST members at most); columns of a 0/1 matrix.
+SIGNS_BLOCK, SETS_BLOCK, LIGHTEST, COLUMNS = 2048, 400_000, 800, 4096
 
 _RNG = np.random.default_rng(20_240_611)
 _MULTIPLY = _RNG.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -79,8 +88,14 @@ def registers(hashes: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
+def signs(rows: np.ndarray) -> np.ndarray:
+    """Rows x 32 bytes: the last two bits of each register; equal registers have equal signs, others have with probability 1/4."""
+    two = (rows & 3).astype(np.uint8).reshape(len(rows), -1, 4)
+    return two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that stand for the set), sketch (little-endian uint16 registers)."""
+    """doc_id, n_shingles, set_a and set_b (128 bits that stand for the set), sketch (little-endian uint16 registers), sign (two bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,12 +108,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                     b = np.array([mixed(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 rows = registers(h, to)
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+                    [batch["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([s.tobytes() for s in signs(rows)], pa.binary())],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "sign"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, sign binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -142,19 +157,14 @@ def estimated(left: pa.Array, right: pa.Array, n: pa.Array, m: pa.Array) -> pa.A
     return pa.array(np.concatenate([likely(x[i : i + 2000], y[i : i + 2000], *(s[i : i + 2000] for s in sizes)) for i in range(0, len(x), 2000)]))
 
 
-@F.arrow_udf(T.BooleanType())
-def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Whether two full sets (sorted little-endian uint64) reach the threshold, in whole numbers."""
-    out = []
-    for a, b in zip(left, right, strict=True):
-        x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-        at = np.searchsorted(y, x)
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pa.array(out, pa.bool_())
+def alike_in_size(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can reach the threshold at all: the smaller one would have to lie within the larger."""
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and its whole set (sorted little-endian uint64)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch["text"])
@@ -164,7 +174,167 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch["doc_id"].slice(i, j - i), pa.array(sets, pa.binary())], ["id", "whole"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "id long, whole binary")
+    sets = rows.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(run, "id long, whole binary")
+    return sets
+
+
+class Block:
+    """Members of one block: ids, components and sets."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.ids, self.roots = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("id", "root"))
+        data, ends = zip(*(buffers(p["whole"]) for p in parts), strict=True)
+        self.values = np.concatenate(data).view("<u8")
+        self.sizes = np.concatenate([np.diff(e) for e in ends]) // 8
+        self.row = np.repeat(np.arange(len(self.ids)), self.sizes)
+
+
+def matches(a: Block, b: Block) -> np.ndarray:
+    """len(a) x len(b): whether the full sets reach the threshold, in whole numbers."""
+    own = np.unique(b.values) if a is not b else None
+    words = np.unique(a.values) if own is None else np.intersect1d(np.unique(a.values), own, assume_unique=True)
+    both = np.zeros((len(a.ids), len(b.ids)), np.int64)
+    sides = []
+    for x in (a, b):
+        at = np.searchsorted(words, x.values)
+        at[at == len(words)] = 0
+        hit = words[at] == x.values if len(words) else np.zeros(0, bool)
+        at, row = (at[hit], x.row[hit]) if len(words) else (at[:0], x.row[:0])
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], row[order]))
+    for lo in range(0, len(words), COLUMNS):  # products of 0/1 matrices count what is common; exact in float32
+        dense = []
+        for (at, row), x in zip(sides, (a, b), strict=True):
+            s, e = np.searchsorted(at, [lo, lo + COLUMNS])
+            m = np.zeros((len(x.ids), min(COLUMNS, len(words) - lo)), np.float32)
+            m[row[s:e], at[s:e] - lo] = 1
+            dense.append(m)
+        both += (dense[0] @ dense[1].T).astype(np.int64)
+    return 100 * both >= PERCENT * (a.sizes[:, None] + b.sizes[None, :] - both)
+
+
+def joined(a: Block, b: Block, label: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Pairs of components that links between the blocks join, each join once: label is a union-find over components."""
+
+    def top(x: int) -> int:
+        while (y := label.setdefault(x, x)) != x:
+            label[x] = label[y]
+            x = y
+        return x
+
+    linked = None
+    while True:
+        x, y = (np.array([top(int(r)) for r in block.roots]) for block in (a, b))
+        apart = x[:, None] != y[None, :]
+        if not apart.any():
+            return
+        linked = matches(a, b) if linked is None else linked
+        apart &= linked
+        rows = np.flatnonzero(apart.any(1))
+        if not len(rows):
+            return
+        for u, v in zip(x[rows].tolist(), y[apart[rows].argmax(1)].tolist(), strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                label[max(u, v)] = min(u, v)
+                yield u, v
+
+
+def confirmed(rows: DataFrame) -> DataFrame:
+    """a, b: components that links between members of a group join. rows: g, side, id, root, whole, a row for each member of a group; those of
+    side 0 meet those of side 1 and, in a group without a side 1, one another. Side 0 of a group is held in memory, the
+    other passes by in batches, so that what a task holds is bounded by how groups are dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, left, label, alone = None, [], None, {}, True
+        found: list[tuple[int, int]] = []
+
+        def ended() -> None:
+            if held and alone:
+                block = Block(held)
+                found.extend(joined(block, block, label))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            g, side = (batch[c].to_numpy() for c in ("g", "side"))
+            cuts = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (side[1:] != side[:-1])) + 1, [len(g)]])
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if g[s] != at:
+                    ended()
+                    at, held, left, label, alone = g[s], [], None, {}, True
+                if not side[s]:
+                    held.append(batch.slice(s, e - s))
+                    continue
+                alone = False
+                if held:
+                    left = Block(held) if left is None else left
+                    found.extend(joined(left, Block([batch.slice(s, e - s)]), label))
+            if len(found) >= 1000:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                found = []
+        ended()
+        if found:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return rows.select("g", "side", "id", "root", "whole").repartition("g").sortWithinPartitions("g", "side", "id").mapInArrow(run, "a long, b long")
+
+
+def dealt(members: DataFrame, of: str, weight: Column, most: int) -> DataFrame:
+    """members of groups (column `of`), dealt out as pairs of blocks that hold about `most` of the weight each: adds g, side. A
+    block meets itself in a group without a side 1."""
+    sizes = members.groupBy(of).agg(F.ceil(F.sum(weight) / F.lit(most)).cast("int").alias("blocks"))
+    rows = members.join(sizes, of).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    g = F.xxhash64(of, F.least("own", "other"), F.greatest("own", "other"))
+    return rows.withColumn("g", g).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("blocks", "own", "other")
+
+
+def plausible(members: DataFrame) -> DataFrame:
+    """bucket, id of members (bucket, id, root, n, sign) that meet, in their bucket, one of another component that could be a link
+    by its size and by the share of equal register signs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            t = pa.Table.from_batches(held)
+            if len(t) < 2:
+                return
+            side, ids, root, n = (t[c].to_numpy() for c in ("side", "id", "root", "n"))
+            sign = buffers(t["sign"])[0].view("<u8").reshape(len(t), -1)
+            right = np.flatnonzero(side == 1) if side[-1] else np.arange(len(t))
+            left = np.flatnonzero(side == 0)
+            good = np.zeros(len(t), bool)
+            for lo in range(0, len(left), 128):
+                x = left[lo : lo + 128]
+                ok = (root[x][:, None] != root[right][None, :]) & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= PERCENT * np.maximum(n[x][:, None], n[right][None, :]))
+                i, j = np.nonzero(ok)
+                differ = sign[x[i]] ^ sign[right[j]]
+                differ = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+                hit = differ <= MOST_SIGNS
+                good[x[i[hit]]] = True
+                good[right[j[hit]]] = True
+            if good.any():
+                yield pa.record_batch([t["bucket"].combine_chunks().take(pa.array(np.flatnonzero(good))), pa.array(ids[good])], ["bucket", "id"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            g = batch["g"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if g[s] != at:
+                    yield from ended()
+                    at, held = g[s], []
+                held.append(batch.slice(s, e - s))
+        yield from ended()
+
+    rows = dealt(members, "bucket", F.lit(1), SIGNS_BLOCK)
+    rows = rows.select("g", "side", "bucket", "id", "root", "n", "sign").repartition("g").sortWithinPartitions("g", "side", "id")
+    return rows.mapInArrow(run, "bucket long, id long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -172,58 +342,58 @@ def near_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sketch = stored(sketches(docs), "near-sketches")
-    best = F.min(F.struct("doc_id", "sketch")).alias("best")
+    best = F.min(F.struct("doc_id", "sketch", "sign")).alias("best")
     classes = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(best)
-    classes = stored(classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), F.col("best.doc_id").alias("id"), F.col("best.sketch").alias("sketch")), "near-classes")
-
-    member = stored(bands(classes), "near-bands")
-    mark = F.bit_xor(F.xxhash64("id"))
-    buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), mark.alias("mark")).filter("n > 1 AND low < high")
-    buckets = stored(buckets, "near-buckets")
-    crowded = member.join(buckets.select("bucket", "n"), "bucket")
-    central = stored(crowded.groupBy("id").agg(F.sum("n").alias("company")), "near-central")  # how many a class meets in all its buckets
-    once = buckets.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket"))  # the same members in another band add nothing
-    member = member.join(once.select("bucket"), "bucket", "left_semi").join(central, "id")
-    pivot = member.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("order"))).alias("p")).select("bucket", (-F.col("p.order")).alias("low"))
-    member = stored(member.select("bucket", "id").join(pivot, "bucket"), "near-members")
-    ids = stored(member.select("id").distinct(), "near-ids")
-    known = stored(classes.select("id", "n", "sketch").join(ids, "id", "left_semi"), "near-known")
+    classes = stored(classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), F.col("best.doc_id").alias("id"), F.col("best.sketch").alias("sketch"), F.col("best.sign").alias("sign")), "near-classes")
+    rows = stored(sketch.select("doc_id", "n_shingles", "set_a", "set_b"), "near-rows")
+    dropped(spark, sketch)
+
+    every = stored(bands(classes), "near-bands")
+    crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("company"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark"))
+    crowded = stored(crowded.filter("company > 1 AND low < high"), "near-buckets")
+    member = stored(every.join(crowded.select("bucket", "company"), "bucket"), "near-crowded")
+    dropped(spark, every)
+    central = member.groupBy("id").agg(F.sum("company").alias("company"))  # how many a class meets in all its buckets
+    known = stored(classes.select("id", "n", "sketch", "sign").join(central, "id"), "near-known")
+    once = crowded.groupBy("company", "low", "high", "mark").agg(F.min("bucket").alias("bucket"))  # the same members in another band add nothing
+    own = member.select("bucket", "id").join(once.select("bucket"), "bucket", "left_semi").join(known.select("id", "n", "company"), "id")
+    own = stored(own, "near-members")
+    dropped(spark, member, crowded)
+    order = F.max(F.struct("company", (F.lit(-1) - F.col("id")).alias("order"), "n")).alias("p")
+    pivots = own.groupBy("bucket").agg(order).select("bucket", (F.lit(-1) - F.col("p.order")).alias("pivot"), F.col("p.n").alias("m"))
+    met = stored(own.select("bucket", "id", "n").join(pivots, "bucket").filter("id != pivot"), "near-met")
+    dropped(spark, own)
+
+    # every class against its buckets' pivots
+    star = met.filter(alike_in_size(F.col("n"), F.col("m"))).select("pivot", "id", "n").distinct()
+    side = lambda x: known.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
+    guess = star.join(side("pivot"), "pivot").join(side("id"), "id").withColumn("s", estimated("k_pivot", "k_id", "n_pivot", "n_id"))
+    likely_pairs = stored(guess.filter(F.col("s") >= PERCENT / 100 - MARGIN).select("pivot", "id", "n"), "near-likely")
+    ids = likely_pairs.select("id").unionByName(likely_pairs.select(F.col("pivot").alias("id"))).distinct()
     sets = stored(full_sets(docs, ids), "near-sets")
-
-    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs of ids, each once: those whose full sets reach the threshold, and all that were tried."""
-        tried = stored(pairs.distinct(), "near-pairs")
-        sides = [known.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}")) for x in "ab"]
-        guess = tried.join(sides[0], "a").join(sides[1], "b").withColumn("s", estimated("k_a", "k_b", "n_a", "n_b"))
-        guess = stored(guess.filter(F.col("s") >= PERCENT / 100 - MARGIN).select("a", "b"), "near-likely")
-        sides = [sets.select(F.col("id").alias(x), F.col("whole").alias(f"w_{x}")) for x in "ab"]
-        links = stored(guess.join(sides[0], "a").join(sides[1], "b").filter(similar("w_a", "w_b")).select("a", "b"), "near-links")
-        dropped(spark, guess)
-        return links, tried
-
-    links, tried = confirmed(member.filter("id != low").select(F.least("low", "id").alias("a"), F.greatest("low", "id").alias("b")))
-    left = member.filter("id != low").select("bucket", "id")  # a pivot has met its whole bucket
-    root, pivots = components(links), 64
-    while True:
-        placed = left.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        most = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", F.col("m.component").alias("most"))
-        placed = stored(placed.join(most, "bucket"), "near-open")
-        if placed.isEmpty():
-            break
-        deal = F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("deal")  # the largest component's members need not be pivots
-        chosen = placed.filter("component != most").groupBy("bucket", deal).agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("own"))
-        chosen = stored(chosen, "near-pivots")
-        met = placed.join(chosen, "bucket").filter("component != own")
-        pairs = met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).join(tried, ["a", "b"], "left_anti")
-        more, now = confirmed(pairs)
-        links = links.unionByName(more)
-        tried = tried.unionByName(now)
-        left = stored(placed.select("bucket", "id").join(chosen.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti"), "near-left")
-        root, pivots = components(links), 8 * pivots
-    dropped(spark, sets, member)
+    blocks = likely_pairs.groupBy("pivot").agg(F.ceil(F.sum(F.col("n") + LIGHTEST) / F.lit(SETS_BLOCK)).alias("blocks"))
+    guess = stored(likely_pairs.join(blocks, "pivot").select("pivot", "id", F.xxhash64("pivot", F.pmod(F.xxhash64(F.lit(7), "id"), "blocks")).alias("g")), "near-dealt")
+    sides = guess.select("g", F.col("pivot").alias("id"), F.lit(0).alias("side")).distinct().unionByName(guess.select("g", "id", F.lit(1).alias("side")))
+    links = stored(confirmed(sides.join(sets, "id").withColumn("root", F.col("id"))), "near-links")
+    dropped(spark, likely_pairs, guess)
+    root = components(links)
+
+    # buckets whose members are not in one component: all pairs that could join two
+    left = met.select("bucket", "id", "n").join(root.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("root"))
+    parts = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    left = stored(left.join(parts, "bucket", "left_semi").join(known.select("id", "sign"), "id"), "near-open")
+    dropped(spark, met, known)
+    held = stored(plausible(left), "near-plausible")
+    missing = held.select("id").distinct().join(sets.select("id"), "id", "left_anti")
+    more = stored(full_sets(docs, missing), "near-more")
+    members = held.join(left.select("bucket", "id", "root", "n"), ["bucket", "id"])
+    pairs = dealt(members, "bucket", F.lit(LIGHTEST) + F.col("n"), SETS_BLOCK)
+    later = stored(confirmed(pairs.select("g", "side", "id", "root").join(sets.unionByName(more), "id")), "near-later")
+    dropped(spark, left, held, sets, more)
+    root = components(links.unionByName(later))
+    dropped(spark, links, later)
 
     of_class = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "id").join(root.withColumnRenamed("node", "id"), "id", "left")
     of_class = of_class.select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("root"))
-    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
+    out = rows.join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("root", "doc_id")).alias("kept"))

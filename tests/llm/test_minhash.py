@@ -76,9 +76,27 @@ def test_estimate_and_merge():
     assert abs(minhash.likely(k[0][None], k[1][None], np.array([700.0]), np.array([700.0]))[0] - 0.75) < 0.12
 
 
-@pytest.mark.parametrize("few", [100_000, 0])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr("tallyforge.llm.components.FEW", few)
+@pytest.mark.parametrize("chunk", [100_000, 3])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr("tallyforge.llm.components.CHUNK", chunk)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3), (200, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 200: 200, 300: 200}
+
+
+def test_just_below_the_threshold(spark, monkeypatch):
+    """Many copies of one text, each with its own edits, so that hardly any is similar to the pivot but some are to one another; blocks are small."""
+    for name, value in (("SIGNS_BLOCK", 16), ("SETS_BLOCK", 4000), ("LIGHTEST", 200)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        w = list(w) if i % 3 == 2 else list(base)  # each third text is close to the one before it
+        for _ in range(1 if i % 3 == 2 else 5):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    want = brute(rows)
+    assert {tuple(r) for r in got.collect()} == want
+    assert 1 < len({c for _, _, c, _ in want}) < 90
