@@ -95,7 +95,8 @@ def signs(rows: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that stand for the set), sketch (little-endian uint16 registers), sign (two bits of each)."""
+    """doc_id, row (a hash of the text as it is), n_shingles, set_a and set_b (128 bits that stand for the set), sketch (little-endian
+    uint16 registers), sign (two bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,12 +109,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                     b = np.array([mixed(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 rows = registers(h, to)
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([s.tobytes() for s in signs(rows)], pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "sign"],
+                    [batch["doc_id"].slice(i, j - i), batch["row"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([s.tobytes() for s in signs(rows)], pa.binary())],
+                    ["doc_id", "row", "n_shingles", "set_a", "set_b", "sketch", "sign"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, sign binary")
+    text = text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, set_a long, set_b long, sketch binary, sign binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -337,15 +339,17 @@ def plausible(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, id long").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_groups(docs: DataFrame, rows_too: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; with rows_too also row, set_a and set_b, which tell apart the
+    rows of an id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sketch = stored(sketches(docs), "near-sketches")
     best = F.min(F.struct("doc_id", "sketch", "sign")).alias("best")
     classes = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(best)
     classes = stored(classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), F.col("best.doc_id").alias("id"), F.col("best.sketch").alias("sketch"), F.col("best.sign").alias("sign")), "near-classes")
-    rows = stored(sketch.select("doc_id", "n_shingles", "set_a", "set_b"), "near-rows")
+    own = ["row"] if rows_too else []
+    rows = stored(sketch.select("doc_id", *own, "n_shingles", "set_a", "set_b"), "near-rows")
     dropped(spark, sketch)
 
     every = stored(bands(classes), "near-bands")
@@ -396,4 +400,5 @@ def near_groups(docs: DataFrame) -> DataFrame:
     of_class = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "id").join(root.withColumnRenamed("node", "id"), "id", "left")
     of_class = of_class.select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("root"))
     out = rows.join(of_class, ["set_a", "set_b", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("root", "doc_id")).alias("kept"))
+    own = ["row", "set_a", "set_b"] if rows_too else []
+    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("root", "doc_id")).alias("kept"), *own)

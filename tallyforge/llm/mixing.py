@@ -17,13 +17,15 @@ no rows; other columns are ignored by rates() and kept by mixed_rows().
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import toxicity
-from tallyforge.llm.shared import SOLID, buffers, slices, stored, text_or_empty, words_of
+from tallyforge.llm.shared import SOLID, buffers, slices, stored, text_or_empty, unused, words_of
 
 #: Shares of the tokens by domain; steps at most, and the largest miss, as a share of all tokens, at which they end.
 TARGETS = {"good": 0.86, "low": 0.10, "toxic": 0.04}
@@ -63,15 +65,16 @@ def rate(p: list[Column], steps: list[np.ndarray], most: float | None) -> Column
     return out
 
 
-def fitted(rows: DataFrame, targets: dict[str, float], budget: float | None = 1.0, most: float | None = None, spared: bool = False) -> list[np.ndarray]:
-    """The steps' vectors, from rows with tokens and p. budget None: as many tokens as the targets allow without repeats. spared: a
-    domain with fewer tokens than its goal is to keep all that it has, and shrinks no other."""
+def fitted(rows: DataFrame, targets: dict[str, float], budget: float | None = 1.0, most: float | None = None, spared: bool = False) -> tuple[list[np.ndarray], float]:
+    """The steps' vectors, and the largest miss left by them as a share of all tokens, from rows with tokens and p. budget None: as
+    many tokens as the targets allow without repeats. spared: a domain with fewer tokens than its goal is to keep all that it
+    has, and shrinks no other."""
     names, k = list(targets), len(targets)
     share = np.array([targets[n] for n in names], float) / sum(targets.values())
     n, p = F.col("tokens").cast("double"), [F.col("p")[i] for i in range(k)]
     first = rows.agg(F.sum(n).alias("n"), *[F.sum(n * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
     if not first["n"]:
-        return []
+        return [], 0.0
     have = np.array([first[f"s{i}"] for i in range(k)]) / first["n"]
     m = np.array([[first[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / first["n"]
     if budget is None:
@@ -94,29 +97,31 @@ def fitted(rows: DataFrame, targets: dict[str, float], budget: float | None = 1.
         have, scale = now, 1.0
         m = np.array([[got[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / first["n"]
         direction = np.linalg.pinv(m, rcond=1e-6) @ (have - goal)
-    return steps
+    return steps, float(np.abs(have - goal).max())
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = 1.0, most: float | None = None) -> DataFrame:
-    """One row per document: doc_id, tokens, a posterior p_<domain> for each domain, rate."""
+    """One row per document: doc_id, tokens, a posterior p_<domain> for each domain, rate, missed (the largest miss of a domain's
+    total that the rates leave, as a share of all tokens: the same in each row)."""
     names = list(targets)
     rows = docs.select("doc_id", posteriors(docs, labels, names)(text_or_empty()).alias("x")).select("doc_id", "x.tokens", "x.p")
     rows = stored(rows, "mix-posteriors")
-    steps = fitted(rows, targets, budget, most)
+    steps, missed = fitted(rows, targets, budget, most)
     p = [F.col("p")[i] for i in range(len(names))]
-    return rows.select("doc_id", "tokens", *[x.alias(f"p_{n}") for x, n in zip(p, names, strict=True)], rate(p, steps, most).alias("rate"))
+    return rows.select("doc_id", "tokens", *[x.alias(f"p_{n}") for x, n in zip(p, names, strict=True)], rate(p, steps, most).alias("rate"), F.lit(missed).alias("missed"))
 
 
-def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, most: float | None = 1.0) -> DataFrame:
+def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = 1.0, most: float | None = 1.0, spared: bool = True) -> DataFrame:
     """The rows of docs, all columns, as often as their rates say: the whole part, and once more where a hash of the id and the
-    text falls below the rest. By default no row is repeated. Without targets, each domain is cut to its share in TARGETS of all
-    tokens, and one that has fewer is kept and shrinks no other; the total of given targets is what they allow so."""
-    spared, targets = targets is None, TARGETS if targets is None else targets
-    budget = 1.0 if spared and budget is None else budget
+    text falls below the rest. By default no row is repeated, each domain is cut to its share of all tokens, and one that has fewer
+    is kept and shrinks no other. A miss that the steps leave is warned of."""
     names = list(targets)
-    score = posteriors(docs, labels, names)
-    steps = fitted(stored(docs.select(score(text_or_empty()).alias("x")).select("x.tokens", "x.p"), "mix-posteriors"), targets, budget, most, spared)
-    r = rate([F.col("__x.p")[i] for i in range(len(names))], steps, most)
+    x, times = unused(docs, "mix"), unused(docs, "times")
+    scored = stored(docs.withColumn(x, posteriors(docs, labels, names)(text_or_empty())), "mix-scored")
+    steps, missed = fitted(scored.select(f"{x}.tokens", f"{x}.p"), targets, budget, most, spared)
+    if missed > 0.001:
+        warnings.warn(f"mixing leaves a domain {missed:.4f} of all tokens from its target", stacklevel=2)
+    r = rate([F.col(f"{x}.p")[i] for i in range(len(names))], steps, most)
     chance = F.pmod(F.xxhash64(F.lit(9), "doc_id", text_or_empty()), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = docs.withColumn("__x", score(text_or_empty())).withColumn("__times", F.floor(r + chance).cast("int")).filter("__times > 0")
-    return times.withColumn("__times", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    kept = scored.withColumn(times, F.floor(r + chance).cast("int")).filter(F.col(times) > 0)
+    return (kept if most is not None and most <= 1 else kept.withColumn(times, F.explode(F.sequence(F.lit(1), times)))).select(*docs.columns)

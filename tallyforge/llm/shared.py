@@ -1,4 +1,8 @@
-"""What several operators of this subpackage need: shared scratch tables, text batches as byte buffers, hashing."""
+"""What several operators of this subpackage need: shared scratch tables, text batches as byte buffers, hashing.
+
+Nulls, ties, empties: a null text is an empty one in every batch; equal rows stay apart in stored tables; an empty table is stored with
+its schema and read back with no rows; column names are compared without regard to case where a name must be free.
+"""
 
 from __future__ import annotations
 
@@ -20,17 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); one is set only where none is."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); one is set only where none is, and only in local
+    mode, where a folder of this machine is shared by all tasks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows in one Arrow batch, about: what the JVM and a Python worker hold at once follows from it and not from the texts' lengths.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Rows go to Python in batches of bounded bytes from here on, where the session does not ask for smaller ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "snappy") -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends here and sizes are known to the planner."""
     spark = df.sparkSession
+    bounded(spark)
     path = scratch(spark, name)
     writer = df.write.option("compression", codec)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
@@ -51,6 +71,14 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df is called so in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -5,10 +5,10 @@ of its pairs of neighbouring words and of its pairs with one word between (skip-
 Training is FTRL-proximal: each coordinate has its own learning rate, from the gradients it has seen, and L1 keeps
 coordinates at zero until they have earned a weight, so that the model is a short list of (place, weight), whose size
 2**BITS bounds, and is broadcast. It learns from at most MOST_ROWS labelled rows that are not held out (those with the
-smallest hash of their id), in one task; that bound is the only sample. Scoring covers every whole text, in one pass.
+smallest hash of their id), one text an id, in one task behind a shuffle, so that texts are read by all tasks; that bound is the only sample. Scoring covers every whole text, in one pass.
 
 Nulls, ties, empties: null and empty texts have no features and score by the intercept; labelled rows without a label or a
-document are not used, a document labelled more than once counts once, with its largest label; repeated rows get equal scores; with no
+document are not used, a document labelled more than once counts once, with its largest label, and an id with several texts teaches its smallest one; repeated rows get equal scores; with no
 labels at all every score is 0.5; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import LETTERS, LOWER, buffers, mixed, prefix_sums, slices, span_hashes, text_or_empty, words_of
+from tallyforge.llm.shared import LETTERS, LOWER, bounded, buffers, mixed, prefix_sums, slices, span_hashes, text_or_empty, words_of
 
 BITS, MOST_ROWS, EPOCHS, THRESHOLD = 20, 16_384, 6, 0.7
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.
@@ -78,6 +78,8 @@ def trained(docs: DataFrame, labels: DataFrame, classes: list[Column], most_rows
     known = labels.filter(F.col("doc_id").isNotNull()).filter(~held_out()).select("doc_id", *[c.cast("double").alias(y) for c, y in zip(classes, ys, strict=True)]).dropna()
     known = known.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in ys]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")  # most_rows bounds it
+    rows = rows.groupBy("doc_id", *ys).agg(F.min("text").alias("text"))  # one row an id, however often it is repeated
+    bounded(docs.sparkSession)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
@@ -93,7 +95,7 @@ def trained(docs: DataFrame, labels: DataFrame, classes: list[Column], most_rows
             at = np.flatnonzero(w)
             yield pa.record_batch([pa.array(np.full(len(at) + 1, k), pa.int32()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], b), pa.float64())], ["k", "place", "weight"])
 
-    found = rows.coalesce(1).mapInArrow(fit, "k int, place long, weight double").toArrow()
+    found = rows.repartition(1).mapInArrow(fit, "k int, place long, weight double").toArrow()
     of, places, weights = (found[c].to_numpy() for c in ("k", "place", "weight"))
     return [(places[(of == k) & (places >= 0)], weights[(of == k) & (places >= 0)], float(weights[(of == k) & (places < 0)].sum())) for k in range(len(ys))]
 

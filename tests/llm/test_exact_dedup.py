@@ -30,3 +30,21 @@ def test_directory_doubles():
     slots, depth = exact_dedup.directory({0: 4, 1: 4, 7: 1}, 3, 5)
     assert depth == 3 and slots == [0, 1, 2, 2, 3, 3, 3, 3]
     assert exact_dedup.directory({3: 100}, 2, 5)[1] == 2  # one cell can't be split further
+
+
+def test_extreme_ids_and_chosen_rows(spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "ab"), (None, "a b"), (None, "c"), (7, "c "), (7, "c"), (7, "c ")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), rows_too=True).collect()
+    assert {r.keep_id for r in got if r.group_size == 3} == {-(2**63)} and {r.keep_id for r in got if r.group_size == 4} == {7}
+    assert sum(r.chosen for r in got if r.group_size == 4) == 2 and sum(r.chosen for r in got if r.group_size == 3) == 1
+
+
+def test_index_is_read_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(i, f"text {i % 40}") for i in range(200)], "doc_id long, text string")
+    heads = exact_dedup.entries(rows).groupBy("key", "digest").agg(exact_dedup.best(), exact_dedup.F.count("*").alias("size"))
+    table, depth = exact_dedup.lookup(heads, 5, 6)
+    indexed, name = exact_dedup.index(heads, table, depth)
+    assert depth and indexed.select("bucket").distinct().count() > 4
+    plan = indexed.groupBy("bucket", "key").agg(exact_dedup.F.sum("size"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    spark.sql(f"DROP TABLE {name}")

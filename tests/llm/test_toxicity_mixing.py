@@ -65,7 +65,8 @@ def test_rates_match_a_plain_solver(spark):
     n = rng.integers(1, 100, 300)
     rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "tokens long, p array<double>")
     targets = {"x": 0.2, "y": 0.2, "z": 0.6}
-    steps = mixing.fitted(rows, targets)
+    steps, missed = mixing.fitted(rows, targets)
+    assert missed < 1e-4
     got = np.array([r[0] for r in rows.select(mixing.rate([F.col("p")[i] for i in range(3)], steps, None)).collect()])
     want, m = np.ones(300), (p * n[:, None]).T @ p / n.sum()
     for _ in range(20_000):  # plain projected gradient, step one in the fixed metric
@@ -87,6 +88,27 @@ def test_mixed_rows_keep_columns_and_repeat_none(tables):
 
 def test_a_short_domain_shrinks_no_other(spark):
     rows = spark.createDataFrame([(10, p) for p in [[1.0, 0.0, 0.0]] * 90 + [[0.0, 1.0, 0.0]] * 9 + [[0.0, 0.0, 1.0]]], "tokens long, p array<double>")
-    steps = mixing.fitted(rows, mixing.TARGETS, 1.0, 1.0, spared=True)
+    steps, missed = mixing.fitted(rows, mixing.TARGETS, 1.0, 1.0, spared=True)
+    assert missed < 1e-4
     got = rows.select("p", mixing.rate([F.col("p")[i] for i in range(3)], steps, 1.0).alias("r")).collect()
     assert abs(sum(x.r for x in got if x.p[0]) - 86) < 0.1 and all(x.r > 0.999 for x in got if not x.p[0])
+
+
+def test_a_miss_is_told(spark, tables):
+    docs, labels = tables
+    rows = spark.createDataFrame([(10, [1.0, 0.0])] * 9 + [(10, [0.0, 1.0])], "tokens long, p array<double>")
+    _, missed = mixing.fitted(rows, {"x": 0.5, "y": 0.5}, 1.0, 1.0)
+    assert missed > 0.3  # rates of at most one cannot make half of a tenth
+    with pytest.warns(UserWarning, match="mixing leaves"):
+        mixing.mixed_rows(docs, labels, {"good": 0.1, "low": 0.1, "toxic": 0.8}, spared=False)
+    out = mixing.rates(docs, labels)
+    assert "missed" in out.columns
+
+
+def test_ids_with_several_texts_teach_once(spark, tables):
+    docs, labels = tables
+    many = docs.unionByName(docs.filter("doc_id < 50").withColumn("text", F.lit("zz other"))).unionByName(docs.filter("doc_id < 50"))
+    a = toxicity.trained(docs, labels, [F.col("toxic")])[0]
+    b = toxicity.trained(docs.unionByName(docs), labels, [F.col("toxic")])[0]
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    assert len(toxicity.trained(many, labels, [F.col("toxic")])) == 1
