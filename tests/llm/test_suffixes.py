@@ -50,13 +50,48 @@ def test_spans(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, place int").repartition(3)
     want = brute(rows)
-    assert sorted(map(tuple, suffixes.digests(df).collect()), key=str) == want
+    assert sorted(map(tuple, suffixes.digests(df).drop("shared").collect()), key=str) == want
     monkeypatch.setattr(suffixes, "BUCKET", 40)  # many boundaries
-    assert sorted(map(tuple, suffixes.digests(df).collect()), key=str) == want
+    assert sorted(map(tuple, suffixes.digests(df).drop("shared").collect()), key=str) == want
     kept = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffixes.deduplicated(df).collect()]
     assert sorted(kept, key=str) == want
 
 
+def brute_sharing(rows, n=51):
+    holders = {}
+    for k, (_, t) in enumerate(rows):
+        w = (t or "").encode().lower().split()
+        for p in range(len(w) - n + 1):
+            holders.setdefault(tuple(w[p : p + n]), set()).add(k)
+    out = [False] * len(rows)
+    for own in holders.values():
+        for k in own if len(own) > 1 else ():
+            out[k] = True
+    return sorted(((i, s) for (i, _), s in zip(rows, out, strict=True)), key=str)
+
+
+def test_sharing(spark, monkeypatch):
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [words(n) for n in (49, 50, 51, 52, 80, 300)]
+    rows = []
+    for i in range(60):
+        w = words(rng.randrange(0, 120))
+        if i % 2:
+            w += rng.choice(passages)
+        if i % 5 == 0:  # within one document alone
+            own = words(60)
+            w += own + words(3) + own
+        rows.append((i, rng.choice([" ", "\n", "\t "]).join(w + words(rng.randrange(0, 90))).replace("w", rng.choice("wW"))))
+    rows += [(100, None), (101, ""), (102, "a " * 5000), (103, "b " * 60), (104, " ".join(passages[5][100:151])), (105, "A  " * 51), (None, " ".join(passages[2]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_sharing(rows)
+    assert sum(s for _, s in want) > 15 and sum(not s for _, s in want) > 15
+    for bucket in (1_000_000, 15):
+        monkeypatch.setattr(suffixes, "BUCKET", bucket)
+        assert sorted(map(tuple, suffixes.digests(df).select("doc_id", "shared").collect()), key=str) == want
+
+
 def test_empty(spark):
     assert suffixes.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
