@@ -274,7 +274,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = 1
                 blob = batch["ids"][row].as_buffer()
                 if not n:
                     continue
-                ids = memoryview(np.frombuffer(blob, f"<u{len(blob) // n}").astype("<u4").tobytes())
+                ids = np.frombuffer(blob, f"<u{len(blob) // n}").astype("<u4").tobytes()  # bytes: Arrow keeps a hold of each memoryview that it is given
                 for at, took, sequence, offset in plan.pieces(source, start, n):
                     out.append((doc, source, at, took, n, sequence, offset, ids[4 * at : 4 * (at + took)]))
                 size += len(ids)
