@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import stored
+from tallyforge.llm.shared import buffers, dropped, stored
 
 THRESHOLD, MISS, BUCKET, BLOCK = 0.95, 1e-6, 32, 2048
 SPREAD, CONFIDENCE, LEAST_ROTATIONS = 6.0, 6.0, 8
@@ -53,7 +54,7 @@ def tables(classes: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-agree))
 
 
-def unit(rows: list) -> np.ndarray:
+def unit(rows: list | np.ndarray) -> np.ndarray:
     x = np.array(rows, np.float64).reshape(len(rows), -1)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -75,13 +76,13 @@ def codes(classes: DataFrame, need: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, vectors = (batch[c].to_pylist() for c in ("id", "dim", "embedding"))
-            for dim in sorted(set(dims)):
-                own = [i for i, d in enumerate(dims) if d == dim]
-                y = turned(unit([vectors[i] for i in own]), need)
-                factor = (np.abs(y).sum(2) / math.sqrt(dim)).astype("<f4")
+            if not len(batch):
+                continue
+            for own, (rows,) in by_length(batch["embedding"]):
+                y = turned(unit(rows), need)
+                factor = (np.abs(y).sum(2) / math.sqrt(rows.shape[1])).astype("<f4")
                 code = np.packbits(y.reshape(len(own), -1) > 0, axis=1)
-                yield pa.record_batch([pa.array([ids[i] for i in own], pa.int64()), pa.array([dim] * len(own), pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([f.tobytes() for f in factor], pa.binary())], ["id", "dim", "code", "factors"])
+                yield pa.record_batch([batch["id"].take(pa.array(own)), pa.array(np.full(len(own), rows.shape[1], np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([f.tobytes() for f in factor], pa.binary())], ["id", "dim", "code", "factors"])
 
     return classes.select("id", "dim", "embedding").mapInArrow(run, "id long, dim int, code binary, factors binary")
 
@@ -164,29 +165,39 @@ def candidates(code: DataFrame, bits: int, number: int, threshold: float) -> Dat
     return member.mapInArrow(meet, "a long, b long")
 
 
+def by_length(*columns: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Row numbers and, for each column of vectors, a matrix, for runs of up to 2000 rows whose vectors have one length."""
+    lengths = pc.list_value_length(columns[0]).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths):
+        own = np.flatnonzero(lengths == dim)
+        for at in range(0, len(own), 2000):
+            part = own[at : at + 2000]
+            yield part, [c.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) for c in columns]
+
+
 @F.arrow_udf(T.DoubleType())
 def upper_bound(vector: pa.Array, code: pa.Array, factors: pa.Array) -> pa.Array:
     """The largest inner product that the estimate from a vector and another's code and factors allows."""
     out = np.empty(len(vector))
-    lengths = [len(v) for v in vector]
-    for dim in set(lengths):
-        own = [i for i, n in enumerate(lengths) if n == dim]
-        for at in range(0, len(own), 2000):
-            part = own[at : at + 2000]
-            f = np.frombuffer(b"".join(factors[i].as_py() for i in part), "<f4").reshape(len(part), -1).astype(float)
-            bits = np.unpackbits(np.frombuffer(b"".join(code[i].as_py() for i in part), np.uint8).reshape(len(part), -1), axis=1)[:, : f.shape[1] * dim]
-            y = turned(unit([vector[i].as_py() for i in part]), f.shape[1] * dim)
-            x = (2.0 * bits.reshape(y.shape) - 1) / math.sqrt(dim)
-            guess = (np.einsum("nri,nri->nr", y, x) / f).mean(1)
-            error = np.sqrt(((1 - f * f).clip(0) / (f * f)).mean(1) / (max(dim - 1, 1) * f.shape[1]))
-            out[part] = guess + CONFIDENCE * error
+    for part, (rows,) in by_length(vector):
+        dim = rows.shape[1]
+        f = buffers(factors.take(pa.array(part)))[0].view("<f4").reshape(len(part), -1).astype(float)
+        bits = np.unpackbits(buffers(code.take(pa.array(part)))[0].reshape(len(part), -1), axis=1)[:, : f.shape[1] * dim]
+        y = turned(unit(rows), f.shape[1] * dim)
+        x = (2.0 * bits.reshape(y.shape) - 1) / math.sqrt(dim)
+        guess = (np.einsum("nri,nri->nr", y, x) / f).mean(1)
+        error = np.sqrt(((1 - f * f).clip(0) / (f * f)).mean(1) / (max(dim - 1, 1) * f.shape[1]))
+        out[part] = guess + CONFIDENCE * error
     return pa.array(out)
 
 
 @F.arrow_udf(T.DoubleType())
 def cosine(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Exact cosines in double precision."""
-    return pa.array([float(u[0] @ u[1]) for u in (unit([a, b]) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True))], pa.float64())
+    """Exact cosines of vectors of equal lengths, in double precision."""
+    out = np.empty(len(left))
+    for part, (x, y) in by_length(left, right):
+        out[part] = np.einsum("ni,ni->n", unit(x), unit(y))
+    return pa.array(out)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -208,9 +219,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(classes.select(F.col("id").alias("b"), "size"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("others"))
     root = components(links).withColumnRenamed("node", "id")
+    dropped(vectors.sparkSession, code, pairs)
     known = classes.select("id", "size", "embedding").join(others, "id", "left").join(root, "id", "left")
     known = known.select("embedding", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("root"))
-    out = rows.withColumn("valid", F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False))).withColumn("key", F.when(F.col("valid"), F.col("embedding")))
-    out = out.join(known.withColumnRenamed("embedding", "key"), "key", "left")
+    valid = F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False))
+    out = rows.filter(valid).join(known, "embedding").select("vec_id", "n", "root")
+    none = F.lit(None).cast("long")
+    out = out.unionByName(rows.filter(~valid).select("vec_id", none.alias("n"), none.alias("root")))  # these meet nothing, so they are not joined
     top = F.coalesce("root", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), top.alias("component_id"), F.col("vec_id").eqNullSafe(top).alias("kept"))
