@@ -96,12 +96,11 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 """
 
 SQL_CALLS = """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations),
-     f AS (SELECT conv_id, min(turn) AS first FROM t WHERE role = 'user' GROUP BY conv_id),
-     c AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text, turn > first AS later, conv_id || '-' || first AS opening FROM t JOIN f USING (conv_id) WHERE role = 'user'),
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations),
+     c AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text, asked, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM t WHERE role = 'user'),
      a AS (SELECT conv_id, turn, asked, text, row_number() OVER (PARTITION BY conv_id, asked ORDER BY turn, text) AS nth FROM t WHERE role = 'assistant'),
-     j AS (SELECT c.conv_id, call_id, c.turn AS call_turn, a.turn AS result_turn, CAST(later AS INT) AS depth, CASE WHEN a.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, CASE WHEN c.text = '' THEN '$.prompt: too short' ELSE '' END AS faults,
-           '{"arguments":{' || CASE WHEN later THEN '"opening":{"$call":"' || opening || '"},' ELSE '' END || '"prompt":' || to_json(c.text) || ',"words":' || len(string_split(c.text, ' ')) || '},"conversation":' || c.conv_id || ',"id":"' || call_id || '","name":"reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS line
+     j AS (SELECT c.conv_id, call_id, c.turn AS call_turn, a.turn AS result_turn, depth, CASE WHEN a.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, CASE WHEN c.text = '' THEN '$.prompt: too short' ELSE '' END AS faults,
+           '{"arguments":{' || CASE WHEN c.asked IS NOT NULL THEN '"context":{"$call":"' || c.conv_id || '-' || c.asked || '"},' ELSE '' END || '"prompt":' || to_json(c.text) || ',"words":' || len(string_split(c.text, ' ')) || '},"conversation":' || c.conv_id || ',"id":"' || call_id || '","name":"reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS line
            FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.asked = c.turn AND nth = 1)
 SELECT * FROM j UNION ALL
 SELECT conv_id, CASE WHEN asked IS NOT NULL THEN conv_id || '-' || asked END, NULL, turn, NULL, CASE WHEN asked IS NULL THEN 'no_call' ELSE 'repeated' END, '',
