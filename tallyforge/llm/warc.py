@@ -8,7 +8,7 @@ the archive's name, the place in it and the header line, so that a task that is
 warcinfo, HTTP messages response, anything else resource) and SHA-1 digests of block and payload. Records of equal payloads
 of at least LEAST bytes become revisits of the one with the largest order key. write: the records go through Spark's text
 writer, whose committer survives lost executors, into uncompressed WARC 1.1 files. read_warc: archives are split by their
-declared lengths, one bounded file a row.
+declared lengths, one file a row, whose bytes are bounded by how files are written.
 
 Nulls, ties, empties: a null html is an empty payload; a null or blank URL becomes `about:blank`, white space in a URL is escaped; rows
 with equal page_id (or none) are records of their own, and of equal payloads with the same key the largest identifier is the response; a
@@ -29,10 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import scratch, stored
+from tallyforge.llm.shared import bounded, scratch, stored
 
-#: Payloads from this size on are deduplicated; records in a WARC file; bytes in a generated ARC.
-LEAST, RECORDS_PER_FILE, ARC_BYTES = 1000, 4000, 4 << 20
+#: Payloads from this size on are deduplicated; bytes in a generated ARC; records of up to SMALL bytes in a WARC file, and the bytes that a
+#: file of larger ones has at most (but for one record that is larger by itself): a file is read as one row.
+LEAST, ARC_BYTES, RECORDS_PER_FILE, SMALL, FILE_BYTES = 1000, 4 << 20, 4000, 16 << 10, 64 << 20
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 #: What follows the URL on a header line, by version.
 TAIL = {
@@ -49,7 +50,7 @@ def unzipped(content: bytes) -> bytes:
     while content:
         member = zlib.decompressobj(31)
         out.append(member.decompress(content) + member.flush())
-        content = member.unused_data
+        content = member.unused_data.lstrip(b"\0")  # files may be padded with zeros
     return b"".join(out)
 
 
@@ -176,8 +177,9 @@ def with_revisits(records: DataFrame, least: int = LEAST) -> DataFrame:
     return records.join(groups, "same", "left").select(*records.columns, *[F.when(other, F.col(f"best.{x}")).alias(f"refers_{y}") for x, y in (("id", "to"), ("uri", "uri"), ("date", "date"))])
 
 
-def written(records: DataFrame, path: str) -> None:
-    """WARC 1.1 files of records with their refers_ columns; a revisit keeps the HTTP head alone."""
+def written(records: DataFrame, path: str, largest: int | None = None) -> None:
+    """WARC 1.1 files of records with their refers_ columns; a revisit keeps the HTTP head alone. largest: the bytes of the largest
+    block or more, if they are known; records of over SMALL bytes go into files of their own, of fewer records."""
     again = F.col("refers_to").isNotNull()
     block = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
     http = F.length("head") > 0
@@ -202,7 +204,13 @@ def written(records: DataFrame, path: str) -> None:
         F.lit("\r\n"),
     )
     value = F.concat(F.encode(head, "UTF-8"), block)
-    records.select(value.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    if largest is None:
+        largest = records.agg(F.max(F.length(block))).first()[0] or 0
+    parts = [(records, RECORDS_PER_FILE)]
+    if largest > SMALL:
+        parts = [(records.filter(F.length(block) <= SMALL), RECORDS_PER_FILE), (records.filter(F.length(block) > SMALL), max(1, FILE_BYTES // largest))]
+    for rows, per_file in parts:
+        rows.select(value.cast("string").alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -249,8 +257,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """pages through ARC into WARC files and back: page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id), uri, record_id."""
     spark = pages.sparkSession
+    bounded(spark)
     path = scratch(spark, "warc")
-    written(with_revisits(converted(arcs_of(pages))), path)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    written(with_revisits(converted(arcs_of(pages))), path, largest + 1024)
     rows = stored(read_warc(spark, path).filter("type IN ('response', 'revisit')"), "warc-read")
-    first = rows.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("other"))
-    return rows.join(first, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("other").alias("refers_to"), "uri", "record_id", "sound")
+    first = rows.filter("type = 'response'")
+    again = rows.filter("type = 'revisit'").join(first.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("other")), "refers_to", "left")
+    both = first.withColumn("other", F.lit(None).cast("long")).unionByName(again)
+    return both.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("other").alias("refers_to"), "uri", "record_id", "sound")

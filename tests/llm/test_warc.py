@@ -56,3 +56,18 @@ def test_page_ids_near_the_ends_of_a_long(spark):
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived(rows).collect()}
     assert got == {i: ("response", None) if i == 2**63 - 1 else ("revisit", 2**63 - 1) for i in ids}
     assert warc.long_of(b"9223372036854775808") is None
+
+
+def test_padding_after_the_last_member():
+    assert warc.unzipped(gzip.compress(b"a") + gzip.compress(b"b") + b"\0" * 700) == b"ab"
+
+
+def test_large_pages_go_into_files_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    rows = spark.createDataFrame([(i, "u", str(i) + "x" * (60_000 if i % 4 == 0 else 100)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    records = warc.with_revisits(warc.converted(warc.arcs_of(rows)))
+    path = scratch(spark, "warc-test")
+    warc.written(records, path)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(sizes) == 5 and max(sizes) < 200_000
+    assert sorted(r.page_id for r in warc.read_warc(spark, path).filter("type = 'response'").collect()) == list(range(40))
