@@ -6,7 +6,8 @@ differ by a slot at most, and when a shard leaves, nearly all other slots keep t
 entries, fixed) is broadcast; a key's slot is its hash modulo the size, so that placement takes constant time and no shuffle.
 
 Nulls, ties, empties: a null key is placed like any other value, always in the same shard; repeated rows share a shard; names must be
-distinct and fewer than the size; an empty table gives no rows; all columns are kept, clashing names are replaced by slot and shard.
+distinct and fewer than the size; an empty table gives no rows; all columns are kept,
+but those called slot or shard in any case, which are replaced; a shard's name may hold any characters.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.shared import unused
+
 #: A prime, over a hundred slots for each of up to 655 shards.
 SIZE = 65_537
 
@@ -46,8 +49,11 @@ def lookup(shards: list[str], size: int = SIZE) -> list[int]:
 def placed(rows: DataFrame, key: str, shards: list[str], size: int = SIZE) -> DataFrame:
     """rows with slot and shard."""
     table = lookup(shards, size)
-    names = F.split(F.lit("\n".join(shards)), "\n")
+    names = F.array(*[F.lit(x) for x in shards])
     numbers = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
     entries = rows.sparkSession.range(1).select(F.posexplode(numbers).alias("slot", "n")).select("slot", F.element_at(names, F.col("n") + 1).alias("shard"))
     slot = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null"))), F.lit(size)).cast("int")
-    return rows.withColumn("slot", slot).drop("shard").join(F.broadcast(entries), "slot").select(*[c for c in rows.columns if c not in ("slot", "shard")], "slot", "shard")
+    others = [c for c in rows.columns if c.lower() not in ("slot", "shard")]
+    at = unused(rows, "at")
+    keyed = rows.withColumn(at, slot).select(*others, F.col(at).alias("slot"))
+    return keyed.join(F.broadcast(entries), "slot").select(*others, "slot", "shard")

@@ -1,7 +1,10 @@
+import hashlib
 import json
+import random
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyforge.llm import sharding, toolcalls
@@ -29,9 +32,7 @@ CALLS = [
 RESULTS = [(1, 5, "a", "one"), (1, 2, "b", None), (1, 7, "a", "second"), (2, 9, "lost", "?"), (2, 3, None, "no id"), (1, 1, "c", '"q"'), (1, 3, "x", "r"), (1, 3, "y", "r")]
 
 
-@pytest.mark.parametrize("most", [10_000, 0])
-def test_linking(spark, monkeypatch, most):
-    monkeypatch.setattr(toolcalls, "MOST_EDGES", most)
+def test_linking(spark):
     calls, results = frames(spark, CALLS, RESULTS)
     rows = toolcalls.linked(calls.withColumn("found", F.lit(1)), results, SCHEMAS).collect()
     by = {(r.conv_id, r.call_id, r.call_turn, r.result_turn): r for r in rows}
@@ -59,6 +60,51 @@ def test_turns(spark):
     assert got == {(1, 1, 2): ("linked", 0, []), (1, 3, None): ("no_result", 1, ["$.prompt: too short"]), (2, None, 0): ("no_call", None, [])}
 
 
+def brute_depths(edges):
+    needs, out = {}, {}
+    for a, b in edges:
+        needs.setdefault(a, set()).add(b)
+    nodes = set(needs)
+    for _ in range(len(nodes) + 1):
+        for n in nodes - set(out):
+            if all(m in out or m not in nodes for m in needs[n]):
+                out[n] = 1 + max(out.get(m, 0) for m in needs[n])
+    return {n: out.get(n) for n in nodes}
+
+
+def test_depths_of_random_graphs(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for conv in range(6):
+        n = 40
+        edges = {(f"c{i}", f"c{rng.randrange(i)}") for i in range(1, n) for _ in range(rng.choice([1, 1, 1, 2, 3]))}
+        edges |= {(f"l{i}", f"l{i - 1}") for i in range(1, 70)} | {("l0", "c39")}  # a long chain behind the others
+        if conv % 2:
+            edges |= {("c7", "c20"), ("x", "x"), ("y", "x"), ("z1", "z2"), ("z2", "z1"), ("z3", "z1"), ("c12", "z3")}  # cycles, and what is behind them
+        rows += [(conv, a, b) for a, b in edges]
+        want |= {(conv, k): d for k, d in brute_depths(edges).items()}
+    got = toolcalls.depths(spark.createDataFrame(rows, "conv_id long, call_id string, needs string"))
+    assert {(r.conv_id, r.call_id): r.depth for r in got.collect()} == want
+
+
+def test_odd_arguments_are_malformed_or_escaped(spark):
+    texts = {"big": '{"n": 1e400}', "nan": '{"n": NaN}', "deep": "[" * 3000 + "]" * 3000, "deeper": "[" * 200_000, "alone": '{"q": "a\\ud800b"}', "long": '{"q": "' + "x" * 3_000_000 + '"}', "int": '{"q": "x", "n": ' + "9" * 400 + "}", "none": None, "call": '{"of": {"$call": "\\ud800"}, "q": "x"}'}
+    calls, results = frames(spark, [(1, k, name, "get", t, None) for k, (name, t) in enumerate(texts.items())], [])
+    by = {r.call_id: r for r in toolcalls.linked(calls, results, SCHEMAS).collect()}
+    assert all(by[x].faults == ["malformed"] for x in ("big", "nan", "deep", "deeper", "none"))
+    assert by["alone"].faults == [] and "a\\ud800b" in by["alone"].line and by["long"].faults == ["$.q: too long"] and by["call"].depth == 0
+    assert all(json.loads(r.line)["id"] == i for i, r in by.items()) and json.loads(by["big"].line)["arguments"] == texts["big"]
+
+
+def test_repeats_and_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "TURNS", 4)
+    rows = [(1, t, ("user", "assistant", "assistant")[t % 3], f"t{t}") for t in range(60)] + [(1, 3, "user", "t3"), (2, 5, "user", None), (None, 1, "user", "x"), (3, None, "assistant", "y")]
+    calls, results = toolcalls.turns(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, asked int"))
+    got = toolcalls.linked(calls, results, toolcalls.REPLY).collect()
+    assert len(got) == 20 + 1 + 20 + 3 and Counter(r.status for r in got) == {"linked": 20, "repeated": 21, "no_result": 2, "no_call": 1}
+    assert {r.call_turn: r.depth for r in got if r.status == "linked"} == {3 * i: i for i in range(20)}
+
+
 def test_lookup_is_even_and_steady():
     names = [f"s{i}" for i in range(17)]
     table = sharding.lookup(names, 1009)
@@ -79,3 +125,28 @@ def test_placement(spark):
     names, table = ["a", "b", "c"], sharding.lookup(["a", "b", "c"])
     assert len(got) == 4 and all(r.shard == names[table[r.slot]] for r in got) and len({r.slot for r in got if r.doc_id == 1}) == 1
     assert sharding.placed(df.limit(0), "doc_id", names).count() == 0
+
+
+def test_placement_by_a_second_way(spark):
+    """Slots by the xxhash package, and turns by walking each shard's whole permutation."""
+    names, size = ["one", "two\nlines", "é", "d", "e"], 101
+    orders = {}
+    for n in names:
+        d = hashlib.sha256(n.encode()).digest()
+        first, skip = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:16], "big") % (size - 1) + 1
+        orders[n] = [(first + k * skip) % size for k in range(size)]
+        assert sorted(orders[n]) == list(range(size))
+    taken = {}
+    while len(taken) < size:
+        for n in sorted(names):
+            if len(taken) < size:
+                taken[next(s for s in orders[n] if s not in taken)] = n
+    rows = [(i, "x") for i in range(-50, 300)] + [(None, "y"), (7, None), (10**18, "long " * 100_000)]
+    got = sharding.placed(spark.createDataFrame(rows, "doc_id long, Slot string"), "doc_id", names, size)
+    assert got.columns == ["doc_id", "slot", "shard"]
+    for r in got.collect():
+        key = "\0null" if r.doc_id is None else str(r.doc_id)
+        assert r.slot == xxhash.xxh64_intdigest(key.encode(), seed=42) % 2**64 % size or r.slot == (xxhash.xxh64_intdigest(key.encode(), seed=42) - 2**64) % size
+        assert r.shard == taken[r.slot]
+    keys = spark.createDataFrame([("k" * 200_000,), ("",), (None,)], "key string")
+    assert sharding.placed(keys, "key", names, size).count() == 3
