@@ -6,9 +6,13 @@ question's candidates, which the channels' top-k bounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,39 +30,130 @@ def postings(units: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("unit", "n_terms", F.explode("terms").alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("n_terms").alias("n_terms"))
 
 
-def bm25(units: DataFrame, questions: DataFrame, key: str, text: str, limit: int = 10) -> DataFrame:
-    """AGG-34, SORT-03: question, unit, score and place of the best units of each question (question, text).
+#: Questions (or query vectors) that are scored at once: a stated set against all rows, in blocks. A block's terms or vectors go to the tasks.
+BLOCK = 1000
 
-    Only postings of the questions' terms are kept, before the index is aggregated: the other terms never shuffle.
-    """
-    asked = questions.select("question", F.explode(F.array_distinct(words("text"))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    rows = units.select(F.col(key).alias("unit"), words(F.coalesce(text, F.lit(""))).alias("terms")).withColumn("n_terms", F.size("terms"))
-    size = rows.agg(F.count(F.lit(1)).alias("units"), F.avg("n_terms").alias("mean"))
-    used = rows.select("unit", "n_terms", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = used.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("n_terms").alias("n_terms"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "term").join(F.broadcast(size), F.lit(True))  # size is one row
-    idf = F.log(1 + (F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean")))
-    out = asked.join(scored.select("term", "unit", weight.alias("w")), "term").groupBy("question", "unit").agg(F.round(F.sum("w"), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "unit"))
-    return out.withColumn("place", place).filter(F.col("place") <= limit)
 
+def _leading(where: np.ndarray, score: np.ndarray, unit: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
+    """Places of the `limit` best of each (where, group): largest score, then smallest unit."""
+    order = np.lexsort([unit, -score, group, where])
+    w, g = where[order], group[order]
+    new = np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])])
+    start = np.flatnonzero(new)
+    nth = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[nth < limit]
+
+
+def _best(rows: DataFrame, columns: list[str], matrix: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], names: pa.Array, limit: int, question: str, kinds: dict[str, str]) -> DataFrame:
+    """question, unit, group, score, matched: of each partition the best rows; the rest never leaves it. matrix: scores and matches
+    of a batch's rows (rows x questions); no match, no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def shrunk() -> None:
+            parts = [np.concatenate(c) for c in zip(*kept, strict=True)]
+            groups = np.unique(parts[2].astype(str), return_inverse=True)[1]
+            at = _leading(parts[0], parts[3], parts[1], groups, limit)
+            kept[:] = [tuple(c[at] for c in parts)]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            score, match = matrix(batch)
+            r, q = np.nonzero(match)
+            unit, group = (batch[c].to_numpy(zero_copy_only=False)[r] for c in ("unit", "group"))
+            kept.append((q, unit, group, score[r, q], match[r, q]))
+            shrunk()
+        if kept:
+            q, unit, group, score, match = kept[0]
+            for lo in range(0, len(q), 10_000):
+                part = slice(lo, lo + 10_000)
+                yield pa.record_batch([names.take(pa.array(q[part])), pa.array(unit[part]), pa.array(group[part], pa.string()), pa.array(score[part]), pa.array(match[part].astype(np.int64))], [question, "unit", "group", "score", "matched"])
+
+    return rows.select(*columns).mapInArrow(run, f"{question} {kinds['question']}, unit {kinds['unit']}, group string, score double, matched long")
+
+
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+def bm25(units: DataFrame, questions: DataFrame, key: str, text: str, limit: int = 10, group: str | None = None) -> DataFrame:
+    """AGG-34, SORT-03: question, unit, score, matched (distinct terms of the question that the unit holds), asked (those it has) and place
+    of the best units of each question (question, text); with group, of each question and group.
+
+    Terms of the questions are counted over all units first, then every unit is scored against a block of questions where it lies, as a product
+    of matrices, and each partition keeps its best: no join makes a row for a question and a unit, however common a term is.
+    """
+    terms = questions.select("question", F.array_distinct(words("text")).alias("terms")).filter(F.size("terms") > 0)
+    rows = units.select(F.col(key).alias("unit"), (F.lit("") if group is None else F.coalesce(F.col(group).cast("string"), F.lit(""))).alias("group"), words(F.coalesce(text, F.lit(""))).alias("terms"))
+    total = rows.agg(F.count(F.lit(1)).alias("units"), F.avg(F.size("terms")).alias("mean")).first()
+    out = None
+    for block in range(-(-max(1, terms.count()) // BLOCK)):
+        part = terms.filter(F.pmod(F.xxhash64("question"), F.lit(-(-terms.count() // BLOCK) or 1)) == block)
+        asked = part.select("question", F.explode("terms").alias("term"))
+        df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        pairs = asked.join(df, "term", "left").fillna(0, ["df"]).toArrow()  # a block's questions and their words
+        names = pc.unique(pairs["question"])
+        vocabulary = pc.unique(pairs["term"])
+        q, t = (pc.index_in(pairs[c], value_set=v).to_numpy(zero_copy_only=False) for c, v in (("question", names), ("term", vocabulary)))
+        holds = np.zeros((len(vocabulary), len(names)), np.float64)
+        holds[t, q] = 1
+        n = np.zeros(len(vocabulary))
+        n[t] = pairs["df"].to_numpy(zero_copy_only=False)
+        idf = np.log(1 + (total["units"] - n + 0.5) / (n + 0.5))
+        shared = units.sparkSession.sparkContext.broadcast((vocabulary, holds, idf, float(total["mean"] or 1)))
+
+        def matrix(batch: pa.RecordBatch, shared=shared) -> tuple[np.ndarray, np.ndarray]:
+            vocabulary, holds, idf, mean = shared.value
+            length = pc.list_value_length(batch["terms"]).to_numpy(zero_copy_only=False)
+            at = pc.index_in(batch["terms"].flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), length)[at >= 0]
+            tf = np.bincount(row * len(vocabulary) + at[at >= 0], minlength=len(batch) * len(vocabulary)).reshape(len(batch), -1).astype(float) if len(vocabulary) else np.zeros((len(batch), 0))
+            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)[:, None])
+            return np.round(weight @ holds, 6), (tf > 0).astype(float) @ holds
+
+        kinds = {"question": _kind(questions, "question"), "unit": _kind(units, key)}
+        found = _best(rows.select("unit", "group", "terms"), ["unit", "group", "terms"], _sliced(matrix), names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names, limit, "question", kinds)
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("question", *(["group"] if group else [])).orderBy(F.desc("score"), "unit"))
+    return out.withColumn("place", place).filter(F.col("place") <= limit).join(terms.select("question", F.size("terms").alias("asked")), "question")
+
+
+def _sliced(matrix: Callable, rows: int = 256) -> Callable:
+    """A batch's matrices from slices of some rows: what is held at once does not follow the batch."""
+
+    def run(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        parts = [matrix(batch.slice(at, rows)) for at in range(0, len(batch), rows)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    return run
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """SORT-01: exact cosines (clipped, by six decimals), ties by id. vectors: id, v; queries: query, q (a stated set, in one small table)."""
-    unit = lambda x: F.transform(x, lambda y: y / F.sqrt(_dot(x, x)))
-    q = queries.select("query", unit(F.col("q").cast("array<double>")).alias("q"))
-    v = vectors.select("id", unit(F.col("v").cast("array<double>")).alias("v"))
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(F.col("q"), F.col("v"))))
-    rows = v.join(q, F.lit(True)).select("query", "id", F.round(score, 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("place", place).filter(F.col("place") <= limit)
+    """SORT-01, SORT-02, UDF-07: exact cosines (clipped, by six decimals), ties by id. vectors: id, v; queries: query, q, a stated set that is
+    taken in blocks. A vector is normalised once and scored against a block where it lies; each partition keeps its best."""
+    rows = vectors.select(F.col("id").alias("unit"), F.lit("").alias("group"), F.col("v").cast("array<double>").alias("v"))
+    blocks, out = -(-max(1, queries.count()) // BLOCK), None
+    for block in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", F.col("q").cast("array<double>").alias("q")).toArrow()
+        q = _unit(np.array(part["q"].to_pylist(), float).reshape(len(part), -1))
+        shared = vectors.sparkSession.sparkContext.broadcast(q)
+
+        def matrix(batch: pa.RecordBatch, shared=shared) -> tuple[np.ndarray, np.ndarray]:
+            v = _unit(batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1))
+            score = np.round(np.clip(v @ shared.value.T, -1, 1), 6)
+            return score, np.ones_like(score)
+
+        names = part["query"].combine_chunks()
+        found = _best(rows, ["unit", "group", "v"], matrix, names, limit, "query", {"question": _kind(queries, "query"), "unit": _kind(vectors, "id")})
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("unit")))
+    return out.select("query", F.col("unit").alias("id"), "score", place.alias("place")).filter(F.col("place") <= limit)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def fused(channels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -80,23 +175,69 @@ def capped(ranked: DataFrame, question: str, file: str, order: list[Column], cap
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(question).orderBy(*order))).filter(F.col("place") <= limit).drop("in_file")
 
 
-def diverse(ranked: DataFrame, slack: float = 0.005) -> DataFrame:
-    """WIN-11: question, unit, file, score; a repeat of a file yields to the best unseen file within slack x repeats of its score."""
+def windowed(rows: list[dict], maximum: int, cap: int = 3, overlap: float = 0.8) -> list[dict]:
+    """WIN-10, JOIN-20: of ranked rows at most `cap` of a file and `maximum` in all; a row that covers `overlap` of the shorter of itself and
+    a chosen one of its file is left out. Rows without start_line and end_line overlap nothing."""
+    chosen, of = [], defaultdict(list)
+    for row in rows:
+        old = of[row["file"]]
+        if len(old) >= cap:
+            continue
+        size = lambda r: r["end_line"] - r["start_line"] + 1
+        common = lambda r: max(0, min(row["end_line"], r["end_line"]) - max(row["start_line"], r["start_line"]) + 1)
+        if "start_line" in row and any(common(r) >= overlap * min(size(row), size(r)) for r in old):
+            continue
+        chosen.append(row)
+        old.append(row)
+        if len(chosen) >= maximum:
+            break
+    return chosen
+
+
+def _each(ranked: DataFrame, choose: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """choose, for the ranked rows (score, then unit) of each question; adds place. The channels' top-k bounds a question's rows."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "place") + ", place int"
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        left, seen, out = g.sort_values(["score", "unit"], ascending=[False, True]).to_dict("records"), {}, []
+        rows = g.sort_values(["score", "unit"], ascending=[False, True]).to_dict("records")
+        out = choose([{k: v for k, v in r.items() if k != "place"} for r in rows])
+        return pd.DataFrame([r | {"place": i + 1} for i, r in enumerate(out)])
+
+    return ranked.groupBy("question").applyInPandas(one, schema)
+
+
+def diverse(ranked: DataFrame, slack: float = 0.005) -> DataFrame:
+    """WIN-11: question, unit, file, score, optionally coverage, exact, start_line, end_line. After the window of each file, a repeat of a file
+    yields to the best unseen file whose score is at least its own / (1 + slack x repeats) and which covers as much of the question; exact rows yield to none."""
+
+    def choose(rows: list[dict]) -> list[dict]:
+        left, seen, out = windowed(rows, len(rows)), {}, []
         while left:
-            pick = left[0]
-            again = seen.get(pick["file"], 0)
-            if again:
-                pick = next((r for r in left if r["file"] not in seen and r["score"] >= pick["score"] * (1 - slack * again)), pick)
+            pick, again = left[0], seen.get(left[0]["file"], 0)
+            if again and not pick.get("exact"):
+                near = [r for r in left[1:] if r["score"] >= pick["score"] / (1 + slack * again)]
+                pick = next((r for r in near if r["file"] not in seen and r.get("coverage", 0) >= pick.get("coverage", 0)), pick)
             left.remove(pick)
             seen[pick["file"]] = seen.get(pick["file"], 0) + 1
-            out.append(pick | {"place": len(out) + 1})
-        return pd.DataFrame(out)
+            out.append(pick)
+        return out
+
+    return _each(ranked, choose)
+
+
+def rescued(ranked: DataFrame, first: int = 5) -> DataFrame:
+    """WIN-12: question, unit, file, score, protected, lexical. Where the first window of a question lacks a protected row, the window is
+    chosen with the protected rows in front; its lexical rows come first, then the other lexical ones, then the rest, each in their order."""
+
+    def choose(rows: list[dict]) -> list[dict]:
+        protected = [r for r in rows if r["protected"]]
+        ids = {r["unit"] for r in protected}
+        if ids <= {r["unit"] for r in windowed(rows, first)}:
+            return rows
+        window = {r["unit"] for r in windowed(protected + [r for r in rows if r["unit"] not in ids], first)}
+        return sorted(rows, key=lambda r: 2 if not r["lexical"] else int(r["unit"] not in window))
 
-    kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
-    return ranked.groupBy("question").applyInPandas(one, f"question {kinds['question']}, unit {kinds['unit']}, file {kinds['file']}, score double, place int")
+    return _each(ranked, choose)
 
 
 def budgeted(ranked: DataFrame, budget: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.scalars import ANY_SECRET
+from tallyforge.functions.scalars import secret_spans
 
 #: Languages by suffix.
 LANGUAGES = {"py": "python", "java": "java", "js": "javascript", "ts": "typescript", "rs": "rust", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "rb": "ruby", "md": "markdown", "rst": "rst", "html": "html", "sql": "sql", "json": "json", "ipynb": "notebook", "toml": "toml", "yaml": "yaml", "yml": "yaml"}
@@ -125,13 +125,12 @@ def texts(files: DataFrame, fallbacks: tuple[str, ...] = ()) -> DataFrame:
 
 
 def secret_lines(rows: DataFrame, text: str = "text") -> DataFrame:
-    """FLT-18: line numbers (1-based) of secrets, by row."""
-    lines = rows.select("path", F.posexplode(F.split(text, "\n")).alias("line", "value"))
-    return lines.filter(F.col("value").rlike(ANY_SECRET)).select("path", (F.col("line") + 1).alias("line"))
+    """FLT-18: lines (1-based, inclusive) that secrets cover, a row a secret: path, first, last. A private key covers its body."""
+    return rows.select("path", F.inline(secret_spans(F.col(text))))
 
 
 def with_redaction(units: DataFrame, secrets: DataFrame) -> DataFrame:
-    """FLT-19: units (path, start_line, end_line) with redacted: whether a secret's line is among theirs."""
-    by_file = secrets.groupBy("path").agg(F.sort_array(F.collect_set("line")).alias("secret_lines"))
-    hit = F.exists("secret_lines", lambda x: (x >= F.col("start_line")) & (x <= F.col("end_line")))
+    """FLT-19: units (path, start_line, end_line) with redacted: whether a secret's lines meet theirs."""
+    by_file = secrets.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("secret_lines"))
+    hit = F.exists("secret_lines", lambda x: (x["first"] <= F.col("end_line")) & (x["last"] >= F.col("start_line")))
     return units.join(by_file, "path", "left").withColumn("redacted", F.coalesce(hit, F.lit(False))).drop("secret_lines")

@@ -14,13 +14,46 @@ def one(spark, column, **values):
 
 
 def test_stem_and_words(spark):
-    want = {"ponies": "pony", "dies": "die", "classes": "class", "cats": "cat", "bus": "bus", "running": "run", "hoped": "hop", "seeing": "see", "organization": "organiz", "relational": "relat", "creation": "creat", "hopefulness": "hopeful", "kindness": "kind", "payment": "pay", "make": "mak", "the": "the", "x1234s": "x1234s"}
+    want = {"ponies": "pony", "dies": "die", "classes": "class", "cats": "cat", "bus": "bus", "running": "run", "hoped": "hop", "seeing": "see", "organization": "organiz", "relational": "relat", "creation": "creat", "hopefulness": "hopeful", "kindness": "kind", "payment": "pay", "make": "mak", "moment": "moment", "cement": "cement", "nation": "nation", "station": "station", "ness": "ness", "the": "the", "x1234s": "x1234s"}
     df = spark.createDataFrame([(w,) for w in want], "w string")
     assert {r.w: r.s for r in df.select("w", S.stem(F.col("w")).alias("s")).collect()} == want
-    assert one(spark, S.words(F.lit("Été foo_bar, x2!"))) == ["été", "foo_bar", "x2"]
+    assert one(spark, S.words(F.lit("Été foo_bar, x2! Straße Ångström naı\u0308ve"))) == ["ete", "foo_bar", "x2", "strasse", "angstrom", "naıve"]
     assert one(spark, S.split_identifier(F.lit("parseHTTPResponse_v2"))) == ["parse", "http", "response", "v2"]
 
 
+def test_secrets(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIbody\nmore\n-----END RSA PRIVATE KEY-----"
+    text = F.lit(f"a\n{key}\nb ghp_{'x' * 36} AKIA{'A' * 16}Z me@x.org\ngithub_pat_{'q' * 40}\n-----BEGIN PRIVATE KEY-----\nopen end")
+    out = one(spark, S.redacted(text))
+    assert out == f"a\n[redacted]\nb [redacted] AKIA{'A' * 16}Z me@x.org\n[redacted]\n[redacted]"
+    assert [tuple(r) for r in one(spark, S.secret_spans(text))] == [(2, 5), (8, 9), (6, 6), (7, 7)] and one(spark, S.secret_count(text)) == 4
+    assert one(spark, S.secret_spans(F.lit("sk-short"))) == []
+
+
+def test_question_analysis(spark):
+    q = F.lit("Where is the FooBar handler in src/parseHTTP.py implemented? foo_bar value")
+    assert one(spark, S.primary_terms(q)) == ["foobar", "handler", "src", "parsehttp", "py", "foo_bar", "value"]
+    assert one(spark, S.secondary_terms(q)) == ["foo", "bar", "parse", "http"]
+    assert one(spark, S.primary_terms(F.lit(" ".join(f"w{i}" for i in range(50))))) == [f"w{i}" for i in range(32)]
+
+
+def test_paths_and_displays(spark):
+    import posixpath
+
+    for p in ("a\\\\b/../c", "./x//y/.", "../a/..", "/../z", "", "a/b/../../..", "/"):
+        assert one(spark, S.normal_path(F.lit(p))) == posixpath.normpath(p.replace("\\", "/")).replace("//", "/"), p
+    assert one(spark, S.sanitised(F.lit("a\tb\x00c\u2028d\x85e"))) == "a\tb c d e"
+    assert [one(spark, S.shown_count(F.lit(x).cast("double"))) for x in (1234567.5, 0.5, None)] == ["1,234,568", "0", "unknown"]
+    money = lambda a, b: one(spark, S.shown_money(F.lit(a).cast("double"), F.lit(b).cast("double")))
+    assert (money(1234.5, 1234.5), money(0.004, 2.0), money(None, 1.0), money(1.0, None), money(None, None)) == ("$1,234.50", "$0.0040 to $2.00", "up to $1.00", "at least $1.00", "unknown")
+    assert [one(spark, S.shown_minutes(F.lit(x))) for x in (2880, 90, 120, 0)] == ["2 d", "90 min", "2 h", "unknown"]
+    prior = lambda p, **k: one(spark, S.path_prior(F.lit(p), **k))
+    assert prior("CHANGES.md") == 0.4 and prior("src/__tests__/a.ts") == 0.6 and prior("a/x.test.ts") == 0.6 and prior("node_modules/a.js") == 0.4 and prior("src/news_reader.py") == 0.4 and prior("src/newspaper.py") == 1.0 and prior("docs/a.md") == 1.0
+    assert prior("docs/a.md", from_docs=F.lit(True), docs_question=True) == 1.25 and prior("tests/a.py", disabled=("tests",)) == 1.0
+    assert one(spark, S.source_lines(F.lit("a\r\nb\n\n"))) == ["a", "b", ""] and one(spark, S.source_lines(F.lit(""))) == []
+    assert one(spark, S.skill_names(F.lit("cat skills/one/SKILL.md; skills/two.b/SKILL.md one/SKILL.md"))) == ["one", "two.b"]
+
+
 def test_guards_and_instants(spark):
     assert one(spark, S.guarded(F.lit(float("nan")))) is None and one(spark, S.guarded(F.lit(-1.0))) is None and one(spark, S.guarded(F.lit(2))) == 2
     assert str(one(spark, S.instant(F.lit("1700000000123")))) == "2023-11-14 22:13:20.123000"
@@ -94,6 +127,33 @@ def test_greedy_selection_ignores_input_order(spark):
     assert [r.unit for r in retrieval.budgeted(df, 100).orderBy("place").collect()] == ["u0", "u2", "u4"]
 
 
+def test_windows_and_rescue(spark):
+    rows = [{"file": f, "unit": u, "start_line": a, "end_line": b} for u, f, a, b in [("u1", "a", 1, 10), ("u2", "a", 3, 12), ("u3", "a", 20, 30), ("u4", "a", 40, 41), ("u5", "a", 50, 60), ("u6", "b", 3, 12)]]
+    assert [r["unit"] for r in retrieval.windowed(rows, 10)] == ["u1", "u3", "u4", "u6"] and len(retrieval.windowed(rows, 2)) == 2
+    ranked = [("q", f"u{i}", f"f{i}", 1.0 - i / 10, i == 7, i != 3) for i in range(9)] + [("p", "x", "f", 1.0, True, True), ("p", "y", "f", 0.5, False, True)]
+    for order in (ranked, ranked[::-1]):
+        df = spark.createDataFrame(order, "question string, unit string, file string, score double, protected boolean, lexical boolean")
+        got = retrieval.rescued(df).orderBy("question", "place").collect()
+        assert [r.unit for r in got if r.question == "q"] == ["u0", "u1", "u2", "u7", "u4", "u5", "u6", "u8", "u3"] and [r.unit for r in got if r.question == "p"] == ["x", "y"]
+    cover = spark.createDataFrame([("q", "u1", "a", 1.0, 0.9, False), ("q", "u2", "a", 0.999, 0.9, False), ("q", "u3", "b", 0.998, 0.5, False), ("q", "u4", "c", 0.997, 0.9, False)], "question string, unit string, file string, score double, coverage double, exact boolean")
+    assert [r.unit for r in retrieval.diverse(cover).orderBy("place").collect()] == ["u1", "u4", "u2", "u3"]
+    assert [r.unit for r in retrieval.diverse(cover.withColumn("exact", F.lit(True))).orderBy("place").collect()] == ["u1", "u2", "u3", "u4"]
+
+
+def test_blocks_of_questions_and_queries(spark, monkeypatch):
+    units = spark.createDataFrame([(i, f"common w{i % 7} w{i % 5} rare{i}", f"s{i % 2}") for i in range(60)] + [(100, None, None)], "id long, text string, source string").repartition(4)
+    questions = spark.createDataFrame([(f"q{i}", f"common w{i} rare{i}") for i in range(9)] + [("none", ""), ("unseen", "zzz")], "question string, text string")
+    key = lambda df: sorted((r.question, r.unit, r.score, r.place, r.matched, r.asked) for r in df.collect())
+    want, capped = key(retrieval.bm25(units, questions, "id", "text", 5)), key(retrieval.bm25(units, questions, "id", "text", 2, "source"))
+    assert len(want) == 45 and len(capped) == 36
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(40)], "id long, v array<double>")
+    ask = vectors.filter("id % 5 = 0").selectExpr("id AS query", "v AS q")
+    near = sorted(map(tuple, retrieval.cosine_topk(vectors, ask, 4).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    assert key(retrieval.bm25(units, questions, "id", "text", 5)) == want and key(retrieval.bm25(units, questions, "id", "text", 2, "source")) == capped
+    assert sorted(map(tuple, retrieval.cosine_topk(vectors, ask, 4).collect())) == near and len(near) == 32
+
+
 def test_metrics(spark):
     results = spark.createDataFrame([("q", "x", 1), ("q", "b", 2), ("p", "z", 1)], "question string, unit string, place int")
     expected = spark.createDataFrame([("q", "a"), ("q", "b"), ("p", "y")], "question string, unit string")
@@ -127,7 +187,7 @@ def test_queries_run_without_the_llm_folder(spark, name):
 
 
 def selected(spark, tmp_path, texts, question):
-    docs = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    docs = [(i, t, f"s{i}") for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return [{r.unit for r in f(spark, str(tmp_path)).collect()} for f in (queries.diversity, queries.budget_fit)]

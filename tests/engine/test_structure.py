@@ -26,17 +26,17 @@ def test_definitions_and_units(spark):
 
 
 def test_inventory_and_decoding(spark, tmp_path):
-    for name, data in {"a.py": b"x = 1\r\n", "sub/b.java": "class É {}".encode("cp1252"), "cert.pem": b"K=1", "out/c.py": b"y", "u.md": "# h\n".encode("utf-16"), "bin.py": b"\0\1\2", "keep/out.log": b"m me@example.org\n", "drop.log": b"z"}.items():
+    for name, data in {"a.py": b"x = 1\r\n", "sub/b.java": "class É {}".encode("cp1252"), "cert.pem": b"K=1", "out/c.py": b"y", "u.md": "# h\n".encode("utf-16"), "bin.py": b"\0\1\2", "keep/out.log": b"m me@example.org\nsk-" + b"a1" * 20 + b"\n", "drop.log": b"z"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     files = R.inventory(spark, f"file://{tmp_path}", excludes=["out"], rules=["*.log", "!keep/*.log"])
     assert {r.path: r.skip for r in files.collect()} == {"a.py": None, "sub/b.java": None, "cert.pem": "secret", "out/c.py": "excluded", "u.md": None, "bin.py": None, "keep/out.log": None, "drop.log": "ignored"}
     got = {r.path: (r.text, r.encoding) for r in R.texts(files).collect()}
-    assert got == {"a.py": ("x = 1\n", "utf-8"), "sub/b.java": ("class É {}", "cp1252"), "u.md": ("# h\n", "utf-16"), "keep/out.log": ("m me@example.org\n", "utf-8")}
+    assert got == {"a.py": ("x = 1\n", "utf-8"), "sub/b.java": ("class É {}", "cp1252"), "u.md": ("# h\n", "utf-16"), "keep/out.log": ("m me@example.org\nsk-" + "a1" * 20 + "\n", "utf-8")}
     secrets = R.secret_lines(R.texts(files))
-    assert [tuple(r) for r in secrets.collect()] == [("keep/out.log", 1)]
+    assert [tuple(r) for r in secrets.collect()] == [("keep/out.log", 2, 2)]
     units = spark.createDataFrame([("keep/out.log", 1, 1), ("keep/out.log", 2, 5)], "path string, start_line int, end_line int")
-    assert [r.redacted for r in R.with_redaction(units, secrets).orderBy("start_line").collect()] == [True, False]
+    assert [r.redacted for r in R.with_redaction(units, secrets).orderBy("start_line").collect()] == [False, True]
 
 
 def test_globs(spark):
