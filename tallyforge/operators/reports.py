@@ -96,3 +96,37 @@ def rate_card(spark: SparkSession, card: str | dict) -> tuple[DataFrame, DataFra
     r = r.select("model", "variant", F.col("effective_from").cast("timestamp_ntz").alias("effective_from"), F.col("effective_until").cast("timestamp_ntz").alias("effective_until"), *money, F.col("fast_multiplier").cast("decimal(8,4)").alias("fast_multiplier"))
     t = spark.createDataFrame(tiers, "model string, variant int, tier_no int, above long, tier_input string, tier_output string").withColumns({c: F.col(c).cast("decimal(20,6)") for c in ("tier_input", "tier_output")})
     return r, t, spark.createDataFrame(list(data.get("aliases", {}).items()), "alias string, target string")
+
+
+def canonical(fields: dict[str, Column]) -> Column:
+    """SCL-12: compact JSON with sorted keys; nulls and non-ASCII stay."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def wire(rows: DataFrame, body: str) -> DataFrame:
+    """SNK-10: rows with the characters of their serialised body and the tokens that they are estimated at."""
+    return rows.withColumns({"characters": F.length(body).cast("long"), "tokens": F.ceil(F.length(body) / 4).cast("long")})
+
+
+def written(frames: dict[str, DataFrame], path: str, formats: tuple[str, ...] = ("json",)) -> dict[str, str]:
+    """SNK-01, SNK-02, SNK-08: each part of a report as JSON lines (or Parquet) under the path, all of them planned before the first is written; a
+    part is whole once its folder has _SUCCESS. Returns the paths."""
+    for df in frames.values():
+        df.schema  # noqa: B018  fails before anything is written
+    out = {}
+    for kind in formats:
+        for name, df in frames.items():
+            out[f"{name}.{kind}"] = f"{path}/{kind}/{name}"
+            df.write.format(kind).mode("errorifexists").save(out[f"{name}.{kind}"])
+    return out
+
+
+def consistent(found: DataFrame, selected: DataFrame, key: str, percent: float) -> DataFrame:
+    """SNK-09, JOIN-23: one row: what was found and selected, the cap that the percentage allows, and whether the selection keeps to
+    it, repeats nothing and holds nothing that was not found."""
+    n = found.agg(F.count(F.lit(1)).alias("found"))
+    chosen = selected.agg(F.count(F.lit(1)).alias("selected"), F.count_distinct(key).alias("distinct_selected"))
+    strange = selected.join(found.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    rows = n.crossJoin(chosen).crossJoin(strange)  # one row each
+    cap = F.least("found", F.greatest(F.lit(1), F.ceil(F.col("found") * percent / 100)))
+    return rows.withColumn("cap", cap.cast("long")).withColumn("sound", (F.col("selected") <= F.col("cap")) & (F.col("selected") == F.col("distinct_selected")) & (F.col("strangers") == 0))

@@ -30,17 +30,19 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def statistics() -> list[Column]:
-    """AGG-01 and AGG-02 as aggregates of one group."""
+    """AGG-01 and AGG-02 as aggregates of one group; a session is one of its agent."""
     reported = F.col("input_tokens").isNotNull() & F.col("cache_read_tokens").isNotNull()
     inp, out = F.sum("input_tokens"), F.sum("output_tokens")
     missing = F.count_if(F.col("input_tokens").isNull() | F.col("output_tokens").isNull() | F.col("request_count").isNull())
     return [
         *[F.when(F.count(F.lit(1)) == 0, F.lit(0).cast("long")).otherwise(F.sum(c)).alias(c) for c in COUNTERS],
         F.sum(F.coalesce("request_count", F.lit(1))).alias("requests"),
-        F.count_distinct("session_id").alias("sessions"),
+        F.count_distinct(F.struct("agent", "session_id")).alias("sessions"),
         F.when(inp.isNotNull() | out.isNotNull(), F.coalesce(inp, F.lit(0)) + F.coalesce(out, F.lit(0))).alias("total_tokens"),
         F.floor(F.try_divide(F.lit(10000) * F.sum(F.when(reported, F.col("cache_read_tokens"))), F.sum(F.when(reported, F.col("input_tokens"))))).cast("long").alias("cache_hit_basis_points"),
         missing.alias("rows_with_unknowns"),
+        F.sum(F.when(F.col("input_tokens").isNull() | F.col("output_tokens").isNull(), F.coalesce("request_count", F.lit(1))).otherwise(0)).alias("missing_usage_requests"),
+        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in COUNTERS],
         F.when(missing > 0, "known lower bound").otherwise("reported/reconstructed").alias("count_quality"),
     ]
 
@@ -70,11 +72,21 @@ def rollup_sets(usage: DataFrame) -> DataFrame:
     return sets.agg(F.grouping_id().cast("int").alias("level"), F.sum("input_tokens").alias("input_tokens"), F.count(F.lit(1)).alias("n"))
 
 
-def rolling(usage: DataFrame, spans: dict[str, int]) -> DataFrame:
-    """AGG-08 for every row: totals of its session over the closed interval [ts - span, ts] in seconds."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    usage = usage.withColumn("at", at)
-    return usage.select("id", "session_id", *[F.sum("input_tokens").over(Window.partitionBy("session_id").orderBy("at").rangeBetween(-s * 1_000_000, 0)).alias(n) for n, s in spans.items()])
+def cost_statistics() -> list[Column]:
+    """AGG-01, costs: bounds (what is unpriced adds nothing), and requests that are priced and unpriced."""
+    calls = F.coalesce("request_count", F.lit(1))
+    unpriced = F.col("lower_cost").isNull()
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return [zero("lower_cost"), zero("upper_cost"), F.sum(F.when(unpriced, 0).otherwise(calls)).alias("priced_requests"), F.sum(F.when(unpriced, calls).otherwise(0)).alias("unpriced_requests")]
+
+
+def rolling_totals(usage: DataFrame, now: str, spans: dict[str, int]) -> DataFrame:
+    """AGG-08: statistics of the closed interval [now - span, now] (seconds) for each span, whatever the report's period; one scan."""
+    at = F.lit(now).cast("timestamp_ntz")
+    age = F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    hits = F.array_compact(F.array(*[F.when(F.col("age") <= s * 1_000_000, F.lit(n)) for n, s in spans.items()]))
+    rows = usage.filter(F.col("ts") <= at).withColumn("age", age).filter(F.col("age") <= max(spans.values()) * 1_000_000)
+    return rows.withColumn("span", F.explode(hits)).groupBy("span").agg(*statistics())
 
 
 def anchored_totals(usage: DataFrame, spans: dict[str, int]) -> DataFrame:
@@ -136,15 +148,6 @@ def preferred(first: DataFrame, second: DataFrame, key: str, measures: list[str]
     return both.select(key, F.when(use_b, "second").otherwise("first").alias("source"), *[F.when(use_b, F.col(f"b_{m}")).otherwise(F.col(f"a_{m}")).alias(m) for m in measures])
 
 
-def calibrated(observations: DataFrame, key: str, at: str, used: str, tokens: str, least: int = 5, span: int = 5) -> DataFrame:
-    """AGG-16, WIN-08: per quota, tokens per point where at least `least` observations rise monotonically by at least `span`."""
-    w = Window.partitionBy(key).orderBy(at)
-    rows = observations.withColumn("falls", F.col(used) < F.lag(used).over(w))
-    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("falls"), F.lit(False)).alias("falls"), F.min_by(used, at).alias("lo"), F.max_by(used, at).alias("hi"), F.sum(tokens).alias("tokens"))
-    reason = F.when(F.col("n") < least, "too_few_samples").when(F.col("falls"), "not_monotone").when(F.col("hi") - F.col("lo") < span, "span_too_small").otherwise("calibrated")
-    return out.select(key, "n", "tokens", reason.alias("reason"), F.when(reason == "calibrated", F.floor(F.col("tokens") / (F.col("hi") - F.col("lo"))).cast("long")).alias("tokens_per_point"))
-
-
 def composition(turns: DataFrame, ratio: float = 4.0) -> DataFrame:
     """AGG-17, AGG-18: characters and token estimates (half-even, lower /6, upper /2) by conversation and category."""
     n = F.sum(F.length(F.coalesce("text", F.lit(""))))

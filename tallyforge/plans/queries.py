@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import graph, joins, pricing, reports, retrieval, sequences, snapshots, usage
+from tallyforge.operators import accounting, graph, joins, pricing, reports, retrieval, sequences, snapshots, usage
+from tallyforge.sources import imports
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -48,11 +49,13 @@ U = """u AS (SELECT event_id AS id, user_id AS session_id, event_type AS agent,
   CASE WHEN event_id % 11 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) * 2 END AS output_tokens,
   CASE WHEN event_id % 13 <> 0 THEN 1 END AS request_count FROM events)"""
 STATS = """sum(input_tokens)::BIGINT AS input_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(output_tokens)::BIGINT AS output_tokens,
-  sum(coalesce(request_count, 1))::BIGINT AS requests, count(DISTINCT session_id) AS sessions,
+  sum(coalesce(request_count, 1))::BIGINT AS requests, count(DISTINCT (agent, session_id)) AS sessions,
   CASE WHEN sum(input_tokens) IS NOT NULL OR sum(output_tokens) IS NOT NULL THEN (coalesce(sum(input_tokens), 0) + coalesce(sum(output_tokens), 0))::BIGINT END AS total_tokens,
   CASE WHEN sum(CASE WHEN cache_read_tokens IS NOT NULL THEN input_tokens END) <> 0 THEN
     floor(10000.0 * sum(CASE WHEN input_tokens IS NOT NULL THEN cache_read_tokens END) / sum(CASE WHEN cache_read_tokens IS NOT NULL THEN input_tokens END))::BIGINT END AS cache_hit_basis_points,
   count(*) FILTER (WHERE input_tokens IS NULL OR output_tokens IS NULL OR request_count IS NULL) AS rows_with_unknowns,
+  sum(CASE WHEN input_tokens IS NULL OR output_tokens IS NULL THEN coalesce(request_count, 1) ELSE 0 END)::BIGINT AS missing_usage_requests,
+  count(*) FILTER (WHERE input_tokens IS NULL) AS missing_input_tokens, count(*) FILTER (WHERE cache_read_tokens IS NULL) AS missing_cache_read_tokens, count(*) FILTER (WHERE output_tokens IS NULL) AS missing_output_tokens,
   CASE WHEN count(*) FILTER (WHERE input_tokens IS NULL OR output_tokens IS NULL OR request_count IS NULL) > 0 THEN 'known lower bound' ELSE 'reported/reconstructed' END AS count_quality"""
 
 
@@ -78,18 +81,36 @@ def usage_rollup_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.rollup_sets(rows_of_usage(spark, sf_dir))
 
 
-@query(f"WITH {U} SELECT agent, model, CASE WHEN count(DISTINCT session_id) = 1 THEN 'one' ELSE 'many' END AS sessions_label, {STATS} FROM u GROUP BY agent, model")
+ROUTED = """a AS (SELECT *, model AS reported_model, CASE WHEN agent = 'click' AND session_id % 10 = 3 THEN 'zai' WHEN agent IN ('click', 'view') THEN 'any-' || agent END AS provider FROM u),
+ r AS (SELECT * EXCLUDE (model), CASE WHEN provider = 'zai' THEN 'glm' WHEN provider IS NOT NULL THEN 'unknown' ELSE model END AS model, CASE WHEN provider IS NOT NULL THEN 'user_override' ELSE 'reported' END AS model_attribution FROM a)"""
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage rows after a map of routes: the model that was reported is kept, a route without a model leaves it unknown."""
+    mapping = spark.createDataFrame([("click", "3", "zai"), ("click", "*", "any-click"), ("view", "*", "any-view")], "agent string, session string, provider string")
+    rows = rows_of_usage(spark, sf_dir).withColumn("reported_model", F.col("model")).withColumn("session", (F.col("session_id") % 10).cast("string"))
+    rows = joins.with_wildcard(rows, mapping, "agent", "session", "provider").drop("session")
+    model = F.when(F.col("provider") == "zai", "glm").when(F.col("provider").isNotNull(), "unknown").otherwise(F.col("model"))
+    return rows.withColumn("model", model).withColumn("model_attribution", F.when(F.col("provider").isNotNull(), "user_override").otherwise("reported"))
+
+
+@query(f"WITH {U}, {ROUTED} SELECT agent || ' | ' || coalesce(provider, 'unverified provider') || ' | ' || reported_model || ' | ' || model || ' | ' || model_attribution AS label, {STATS} FROM r GROUP BY 1")
 def usage_by_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-05, AGG-06."""
-    return usage.grouped(rows_of_usage(spark, sf_dir), "agent", "model").withColumn("sessions_label", F.when(F.col("sessions") == 1, "one").otherwise("many"))
+    """AGG-05, JOIN-09."""
+    return usage.grouped(routed(spark, sf_dir).withColumn("label", accounting.attribution_label()), "label")
 
 
-@query(f"""WITH {U} SELECT id, session_id,
- sum(input_tokens) OVER (PARTITION BY session_id ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR PRECEDING AND CURRENT ROW)::BIGINT AS tokens_5h,
- sum(input_tokens) OVER (PARTITION BY session_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)::BIGINT AS tokens_7d FROM u""")
+@query(f"""WITH {U}, {ROUTED} SELECT agent || ':' || session_id AS label, CASE WHEN count(DISTINCT model) = 1 THEN min(model) ELSE 'mixed models' END AS model, count(*) AS n FROM (SELECT agent, session_id, CASE WHEN id % 3 = 0 THEN 'm3' ELSE model END AS model FROM r) GROUP BY 1""")
+def session_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-06."""
+    return accounting.session_models(routed(spark, sf_dir).withColumn("model", F.when(F.col("id") % 3 == 0, "m3").otherwise(F.col("model"))))
+
+
+@query(f"""WITH {U}, w AS (SELECT u.*, 'five_hour' AS span FROM u WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 5 HOUR AND ts <= TIMESTAMP '2024-01-20 12:00:00' UNION ALL SELECT u.*, 'seven_day' FROM u WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-20 12:00:00')
+SELECT span, {STATS} FROM w GROUP BY span""")
 def rolling_5h_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-08."""
-    return usage.rolling(rows_of_usage(spark, sf_dir), {"tokens_5h": 5 * 3600, "tokens_7d": 7 * 86400})
+    return usage.rolling_totals(rows_of_usage(spark, sf_dir), "2024-01-20 12:00:00", {"five_hour": 5 * 3600, "seven_day": 7 * 86400})
 
 
 @query(f"""WITH {U}, m AS (SELECT agent, max(ts) AS latest FROM u GROUP BY agent)
@@ -135,7 +156,7 @@ def dataset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {U}, e AS (SELECT session_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM u GROUP BY session_id)
 SELECT * FROM e WHERE ended >= TIMESTAMP '2024-01-10' AND started < TIMESTAMP '2024-01-20'""")
 def session_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-07, AGG-14, WIN-21."""
+    """AGG-14, WIN-21."""
     return usage.overlapping(usage.extents(rows_of_usage(spark, sf_dir)), "2024-01-10", "2024-01-20")
 
 
@@ -150,15 +171,55 @@ def source_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.preferred(a, b, "k", ["requests", "cents"])
 
 
-@query(f"""WITH {U}, o AS (SELECT session_id, id, coalesce(cache_read_tokens, 0) + id // 100 AS used, output_tokens AS tokens, ts FROM u),
-f AS (SELECT *, used < lag(used) OVER (PARTITION BY session_id ORDER BY id) AS falls FROM o),
-g AS (SELECT session_id, count(*) AS n, coalesce(bool_or(falls), false) AS falls, arg_min(used, id) AS lo, arg_max(used, id) AS hi, sum(tokens)::BIGINT AS tokens FROM f GROUP BY session_id),
-r AS (SELECT *, CASE WHEN n < 2 THEN 'too_few_samples' WHEN falls THEN 'not_monotone' WHEN hi - lo < 5 THEN 'span_too_small' ELSE 'calibrated' END AS reason FROM g)
-SELECT session_id, n, tokens, reason, CASE WHEN reason = 'calibrated' THEN floor(tokens::DOUBLE / (hi - lo))::BIGINT END AS tokens_per_point FROM r""")
+QUOTAS = """q AS (SELECT event_type AS agent, CAST(user_id % 4 AS VARCHAR) AS account, 'primary' AS bucket, date_trunc('day', ts) + INTERVAL 1 DAY AS resets_at, CASE WHEN user_id % 4 = 3 THEN 0 ELSE 60 END AS window_minutes,
+ CASE WHEN user_id % 4 = 2 THEN 'other' END AS provider, ts AS observed_at, CASE WHEN event_id % 17 <> 0 THEN date_part('hour', ts) * 4.0 + CASE WHEN user_id % 4 = 1 THEN event_id % 3 ELSE 0 END END AS used_percent FROM events),
+ rq AS (SELECT event_type AS agent, CAST(user_id % 4 AS VARCHAR) AS account, ts, CASE WHEN date_part('day', ts) % 3 = 0 THEN 'm' ELSE 'm' || (event_id % 2) END AS model, CASE WHEN date_part('day', ts) % 4 = 0 AND event_id % 2 = 0 THEN NULL ELSE event_id END AS input_tokens, 5 AS output_tokens FROM events WHERE date_part('hour', ts) >= 2)"""
+
+
+def quota_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events")
+    account, hour, day = (F.col("user_id") % 4).cast("string"), F.hour("ts"), F.dayofmonth("ts")
+    used = F.when(F.col("event_id") % 17 != 0, hour * F.lit(4.0) + F.when(F.col("user_id") % 4 == 1, F.col("event_id") % 3).otherwise(0))
+    quotas = e.select(F.col("event_type").alias("agent"), account.alias("account"), F.lit("primary").alias("bucket"), (F.date_trunc("day", F.col("ts").cast("timestamp")) + F.make_dt_interval(F.lit(1))).cast("timestamp_ntz").alias("resets_at"),
+        F.when(F.col("user_id") % 4 == 3, 0).otherwise(60).alias("window_minutes"), F.when(F.col("user_id") % 4 == 2, "other").alias("provider"), F.col("ts").alias("observed_at"), used.alias("used_percent"))
+    none = F.lit(None).cast("string")
+    requests = e.filter(hour >= 2).select(F.col("event_type").alias("agent"), account.alias("account"), "ts", F.when(day % 3 == 0, "m").otherwise(F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string"))).alias("model"), none.alias("speed"), none.alias("service_tier"), none.alias("provider"),
+        F.when(~((day % 4 == 0) & (F.col("event_id") % 2 == 0)), F.col("event_id")).alias("input_tokens"), F.lit(5).cast("long").alias("output_tokens"))
+    return quotas, requests
+
+
+@query(f"""WITH {QUOTAS}, v AS (SELECT *, used_percent < lag(used_percent) OVER (PARTITION BY agent, account, bucket, resets_at, window_minutes, provider ORDER BY observed_at, used_percent) AS falls FROM q WHERE used_percent IS NOT NULL),
+ n AS (SELECT agent, account, bucket, resets_at, window_minutes, provider, count(*) AS samples FROM q GROUP BY ALL),
+ k AS (SELECT agent, account, bucket, resets_at, window_minutes, provider, count(*) AS valid, coalesce(bool_or(falls), false) AS fell, min(observed_at) AS lo, max(observed_at) AS hi, max((observed_at, used_percent))[2] - min((observed_at, used_percent))[2] AS points FROM v GROUP BY ALL),
+ g AS (SELECT n.*, valid, fell, lo, hi, points FROM n LEFT JOIN k ON n.agent = k.agent AND n.account = k.account AND n.resets_at = k.resets_at AND n.window_minutes = k.window_minutes AND n.provider IS NOT DISTINCT FROM k.provider),
+ i AS (SELECT g.agent, g.account, g.resets_at, g.window_minutes, g.provider, count(*) AS requests, count(DISTINCT model) AS mixes, bool_or(input_tokens IS NULL) AS incomplete, sum(coalesce(input_tokens, 0) + output_tokens)::BIGINT AS tokens FROM g JOIN rq ON rq.agent = g.agent AND rq.account = g.account AND rq.ts > lo AND rq.ts <= hi GROUP BY ALL),
+ o AS (SELECT g.agent, g.account, g.resets_at, g.window_minutes, g.provider, count(*) AS aging FROM g JOIN rq ON rq.agent = g.agent AND rq.ts > lo - INTERVAL 60 MINUTE AND rq.ts <= hi - INTERVAL 60 MINUTE WHERE g.window_minutes > 0 GROUP BY ALL),
+ j AS (SELECT g.*, mixes, incomplete, tokens, aging FROM g LEFT JOIN i ON g.agent = i.agent AND g.account = i.account AND g.resets_at = i.resets_at AND g.window_minutes = i.window_minutes AND g.provider IS NOT DISTINCT FROM i.provider LEFT JOIN o ON g.agent = o.agent AND g.account = o.account AND g.resets_at = o.resets_at AND g.window_minutes = o.window_minutes AND g.provider IS NOT DISTINCT FROM o.provider),
+ z AS (SELECT *, CASE WHEN valid IS NULL OR valid < 5 OR hi >= resets_at THEN 'too_few_observations' WHEN fell THEN 'quota_fell' WHEN points < 5 THEN 'too_few_observations' WHEN provider IS NOT NULL AND mixes > 0 THEN 'route_unknown_or_other' WHEN mixes IS NULL OR mixes <> 1 OR window_minutes = 0 OR coalesce(aging, 0) > 0 OR incomplete THEN 'mixed_aging_or_incomplete' ELSE 'calibrated' END AS reason FROM j)
+SELECT agent, account, bucket, resets_at, window_minutes, provider, samples, reason, CASE WHEN reason = 'calibrated' THEN tokens END AS tokens, CASE WHEN reason = 'calibrated' THEN points END AS points FROM z""")
 def quota_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-16, WIN-08, JOIN-10."""
-    rows = rows_of_usage(spark, sf_dir).select("session_id", "id", (F.coalesce("cache_read_tokens", F.lit(0)) + F.floor(F.col("id") / 100)).alias("used"), F.col("output_tokens").alias("tokens"))
-    return usage.calibrated(rows, "session_id", "id", "used", "tokens", least=2)
+    return accounting.quota_estimates(*quota_rows(spark, sf_dir))
+
+
+@query(f"""WITH {U}, {ROUTED}, e AS (SELECT agent, session_id, min(ts) AS started, max(ts) AS ended FROM u GROUP BY 1, 2), p AS (SELECT * FROM r WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20')
+SELECT (SELECT count(*) FROM (SELECT agent, session_id FROM e WHERE ended >= TIMESTAMP '2024-01-10' AND started < TIMESTAMP '2024-01-20' UNION SELECT agent, session_id FROM p)) AS sessions,
+ (SELECT sum(CASE WHEN model_attribution = 'reported' THEN coalesce(request_count, 1) ELSE 0 END)::BIGINT FROM p) AS unverified_model_requests, (SELECT count(*) FROM r WHERE ts IS NULL) AS undated_requests_excluded""")
+def scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-07, AGG-37, AGG-38, SCL-25."""
+    rows = routed(spark, sf_dir)
+    sessions = rows.groupBy("agent", "session_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    return accounting.scope(rows, sessions, "2024-01-10", "2024-01-20")
+
+
+CODES = ["source_unreadable", "no_eligible_sources", "malformed_json", "import_warning"]
+
+
+@query("""SELECT count(*) FILTER (WHERE event_id % 40 IN (0, 2)) AS accounting_gap_observations, CASE WHEN count(*) FILTER (WHERE event_id % 40 IN (0, 2)) > 0 THEN 'known lower bound' ELSE 'reported/reconstructed' END AS count_quality FROM events WHERE event_id % 40 < 4""")
+def accounting_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-10."""
+    rows = table(spark, sf_dir, "events").filter("event_id % 40 < 4").select(F.element_at(S.strings(CODES), (F.col("event_id") % 40).cast("int") + 1).alias("code"))
+    return accounting.gaps(rows)
 
 
 @query("""WITH c AS (SELECT conv_id, role AS category, sum(length(coalesce(text, '')))::BIGINT AS characters, max(turn) AS latest_turn FROM conversations GROUP BY conv_id, role)
@@ -170,14 +231,14 @@ def context_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS code, count(*) AS occurrences, count(DISTINCT user_id) AS sources FROM events GROUP BY 1")
 def warning_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-19, FLT-10."""
+    """AGG-19."""
     return usage.histogram(table(spark, sf_dir, "events").select(F.col("event_type").alias("code"), "user_id"), "code", "user_id")
 
 
 @query(f"""WITH {U} SELECT agent, sum(CASE WHEN cache_read_tokens IS NULL THEN coalesce(request_count, 1) ELSE 0 END)::BIGINT AS unverified, count(*) FILTER (WHERE output_tokens IS NULL) AS unknown_output,
 CASE WHEN sum(input_tokens) > 50000 THEN 'heavy use' WHEN count(*) FILTER (WHERE output_tokens IS NULL) > 0 THEN 'incomplete' ELSE 'none' END AS insight FROM u GROUP BY agent""")
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-37 to AGG-39."""
+    """AGG-39."""
     rows = rows_of_usage(spark, sf_dir)
     unknown = F.count_if(F.col("output_tokens").isNull())
     rule = F.when(F.sum("input_tokens") > 50000, "heavy use").when(unknown > 0, "incomplete").otherwise("none")
@@ -185,42 +246,60 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Pricing: JOIN-04, JOIN-05, SCL-24
-CARD = """card AS (SELECT * FROM (VALUES ('A', CAST(NULL AS TIMESTAMP), TIMESTAMP '1995-01-01', 3.0, 0.3, 3.75, 6.0, 15.0, 2.0), ('A', TIMESTAMP '1995-01-01', CAST(NULL AS TIMESTAMP), 2.5, 0.25, 3.0, 5.0, 12.5, 2.0),
- ('R', CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), 1.0, 0.1, 1.25, 2.0, 5.0, CAST(NULL AS DECIMAL(4, 2)))) t(card_model, f, e, rate_input, rate_read, rate_5m, rate_1h, rate_output, fast))"""
+CARD = """card AS (SELECT * FROM (VALUES ('A', 'anthropic', CAST(NULL AS TIMESTAMP), TIMESTAMP '1995-01-01', 3.0, 0.3, 3.75, 6.0, 15.0, 2.0), ('A', 'anthropic', TIMESTAMP '1995-01-01', CAST(NULL AS TIMESTAMP), 2.5, 0.25, 3.0, 5.0, 12.5, 2.0),
+ ('R', 'zai', TIMESTAMP '1993-01-01', CAST(NULL AS TIMESTAMP), 1.0, 0.1, 0.0, 0.0, 5.0, CAST(NULL AS DECIMAL(4, 2)))) t(card_model, card_provider, f, e, rate_input, rate_read, own_5m, own_1h, rate_output, fast))"""
 
 
 def card(spark: SparkSession) -> DataFrame:
-    rows = [("A", None, "1995-01-01", "3.0", "0.3", "3.75", "6.0", "15.0", "2.0"), ("A", "1995-01-01", None, "2.5", "0.25", "3.0", "5.0", "12.5", "2.0"), ("R", None, None, "1.0", "0.1", "1.25", "2.0", "5.0", None)]
-    names = ["model", "effective_from", "effective_until", "rate_input", "rate_read", "rate_5m", "rate_1h", "rate_output", "fast_multiplier"]
+    rows = [("A", "anthropic", None, "1995-01-01", "3.0", "0.3", "3.75", "6.0", "15.0", "2.0"), ("A", "anthropic", "1995-01-01", None, "2.5", "0.25", "3.0", "5.0", "12.5", "2.0"), ("R", "zai", "1993-01-01", None, "1.0", "0.1", "0", "0", "5.0", None)]
+    names = ["model", "provider", "effective_from", "effective_until", "rate_input", "rate_read", "rate_5m", "rate_1h", "rate_output", "fast_multiplier"]
     df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
-    return df.select("model", *[F.col(n).cast("timestamp_ntz").alias(n) for n in names[1:3]], *[F.col(n).cast("decimal(10,4)").alias(n) for n in names[3:8]], F.col("fast_multiplier").cast("decimal(8,4)").alias("fast_multiplier"))
+    return df.select("model", "provider", *[F.col(n).cast("timestamp_ntz").alias(n) for n in names[2:4]], *[F.col(n).cast("decimal(10,4)").alias(n) for n in names[4:9]], F.col("fast_multiplier").cast("decimal(8,4)").alias("fast_multiplier"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = (F.col("l_quantity") * 1000).cast("long")
+    q, supplier = (F.col("l_quantity") * 1000).cast("long"), F.col("l_suppkey")
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("model"), F.col("l_shipdate").alias("ts"), q.alias("input"), F.when(F.col("l_linenumber") % 3 != 0, F.floor(q / 2).cast("long")).alias("cache_read"),
         F.when(F.col("l_linenumber") % 4 != 0, F.floor(q / 10).cast("long")).alias("cache_write"), F.floor(q / 20).cast("long").alias("write_5m"), F.lit(0).cast("long").alias("write_1h"), F.floor(q / 5).cast("long").alias("output"),
-        F.when(F.col("l_linestatus") == "F", "fast").otherwise("standard").alias("speed"), F.when(F.col("l_suppkey") % 2 == 0, "us").otherwise("eu").alias("geo"),
+        F.when(F.col("l_linestatus") == "F", "fast").otherwise("standard").alias("speed"), F.when(supplier % 5 == 0, "eu").when(supplier % 2 == 0, "us").when(supplier % 3 == 0, "global").alias("geo"), F.when(supplier % 7 == 0, "Z-AI").alias("provider"),
     )
 
 
 COST = """r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS model, l_shipdate AS ts, CAST(l_quantity * 1000 AS BIGINT) AS q, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_quantity * 1000 AS BIGINT) // 2 END AS rd,
- CASE WHEN l_linenumber % 4 <> 0 THEN CAST(l_quantity * 1000 AS BIGINT) // 10 END AS wr, CAST(l_quantity * 1000 AS BIGINT) // 20 AS w5, CAST(l_quantity * 1000 AS BIGINT) // 5 AS o, l_linestatus = 'F' AS fast_speed, l_suppkey % 2 = 0 AS us FROM lineitem),
-j AS (SELECT * FROM r LEFT JOIN card ON model = card_model AND (f IS NULL OR ts >= f) AND (e IS NULL OR ts < e)),
-s AS (SELECT *, CASE WHEN card_model IS NULL THEN 'no_effective_rate' WHEN coalesce(rd, 0) + coalesce(wr, 0) > q THEN 'invalid_token_subsets' WHEN w5 > coalesce(wr, 0) THEN 'invalid_cache_ttl_split' WHEN fast_speed AND fast IS NULL THEN 'unknown_speed_rate' END AS reason,
- coalesce(rd, 0) * rate_read + o * rate_output + w5 * rate_5m AS fixed, coalesce(wr, 0) - w5 AS rw, q - coalesce(rd, 0) - coalesce(wr, 0) AS ri, (CASE WHEN fast_speed THEN fast ELSE 1 END) * (CASE WHEN us THEN 1.1 ELSE 1.0 END) AS factor,
+ CASE WHEN l_linenumber % 4 <> 0 THEN CAST(l_quantity * 1000 AS BIGINT) // 10 END AS wr, CAST(l_quantity * 1000 AS BIGINT) // 20 AS w5, CAST(l_quantity * 1000 AS BIGINT) // 5 AS o, l_linestatus = 'F' AS fast_speed,
+ CASE WHEN l_suppkey % 5 = 0 THEN 'eu' WHEN l_suppkey % 2 = 0 THEN 'us' WHEN l_suppkey % 3 = 0 THEN 'global' END AS geo, CASE WHEN l_suppkey % 7 = 0 THEN 'zai' END AS provider FROM lineitem),
+c0 AS (SELECT *, CASE WHEN own_5m = 0 THEN rate_input ELSE own_5m END AS rate_5m, CASE WHEN own_1h = 0 THEN rate_input ELSE own_1h END AS rate_1h FROM card),
+j AS (SELECT * FROM r LEFT JOIN c0 ON model = card_model AND (f IS NULL OR ts >= f) AND (e IS NULL OR ts < e)),
+s AS (SELECT *, CASE WHEN model NOT IN (SELECT card_model FROM card) THEN 'unknown_model' WHEN card_model IS NULL THEN 'no_effective_rate' WHEN coalesce(rd, 0) + coalesce(wr, 0) > q THEN 'invalid_token_subsets' WHEN provider IS NOT NULL AND provider <> card_provider THEN 'provider_model_mismatch' WHEN fast_speed AND fast IS NULL THEN 'unknown_speed_rate' WHEN geo = 'eu' AND card_provider = 'anthropic' THEN 'geography_rate_not_established' WHEN w5 > coalesce(wr, 0) THEN 'invalid_cache_ttl_split' END AS reason,
+ coalesce(rd, 0) * rate_read + o * rate_output + w5 * rate_5m AS fixed, coalesce(wr, 0) - w5 AS rw, q - coalesce(rd, 0) - coalesce(wr, 0) AS ri, (CASE WHEN fast_speed THEN fast ELSE 1 END) * (CASE WHEN geo = 'us' AND card_provider = 'anthropic' THEN 1.1 ELSE 1.0 END) AS factor,
  least(rate_input, CASE WHEN rd IS NULL THEN rate_read ELSE rate_input END, CASE WHEN wr IS NULL THEN least(rate_5m, rate_1h) ELSE rate_input END) AS lo,
  greatest(rate_input, CASE WHEN rd IS NULL THEN rate_read ELSE rate_input END, CASE WHEN wr IS NULL THEN greatest(rate_5m, rate_1h) ELSE rate_input END) AS hi FROM j),
 c AS (SELECT *, CASE WHEN reason IS NULL THEN CAST(floor((fixed + rw * least(rate_5m, rate_1h) + ri * lo) * factor * 10 + 0.5) AS BIGINT) END AS lower_e7, CASE WHEN reason IS NULL THEN CAST(floor((fixed + rw * greatest(rate_5m, rate_1h) + ri * hi) * factor * 10 + 0.5) AS BIGINT) END AS upper_e7 FROM s)"""
+E7 = lambda c: F.floor(F.col(c) * 10_000_000 + F.lit("0.5").cast("decimal(2,1)")).cast("long").alias(c.replace("cost", "e7"))
 
 
 @query(f"WITH {CARD}, {COST} SELECT l_orderkey, l_linenumber, coalesce(reason, CASE WHEN lower_e7 = upper_e7 THEN 'priced' ELSE 'range' END) AS status, lower_e7, upper_e7 FROM c")
 def price_effective_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-04, SCL-24."""
     rows = pricing.priced(pricing.effective(requests(spark, sf_dir), card(spark)))
-    e7 = lambda c: F.floor(F.col(c) * 10_000_000 + F.lit("0.5").cast("decimal(2,1)")).cast("long").alias(c.replace("cost", "e7"))
-    return rows.select("l_orderkey", "l_linenumber", "status", e7("lower_cost"), e7("upper_cost"))
+    return rows.select("l_orderkey", "l_linenumber", "status", E7("lower_cost"), E7("upper_cost"))
+
+
+@query(f"WITH {CARD}, {COST} SELECT model, coalesce(sum(lower_e7), 0)::BIGINT AS lower_e7, coalesce(sum(upper_e7), 0)::BIGINT AS upper_e7, count(*) FILTER (WHERE reason IS NULL) AS priced_requests, count(*) FILTER (WHERE reason IS NOT NULL) AS unpriced_requests FROM c GROUP BY model")
+def usage_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-01, its costs, summed in ten-millionths."""
+    rows = pricing.priced(pricing.effective(requests(spark, sf_dir), card(spark)))
+    rows = rows.select("model", E7("lower_cost"), E7("upper_cost"), F.lit(1).alias("request_count")).withColumnsRenamed({"lower_e7": "lower_cost", "upper_e7": "upper_cost"})
+    return rows.groupBy("model").agg(*usage.cost_statistics()).withColumnsRenamed({"lower_cost": "lower_e7", "upper_cost": "upper_e7"}).withColumns({c: F.col(c).cast("long") for c in ("priced_requests", "unpriced_requests")})
+
+
+@query(f"WITH {CARD} SELECT card_model AS model, count(*) AS n FROM card WHERE card_model IN (SELECT CASE l_returnflag WHEN 'N' THEN 'A' ELSE 'x' END FROM lineitem) GROUP BY 1")
+def used_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-40."""
+    aliases = spark.createDataFrame([("N", "A"), ("zz", "R")], "alias string, target string")
+    rows = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "N", "N").otherwise("x").alias("model"))
+    return accounting.used_rates(card(spark), aliases, rows).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS model, CAST(l_quantity * 1000 AS BIGINT) AS q FROM lineitem)
@@ -624,44 +703,155 @@ def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Graph
-EDGES = """g AS (SELECT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey % 5 <> 0 GROUP BY 1, 2),
-nodes AS (SELECT 'n' || n_nationkey AS node FROM nation), o AS (SELECT src, sum(weight) AS out FROM g GROUP BY src), sh AS (SELECT g.src, dst, weight / out AS w FROM g JOIN o ON g.src = o.src), r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes)"""
-STEP = """, r{n} AS (SELECT a.node, 0.85 * coalesce((SELECT sum(b.rank * sh.w) FROM sh JOIN r{m} b ON b.node = sh.src WHERE sh.dst = a.node), 0) + (0.85 * coalesce((SELECT sum(rank) FROM r{m} WHERE node NOT IN (SELECT src FROM o)), 0) + 0.15) / (SELECT count(*) FROM nodes) AS rank FROM r{m} a)"""
+EDGES = """g AS (SELECT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+nodes AS (SELECT 'n' || n_nationkey AS node, (1.0 + n_regionkey) / (SELECT sum(1.0 + n_regionkey) FROM nation) AS pref FROM nation), o AS (SELECT src, sum(weight) AS out FROM g GROUP BY src), sh AS (SELECT g.src, dst, weight / out AS w FROM g JOIN o ON g.src = o.src), r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank, pref FROM nodes)"""
+STEP = """, r{n} AS (SELECT a.node, 0.85 * coalesce((SELECT sum(b.rank * sh.w) FROM sh JOIN r{m} b ON b.node = sh.src WHERE sh.dst = a.node), 0) + (0.85 * coalesce((SELECT sum(rank) FROM r{m} WHERE node NOT IN (SELECT src FROM o)), 0) + 0.15) * a.pref AS rank, a.pref FROM r{m} a)"""
+#: Rounds of the SQL, after which no rank moves by a millionth any more; the operator stops by itself, at 1e-6 x nodes.
+SQL_ROUNDS = 12
 
 
 def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = lambda n: table(spark, sf_dir, n)
     name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
-    rows = t("orders").join(t("customer").filter("c_nationkey % 5 <> 0"), F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     edges = rows.groupBy(name("c_nationkey").alias("src"), name("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return t("nation").select(name("n_nationkey").alias("node")), edges
+    return t("nation").select(name("n_nationkey").alias("node"), (F.lit(1.0) + F.col("n_regionkey")).alias("pref")), edges
 
 
-@query(f"WITH {EDGES}" + "".join(STEP.format(n=k + 1, m=k) for k in range(8)) + " SELECT node, round(rank, 9) AS rank FROM r8")
-def pagerank_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-31, AGG-35."""
+def nation_rank(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = nation_graph(spark, sf_dir)
-    return graph.pagerank(nodes, edges, rounds=8, tolerance=None).select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(nodes.select("node"), edges, nodes), edges
+
+
+@query(f"WITH {EDGES}" + "".join(STEP.format(n=k + 1, m=k) for k in range(SQL_ROUNDS)) + f" SELECT node, round(rank, 4) AS rank FROM r{SQL_ROUNDS}")
+def pagerank_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-31: all edges, a preference that is normalised, until the ranks rest (compared to four digits)."""
+    return nation_rank(spark, sf_dir)[0].select("node", F.round("rank", 4).alias("rank"))
 
 
-@query(f"WITH {EDGES}" + "".join(STEP.format(n=k + 1, m=k) for k in range(4)) + " SELECT g.dst, 'x' AS ident, round(sum(rank * weight / out), 9) AS score FROM g JOIN o ON g.src = o.src JOIN r4 ON r4.node = g.src GROUP BY g.dst")
+@query(f"WITH {EDGES}" + "".join(STEP.format(n=k + 1, m=k) for k in range(SQL_ROUNDS)) + f" SELECT g.dst, 'x' AS ident, round(sum(rank * weight / out), 4) AS score FROM g JOIN o ON g.src = o.src JOIN r{SQL_ROUNDS} r ON r.node = g.src GROUP BY g.dst")
 def definition_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-32, AGG-33, WIN-19, SET-07."""
-    nodes, edges = nation_graph(spark, sf_dir)
-    rank = graph.pagerank(nodes, edges, rounds=4, tolerance=None)
-    return graph.definition_scores(edges.withColumn("ident", F.lit("x")), rank).select("dst", "ident", F.round("score", 9).alias("score"))
+    """AGG-33."""
+    rank, edges = nation_rank(spark, sf_dir)
+    return graph.definition_scores(edges.withColumn("ident", F.lit("x")), rank).select("dst", "ident", F.round("score", 4).alias("score"))
 
 
-@query(r"""WITH d AS (SELECT DISTINCT n_name || 'Key' AS ident, 'f' || n_regionkey AS path FROM nation), r AS (SELECT n.n_name || 'Key' AS ident, 's' || (c_custkey % 7) AS path FROM customer JOIN nation n ON n_nationkey = c_nationkey WHERE c_nationkey < 20),
+IDENTS = """d AS (SELECT DISTINCT CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN upper(n_name[1]) || lower(n_name[2:]) || 'er' WHEN 2 THEN '_' || n_name WHEN 3 THEN lower(n_name) || '-key' ELSE 'id' END AS ident, 'f' || n_nationkey AS path, n_nationkey AS line FROM nation),
+r AS (SELECT CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN upper(n_name[1]) || lower(n_name[2:]) || 'er' WHEN 2 THEN '_' || n_name WHEN 3 THEN lower(n_name) || '-key' ELSE 'used nowhere' END AS ident, 's' || (c_custkey % 7) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey),
 k AS (SELECT path, ident, count(*) AS n FROM r GROUP BY path, ident), s AS (SELECT ident, count(DISTINCT path) AS definers FROM d GROUP BY ident),
-e AS (SELECT k.path AS src, d.path AS dst, k.ident, sqrt(k.n) * (CASE WHEN regexp_matches(k.ident, '[a-z][A-Z]|_|-') AND length(k.ident) >= 8 THEN 10.0 ELSE 1.0 END) * (CASE WHEN definers > 5 THEN 0.1 ELSE 1.0 END) AS weight FROM k JOIN d ON d.ident = k.ident JOIN s ON s.ident = k.ident)
-SELECT src, dst, ident, round(weight, 6) AS weight FROM e UNION ALL SELECT path, path, ident, 0.1 FROM d WHERE ident NOT IN (SELECT ident FROM k)""")
+e AS (SELECT k.path AS src, d.path AS dst, k.ident, sqrt(k.n) * (CASE WHEN k.ident IN ('NATION_5', 'Nation_1er') THEN 10.0 ELSE 1.0 END) * (CASE WHEN ((contains(k.ident, '_') OR contains(k.ident, '-')) OR (regexp_matches(k.ident, '[A-Z]') AND regexp_matches(k.ident, '[a-z]'))) AND length(k.ident) >= 8 THEN 10.0 ELSE 1.0 END)
+ * (CASE WHEN starts_with(k.ident, '_') THEN 0.1 ELSE 1.0 END) * (CASE WHEN definers > 5 THEN 0.1 ELSE 1.0 END) * (CASE WHEN k.path = 's3' THEN 50.0 ELSE 1.0 END) AS weight FROM k JOIN d ON d.ident = k.ident JOIN s ON s.ident = k.ident),
+w AS (SELECT src, dst, ident, weight FROM e UNION ALL SELECT path, path, ident, 0.1 FROM d WHERE ident NOT IN (SELECT ident FROM k))"""
+NAMED, FOCUS = ["NATION_5", "Nation_1er"], ["s3"]
+
+
+def identifiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Definitions and references by the nations' names in several styles."""
+    nation, k, name = table(spark, sf_dir, "nation"), F.col("n_nationkey") % 5, F.col("n_name")
+    camel = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 99)), F.lit("er"))
+    ident = lambda rest: F.when(k == 0, name).when(k == 1, camel).when(k == 2, F.concat(F.lit("_"), name)).when(k == 3, F.concat(F.lower(name), F.lit("-key"))).otherwise(rest)
+    d = nation.select(ident("id").alias("ident"), F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("path"), F.col("n_nationkey").alias("line"))
+    r = table(spark, sf_dir, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(ident("used nowhere").alias("ident"), F.concat(F.lit("s"), (F.col("c_custkey") % 7).cast("string")).alias("path"))
+    return d, r
+
+
+@query(f"WITH {IDENTS} SELECT src, dst, ident, round(weight, 6) AS weight FROM w")
 def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-16, AGG-32, SCL-21."""
-    nation = table(spark, sf_dir, "nation")
-    d = nation.select(F.concat("n_name", F.lit("Key")).alias("ident"), F.concat(F.lit("f"), F.col("n_regionkey").cast("string")).alias("path"))
-    r = table(spark, sf_dir, "customer").filter("c_nationkey < 20").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat("n_name", F.lit("Key")).alias("ident"), F.concat(F.lit("s"), (F.col("c_custkey") % 7).cast("string")).alias("path"))
-    return graph.reference_edges(d, r).withColumn("weight", F.round("weight", 6))
+    """JOIN-16, AGG-32, SCL-21: all references, named symbols and a focus file."""
+    d, r = identifiers(spark, sf_dir)
+    return graph.reference_edges(d, r, NAMED, FOCUS).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {IDENTS}, t AS (SELECT dst, ident, sum(weight) AS score FROM w GROUP BY 1, 2)
+SELECT path, d.ident, line, d.ident IN ('NATION_5', 'Nation_1er') AS named, path = 'f7' AS focused, CAST(row_number() OVER (ORDER BY d.ident IN ('NATION_5', 'Nation_1er') DESC, path = 'f7' DESC, round(score, 6) DESC NULLS LAST, path, d.ident, line) AS INT) AS place FROM d LEFT JOIN t ON t.dst = d.path AND t.ident = d.ident""")
+def definition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-19, SET-07: the weights stand for scores. The place is for the comparison with SQL, over some dozens of rows."""
+    from pyspark.sql.window import Window
+
+    d, r = identifiers(spark, sf_dir)
+    scores = graph.reference_edges(d, r, NAMED, FOCUS).groupBy("dst", "ident").agg(F.round(F.sum("weight"), 6).alias("score"))
+    rows = graph.ordered_definitions(d, scores, NAMED, ["f7"])
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("named"), F.desc("focused"), F.col("score").desc_nulls_last(), "path", "ident", "line"))
+    return rows.select("path", "ident", "line", "named", "focused", place.alias("place"))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) <= greatest(1, ceil(count(*) OVER () * 7.5 / 100))")
+def coverage_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SORT-11."""
+    return graph.coverage_cap(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), 7.5, F.desc("p_retailprice"), "p_partkey")
+
+
+@query("""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS snippet, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+s AS (SELECT doc_id, place, source || ':L' || place || ': ' || snippet[1:240] AS shown FROM l), u AS (SELECT *, sum(length(shown) + 1) OVER (PARTITION BY doc_id ORDER BY place) AS upto FROM s)
+SELECT doc_id, count(*) AS n, max(upto)::BIGINT AS characters, md5(string_agg(shown, chr(10) ORDER BY place)) AS lines FROM u WHERE upto <= 800 GROUP BY doc_id""")
+def line_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SORT-10: the lines of each document, as far as the budget goes."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.posexplode(F.split("text", "\n")).alias("place", "snippet"))
+    rows = graph.line_map(rows.withColumn("place", F.col("place") + 1).withColumn("line", F.col("place")), "doc_id", 800)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "shown"))), lambda x: x["shown"]), "\n")  # the budget bounds it
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("upto").alias("characters"), F.md5(whole).alias("lines"))
+
+
+# Displays, paths, tags, serialisation
+PATHS = ["CHANGES.md", "src/a.py", "docs/guide.md", "tests/test_a.py", "src/__tests__/b.ts", "web/x.spec.js", "vendor/lib.c", "static/app.min.js", "reports/q1.md", "src/newspaper.py", "a\\b/./../c", "/x//y/../z"]
+PATH_SQL = "['" + "', '".join(PATHS) + "'][1 + doc_id % 12]"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, {PATH_SQL} AS path FROM documents), l AS (SELECT *, lower(path) AS p FROM p)
+SELECT doc_id, path, round((CASE WHEN regexp_matches(p, '{"|".join(S.PAST)}') THEN 0.4 ELSE 1.0 END) * (CASE WHEN regexp_matches(p, '{"|".join(S.TESTS)}') THEN 0.6 ELSE 1.0 END) * (CASE WHEN regexp_matches(p, '{"|".join(S.GENERATED)}') THEN 0.4 ELSE 1.0 END) * (CASE WHEN path LIKE 'docs/%' THEN 1.25 ELSE 1.0 END), 6)::DOUBLE AS prior,
+ CASE path WHEN 'a\b/./../c' THEN 'a/c' WHEN '/x//y/../z' THEN '/x/z' ELSE path END AS normal FROM l""")
+def path_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-13, SCL-19, UDF-09."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(S.strings(PATHS), (F.col("doc_id") % 12).cast("int") + 1).alias("path"))
+    prior = S.path_prior(F.col("path"), F.col("path").startswith("docs/"), True)
+    return rows.select("doc_id", "path", F.round(prior, 6).alias("prior"), S.normal_path(F.col("path")).alias("normal"))
+
+
+@query(r"""WITH t AS (SELECT o_orderkey, o_totalprice AS x, o_orderkey % 5000 AS m FROM orders)
+SELECT o_orderkey, format('{:,}', round_even(x, 0)::BIGINT) AS shown, '$' || format('{:,.2f}', x) AS money, CASE WHEN m = 0 THEN 'unknown' WHEN m % 1440 = 0 THEN (m // 1440) || ' d' WHEN m % 60 = 0 THEN (m // 60) || ' h' ELSE m || ' min' END AS duration FROM t""")
+def displays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-31."""
+    x, m = F.col("o_totalprice"), (F.col("o_orderkey") % 5000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.shown_count(x).alias("shown"), S.shown_money(x, x).alias("money"), S.shown_minutes(m).alias("duration"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') || '<tools a="1">x' || chr(10) || turn || '</tools> mid <user_instructions>yy</user_instructions><tools>z</tools>' AS text FROM conversations),
+c AS (SELECT *, coalesce(list_sum([length(x) FOR x IN regexp_extract_all(text, '(<tools(?:\s[^>]*)?>[\s\S]*?</tools>)', 1)]), 0)::BIGINT AS tool_schemas, coalesce(list_sum([length(x) FOR x IN regexp_extract_all(text, '(<user_instructions(?:\s[^>]*)?>[\s\S]*?</user_instructions>)', 1)]), 0)::BIGINT AS instructions FROM t)
+SELECT conv_id, turn, tool_schemas, instructions, CASE WHEN role IN ('system', 'developer') THEN 'instructions' WHEN role = 'assistant' THEN 'assistant_messages' ELSE 'user_messages' END AS category, length(text) - tool_schemas - instructions AS rest FROM c""")
+def injected_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-04, SCL-03."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit('<tools a="1">x\n'), F.col("turn").cast("string"), F.lit("</tools> mid <user_instructions>yy</user_instructions><tools>z</tools>"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    rows = rows.withColumns({"tool_schemas": S.tag_characters(F.col("text"), "tools"), "instructions": S.tag_characters(F.col("text"), "user_instructions")})
+    return rows.select("conv_id", "turn", "tool_schemas", "instructions", S.remaining_category(F.col("role")).alias("category"), (F.length("text") - F.col("tool_schemas") - F.col("instructions")).alias("rest"))
+
+
+@query("""SELECT n_nationkey, '{"comment":null,"key":' || n_nationkey || ',"name":"' || n_name || ' é","region":{"id":' || n_regionkey || '}}' AS body, length('{"comment":null,"key":' || n_nationkey || ',"name":"' || n_name || ' é","region":{"id":' || n_regionkey || '}}') AS characters, CAST(ceil(length('{"comment":null,"key":' || n_nationkey || ',"name":"' || n_name || ' é","region":{"id":' || n_regionkey || '}}') / 4.0) AS BIGINT) AS tokens FROM nation""")
+def wire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-10, SCL-12, SCL-11: canonical compact JSON, its characters and its token estimate."""
+    row = {"name": F.concat("n_name", F.lit(" é")), "key": F.col("n_nationkey"), "comment": F.lit(None).cast("string"), "region": F.struct(F.col("n_regionkey").alias("id"))}
+    return reports.wire(table(spark, sf_dir, "nation").select("n_nationkey", reports.canonical(row).alias("body")), "body")
+
+
+@query("""WITH m AS (SELECT source, doc_id, len(string_split(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL) SELECT source, doc_id, lines FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY lines DESC, doc_id) <= 5""")
+def largest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SORT-13: the five longest of each source."""
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("source", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    return retrieval.capped(rows, "source", "source", [F.desc("lines"), F.col("doc_id")], 5, 5).drop("place")
+
+
+@query("SELECT page_id, md5(array_to_string(string_split(html, chr(10))[:15], chr(10))) AS head, len(string_split(html, chr(10))[:10]) AS n FROM pages")
+def head_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SORT-15."""
+    lines = F.split("html", "\n")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.array_join(F.slice(lines, 1, 15), "\n")).alias("head"), F.size(F.slice(lines, 1, 10)).cast("long").alias("n"))
+
+
+@query("""WITH d AS (SELECT i, a, k FROM range(14) r(i), (VALUES ('codex', 1), ('claude', 2), ('grok', 3)) v(a, k))
+SELECT a AS agent, 'demo-' || a || '-' || (i // 2) AS session_id, TIMESTAMP '2026-01-01 09:00:00' + INTERVAL 1 DAY * i + INTERVAL 1 HOUR * k AS ts, CAST(1000 * k + 37 * i AS BIGINT) AS input_tokens, CAST((1000 * k + 37 * i) // 2 AS BIGINT) AS cache_read_tokens, CAST(100 * k + 11 * i AS BIGINT) AS output_tokens FROM d""")
+def demo_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-15: fourteen days of three agents, made by rule; it reads no table."""
+    return imports.demo(spark)
 
 
 # Snapshots and streams

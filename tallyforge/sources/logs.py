@@ -15,7 +15,7 @@ from tallyforge.functions.scalars import digest, guarded, instant
 COUNTERS = ["input_tokens", "cache_read_tokens", "cache_write_tokens", "output_tokens", "reasoning_tokens"]
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SRC-01: file, line (1-based), value; blank lines are left out, a byte-order mark too."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n")).alias("line", "value"))
     return rows.filter(F.trim("value") != "").withColumn("line", F.col("line") + 1)

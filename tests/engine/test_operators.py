@@ -65,9 +65,9 @@ def test_guards_and_instants(spark):
 
 
 def priced(spark, **row):
-    base = {"model": "m", "ts": None, "input": 25000, "cache_read": 20000, "cache_write": 4000, "write_5m": 4000, "write_1h": 0, "output": 500, "speed": "standard", "geo": "eu"} | row
+    base = {"model": "m", "ts": None, "input": 25000, "cache_read": 20000, "cache_write": 4000, "write_5m": 4000, "write_1h": 0, "output": 500, "speed": "standard", "geo": "global"} | row
     df = spark.createDataFrame([tuple(base.values())], "model string, ts timestamp_ntz, input long, cache_read long, cache_write long, write_5m long, write_1h long, output long, speed string, geo string")
-    card = spark.sql("SELECT 'm' AS model, CAST(NULL AS TIMESTAMP_NTZ) AS effective_from, CAST(NULL AS TIMESTAMP_NTZ) AS effective_until, CAST(1 AS DECIMAL(10,4)) AS rate_input, CAST(0.1 AS DECIMAL(10,4)) AS rate_read, CAST(1.25 AS DECIMAL(10,4)) AS rate_5m, CAST(2 AS DECIMAL(10,4)) AS rate_1h, CAST(22 AS DECIMAL(10,4)) AS rate_output, CAST(2 AS DECIMAL(8,4)) AS fast_multiplier")
+    card = spark.sql("SELECT 'm' AS model, 'anthropic' AS provider, CAST(NULL AS TIMESTAMP_NTZ) AS effective_from, CAST(NULL AS TIMESTAMP_NTZ) AS effective_until, CAST(1 AS DECIMAL(10,4)) AS rate_input, CAST(0.1 AS DECIMAL(10,4)) AS rate_read, CAST(1.25 AS DECIMAL(10,4)) AS rate_5m, CAST(2 AS DECIMAL(10,4)) AS rate_1h, CAST(22 AS DECIMAL(10,4)) AS rate_output, CAST(2 AS DECIMAL(8,4)) AS fast_multiplier")
     r = pricing.priced(pricing.effective(df, card)).first()
     return r.status, r.lower_cost, r.upper_cost
 
@@ -77,7 +77,7 @@ def test_prices(spark):
     assert priced(spark, speed="fast", geo="us")[1] == Decimal("0.041800000000")
     low = priced(spark, write_5m=None, write_1h=None)
     assert low == ("range", Decimal("0.019000000000"), Decimal("0.022000000000"))
-    assert priced(spark, output=None)[0] == "missing_usage" and priced(spark, cache_read=30000)[0] == "invalid_token_subsets" and priced(spark, model="z")[0] == "no_effective_rate" and priced(spark, write_1h=1)[0] == "invalid_cache_ttl_split"
+    assert priced(spark, output=None)[0] == "missing_usage" and priced(spark, cache_read=30000)[0] == "invalid_token_subsets" and priced(spark, model="z")[0] == "unknown_model" and priced(spark, write_1h=1)[0] == "invalid_cache_ttl_split"
 
 
 def test_sequences(spark):
