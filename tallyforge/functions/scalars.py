@@ -48,6 +48,12 @@ def instant(x: Column) -> Column:
     return F.when(number.isNotNull(), F.timestamp_millis(millis)).otherwise(text)
 
 
+def period_bound(x: Column, tz: str) -> Column:
+    """FLT-09: the instant of a period's bound; text without an offset is local time of the report's zone."""
+    naive = F.to_utc_timestamp(F.try_to_timestamp(F.when(~x.rlike(r"(Z|[+-]\d\d:?\d\d)$"), x)), tz)
+    return F.coalesce(instant(x), naive)
+
+
 def _accents() -> tuple[str, str]:
     """Letters that are a base letter with marks, and their bases (canonical decomposition); the marks themselves come last and have none."""
     bases = {c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn") for c in map(chr, range(0xC0, 0x2000))}

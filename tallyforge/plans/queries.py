@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import accounting, graph, joins, pricing, reports, retrieval, sequences, snapshots, usage
+from tallyforge.operators import accounting, graph, indexing, joins, pricing, reports, retrieval, sequences, snapshots, usage
 from tallyforge.sources import imports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -792,6 +792,60 @@ def line_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("upto").alias("characters"), F.md5(whole).alias("lines"))
 
 
+# Index tables
+@query("""WITH f AS (SELECT string_split(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1), '/') AS s, page_id FROM pages)
+SELECT 'language' AS "group", CASE WHEN page_id % 3 = 0 THEN 'html' WHEN page_id % 3 = 1 THEN 'xml' ELSE 'unknown' END AS label, count(*) AS files FROM f GROUP BY 1, 2
+UNION ALL SELECT 'module', CASE WHEN len(s) > 1 THEN array_to_string(s[1:least(len(s) - 1, 2)], '/') ELSE '.' END, count(*) FROM f GROUP BY 1, 2""")
+def inventory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-26."""
+    kind = F.when(F.col("page_id") % 3 == 0, "html").when(F.col("page_id") % 3 == 1, "xml")
+    return indexing.inventory_summary(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1).alias("path"), kind.alias("language")))
+
+
+@query("""WITH u AS (SELECT lang, source, length(text) > 5000 AS oversized, contains(text, '@') AS redacted FROM documents), e AS (SELECT 'all' AS kind, '' AS label, redacted, oversized FROM u UNION ALL SELECT 'lang', coalesce(lang, 'unknown'), redacted, oversized FROM u UNION ALL SELECT 'source', coalesce(source, 'unknown'), redacted, oversized FROM u)
+SELECT kind, label, count(*) AS units, count(*) FILTER (WHERE redacted) AS redacted, count(*) FILTER (WHERE oversized) AS oversized FROM e GROUP BY 1, 2""")
+def index_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-27."""
+    return indexing.index_counters(table(spark, sf_dir, "documents").select("lang", "source", (F.length("text") > 5000).alias("oversized"), F.contains("text", F.lit("@")).alias("redacted")), "lang", "source")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS span, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS hi FROM lineitem WHERE l_linenumber = 2),
+p AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS point, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS at_day FROM lineitem WHERE l_linenumber = 1)
+SELECT p.k, point, arg_min(span, (hi - lo, -lo, span)) AS span FROM p JOIN s ON p.k = s.k AND at_day BETWEEN lo AND hi GROUP BY 1, 2""")
+def enclosing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-20: second lines of orders are the spans, first lines the points; both are whole classes of lines."""
+    day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("name"), day.alias("lo"), (day + F.col("l_quantity").cast("long")).alias("hi"))
+    spans = rows.filter("l_linenumber = 2").withColumnRenamed("name", "span")
+    points = rows.filter("l_linenumber = 1").select("k", F.col("name").alias("point"), F.col("lo").alias("at"))
+    return indexing.enclosing(points, spans, "k", 16)
+
+
+@query("SELECT l_suppkey, sum(CAST(l_extendedprice AS DECIMAL(28,10)))::DOUBLE AS total FROM lineitem GROUP BY 1")
+def order_free_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-35."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(indexing.exact_sum(F.col("l_extendedprice")).alias("total"))
+
+
+@query("""WITH w AS (SELECT event_id, user_id AS source_id FROM events WHERE event_type = 'error') SELECT event_id, source_id FROM w WHERE source_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+def touched_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-07: errors whose user has a finished order."""
+    warnings = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", F.col("user_id").alias("source_id"))
+    return indexing.touched(warnings, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), "o_orderstatus"), F.col("o_orderstatus") == "F")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7 ORDER BY c_custkey LIMIT 1")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-21."""
+    return indexing.looked_up(table(spark, sf_dir, "customer"), "c_custkey", c_mktsegment="BUILDING", c_nationkey=7).select("c_custkey", "c_name")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) - INTERVAL 2 HOUR AS bound FROM orders""")
+def period_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-09: a bound without an offset is the report's local time."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.period_bound(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "+02:00").cast("timestamp_ntz").alias("bound"))
+
+
 # Displays, paths, tags, serialisation
 PATHS = ["CHANGES.md", "src/a.py", "docs/guide.md", "tests/test_a.py", "src/__tests__/b.ts", "web/x.spec.js", "vendor/lib.c", "static/app.min.js", "reports/q1.md", "src/newspaper.py", "a\\b/./../c", "/x//y/../z"]
 PATH_SQL = "['" + "', '".join(PATHS) + "'][1 + doc_id % 12]"

@@ -105,3 +105,79 @@ def collected(spark: SparkSession, agent: str, root: str) -> tuple[DataFrame, Da
     keep = [c for c in usage.columns if c not in ("id", "line")]
     whole = usage.groupBy("id").agg(*[(F.max(c) if c in logs.COUNTERS else F.min(c)).alias(c) for c in keep])
     return whole, logs.quality(lines)
+
+
+def agy_input(given: Column, read: Column, write: Column, output: Column, total: Column, includes_cache: Column) -> Column:
+    """SRC-09: a result's input tokens: as given where it is said to hold the cache and can, with the cache where it is said not to; unknown where cache is
+    reported and nothing is said, or where the total differs from input and output."""
+    cache = F.coalesce(read, F.lit(0)) + F.coalesce(write, F.lit(0))
+    known = F.when(includes_cache, F.when(cache <= given, given)).when(~includes_cache, given + cache)
+    return F.when(includes_cache.isNotNull(), known).when((cache == 0) & F.coalesce(total == given + output, F.lit(True)), given)
+
+
+#: Fixed columns of the store that is read; those from the fourth to the eighth must be numbers.
+STORE = ("id", "session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "created_at")
+
+
+def sqlite_usage(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-06: usage rows of SQLite stores, read as whole files into memory, never opened in place: file, problem, id, session_id, model, the counters, ts (the
+    store's instants are UTC without an offset). A store of another shape or that cannot be read is one row with its problem."""
+    import pyarrow as pa
+
+    def run(batches):
+        import sqlite3
+
+        for batch in batches:
+            for file, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                con, rows = sqlite3.connect(":memory:"), []
+                try:
+                    con.deserialize(content.as_py())
+                    kinds = {r[1]: r[2].upper() for r in con.execute("PRAGMA table_info(assistant_usage_events)")}
+                    if all(c in kinds for c in STORE) and all(any(k in kinds[c] for k in ("INT", "REAL", "FLOA", "DOUB", "NUM", "DEC")) for c in STORE[3:8]):
+                        rows = [(file, None, *(None if x is None else str(x) for x in r)) for r in con.execute(f"SELECT {', '.join(STORE)} FROM assistant_usage_events")]
+                    else:
+                        rows = [(file, "unsupported_sql_schema", *[None] * len(STORE))]
+                except sqlite3.Error:
+                    rows = [(file, "sql_snapshot_unreadable", *[None] * len(STORE))]
+                finally:
+                    con.close()
+                if rows:
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["file", "problem", *STORE])
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ", ".join(f"`{c}` string" for c in ("file", "problem", *STORE)))
+    naive = F.when(F.col("created_at").rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(\.\d+)?$"), F.concat(F.replace("created_at", F.lit(" "), F.lit("T")), F.lit("Z")))
+    counts = [guarded(F.col(c).try_cast("double")).cast("long").alias(c) for c in STORE[3:8]]
+    return raw.select("file", "problem", digest(F.lit("copilot"), F.lit("sql"), F.col("session_id"), F.col("id")).alias("id"), safe_name(F.col("session_id")).alias("session_id"), safe_name(F.col("model")).alias("model"), *counts, instant(F.coalesce(naive, F.col("created_at"))).alias("ts"))
+
+
+#: Kinds of evaluation questions.
+QUESTION_KINDS = ("where", "trace", "usage", "docs", "symbol", "absent")
+
+
+def questions(rows: DataFrame, kinds: tuple[str, ...] = QUESTION_KINDS) -> DataFrame:
+    """SRC-23: evaluation questions (value: a JSON object a row): id, corpus, question, kind, expected (path, start, end) and problem, which is null for a
+    sound one: unique ids, known kinds, ordered positive ranges; only absent questions expect nothing."""
+    of = lambda p: F.get_json_object("value", p)
+    expected = F.from_json(of("$.expected"), "array<struct<path:string,start:int,end:int>>")
+    q = rows.select(*[of(f"$.{c}").alias(c) for c in ("id", "corpus", "question", "kind")], expected.alias("expected"))
+    twice = q.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("twice"))
+    wrong = F.exists("expected", lambda t: t["path"].isNull() | (t["path"] == "") | ~F.coalesce((t["start"] > 0) & (t["end"] >= t["start"]), F.lit(False)))
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    problem = (
+        F.when(blank("id") | blank("corpus") | blank("question"), "missing_text").when(F.col("twice"), "duplicate_id").when(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), "unknown_kind")
+        .when(F.col("expected").isNull(), "no_list").when((F.col("kind") == "absent") != (F.size("expected") == 0), "absent_expects_nothing").when(wrong, "invalid_range")
+    )
+    return q.join(twice, "id", "left").select("id", "corpus", "question", "kind", "expected", problem.alias("problem"))
+
+
+def engine_results(rows: DataFrame) -> DataFrame:
+    """SRC-24: results of an engine (question, value: a JSON object with `results`): place, path, start_line, end_line, text and problem; a text must not have
+    more lines than its range, unless the mapping is approximate."""
+    each = F.from_json(F.get_json_object("value", "$.results"), "array<struct<path:string,startLine:int,endLine:int,text:string,lineMapping:string>>")
+    r = rows.select("question", F.posexplode(each).alias("place", "r")).select("question", (F.col("place") + 1).alias("place"), "r.*")
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + F.when((F.col("text") == "") | F.col("text").endswith("\n"), 0).otherwise(1)
+    problem = (
+        F.when(F.coalesce(F.col("path") == "", F.lit(True)), "missing_path").when(~F.coalesce((F.col("startLine") > 0) & (F.col("endLine") >= F.col("startLine")), F.lit(False)), "invalid_range").when(F.col("text").isNull(), "missing_text")
+        .when((F.coalesce("lineMapping", F.lit("exact")) != "approximate") & (n > F.col("endLine") - F.col("startLine") + 1), "text_exceeds_range")
+    )
+    return r.select("question", "place", "path", F.col("startLine").alias("start_line"), F.col("endLine").alias("end_line"), "text", problem.alias("problem"))
