@@ -1,9 +1,10 @@
-"""Fragments of source text: detectors, escapes, excerpts, contexts (SCL-10, SCL-14, SCL-15, SORT-08, TXT-09, TXT-14, FLT-11, FLT-25). What needs a parser or
+"""Fragments of source text: detectors, escapes, excerpts, contexts (SCL-10, SCL-14, SCL-15, SCL-27, SCL-28, SORT-08, WIN-15, TXT-09, TXT-14, FLT-11, FLT-25). What needs a parser or
 looks back and forth runs in Arrow batches."""
 
 from __future__ import annotations
 
 import ast
+import bisect
 import json
 import re
 from collections.abc import Iterable
@@ -159,3 +160,76 @@ def member_slice(files: DataFrame, members: DataFrame, selector: str, most: int
     rows = hits.join(files.select("path", F.split("text", r"\r?\n").alias("lines")), "path")
     part = F.transform(F.slice("lines", F.col("start_line"), n), lambda x, i: F.concat((F.col("start_line") + i).cast("string"), F.lit(": "), x))
     return rows.select("path", "id", F.array_join(part, "\n").alias("slice"), (F.col("end_line") - F.col("start_line") + 1 - n).alias("rest"))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))
+def overlapping_windows(lines: pa.Array, most: pa.Array) -> pa.Array:
+    """WIN-15: windows of whole lines (1-based, inclusive): up to 48 lines and `most` characters with the ends between them, one line at least; the next window
+    repeats up to eight lines of the last, fewer where they leave no room for a new one, so that each window adds a line."""
+    out = []
+    for texts, room in zip(lines.to_pylist(), most.to_pylist(), strict=True):
+        upto = [0]
+        for x in texts or []:
+            upto.append(upto[-1] + len(x) + 1)
+        n, lo, spans = len(upto) - 1, 0, []
+        while lo < n:
+            hi = max([h for h in range(lo + 1, min(n, lo + 48) + 1) if upto[h] - upto[lo] - 1 <= room], default=lo + 1)
+            spans.append({"first": lo + 1, "last": hi})
+            if hi == n:
+                break
+            lo = next((s for s in range(max(lo + 1, hi - 8), hi) if upto[hi + 1] - upto[s] - 1 <= room), hi)
+        out.append(spans)
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+
+
+#: Characters that JSON writes as two, and the most that a span may be worth.
+TWO, LARGEST = frozenset('\\"\b\f\n\r\t'), 1500
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def escaped_spans(text: pa.Array, most: pa.Array) -> pa.Array:
+    """SCL-28: half-open spans of a text whose JSON form has at most `most` (and 1500) characters each; they end after a blank line where there is one,
+    else after a line, else after a word, else anywhere."""
+    out = []
+    for x, room in zip(text.to_pylist(), most.to_pylist(), strict=True):
+        upto, spans, at = [0], [], 0
+        for c in x or "":
+            upto.append(upto[-1] + (2 if c in TWO else 6 if c < " " else 1))
+        limit = max(1, min(room, LARGEST))
+        while at < len(upto) - 1:
+            end = max(at + 1, bisect.bisect_right(upto, upto[at] + limit) - 1)
+            if end < len(upto) - 1:
+                part = x[at:end]
+                ends = [part.rfind(mark) + len(mark) for mark in ("\n\n", "\n") if mark in part]
+                word = max((i + 1 for i in range(1, len(part)) if part[i].isspace()), default=0)
+                end = at + (ends[0] if ends else word or len(part))
+            spans.append({"start": at, "end": end})
+            at = end
+        out.append(spans)
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+
+_PIECE = re.compile(r'"(?:\\.|[^"\\])*"|[{}\[\],:]')
+
+
+def member_span(text: str, name: str) -> tuple[int, int] | None:
+    """SCL-27: where the value of an object's own member stands in its text (half-open); the last of equal names counts, nested names do not."""
+    depth, key, begin, found = 0, None, None, None
+    last = None
+    for m in _PIECE.finditer(text):
+        piece = m[0]
+        if piece in "{[":
+            depth += 1
+        elif depth == 1 and piece == ":":
+            key, begin = last, m.end()
+        elif depth == 1 and piece in ",}" and begin is not None:
+            if json.loads(key) == name:
+                value = text[begin : m.start()]
+                found = begin + len(value) - len(value.lstrip()), begin + len(value.rstrip())
+            begin = None
+        if piece in "}]":
+            depth -= 1
+            if not depth:
+                return found
+        last = piece if piece[0] == '"' else last
+    return None

@@ -88,9 +88,9 @@ def bm25(units: DataFrame, questions: DataFrame, key: str, text: str, limit: int
     terms = questions.select("question", F.array_distinct(words("text")).alias("terms")).filter(F.size("terms") > 0)
     rows = units.select(F.col(key).alias("unit"), (F.lit("") if group is None else F.coalesce(F.col(group).cast("string"), F.lit(""))).alias("group"), words(F.coalesce(text, F.lit(""))).alias("terms"))
     total = rows.agg(F.count(F.lit(1)).alias("units"), F.avg(F.size("terms")).alias("mean")).first()
-    out = None
-    for block in range(-(-max(1, terms.count()) // BLOCK)):
-        part = terms.filter(F.pmod(F.xxhash64("question"), F.lit(-(-terms.count() // BLOCK) or 1)) == block)
+    out, blocks = None, -(-max(1, terms.count()) // BLOCK)
+    for block in range(blocks):
+        part = terms.filter(F.pmod(F.xxhash64("question"), F.lit(blocks)) == block)
         asked = part.select("question", F.explode("terms").alias("term"))
         df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         pairs = asked.join(df, "term", "left").fillna(0, ["df"]).toArrow()  # a block's questions and their words
@@ -270,6 +270,20 @@ def summary(metrics: DataFrame, latency: str | None = None) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("questions"), *means, F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall"), *tail)
 
 
+def summaries(metrics: DataFrame, *groups: str) -> DataFrame:
+    """AGG-41, SNK-12: the same means for all questions and by each of some labels alone: group, label and the summary's columns, in one scan."""
+    each = F.explode(F.array(F.struct(F.lit("all").alias("group"), F.lit("").alias("label")), *[F.struct(F.lit(g).alias("group"), F.col(g).cast("string").alias("label")) for g in groups]))
+    means = [F.round(F.avg(F.col(f"hit_{k}").cast("int")), 6).alias(f"hit_{k}") for k in (1, 3, 5, 10)]
+    rows = metrics.withColumn("g", each)
+    return rows.groupBy("g.group", "g.label").agg(F.count(F.lit(1)).alias("questions"), *means, F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+def evaluated(questions: DataFrame, expected: DataFrame, search: Callable[[DataFrame, int], DataFrame], *groups: str) -> DataFrame:
+    """UDF-08: the summaries of any engine: search takes (questions, limit) and returns question, unit, place."""
+    found = question_metrics(search(questions, 10), expected, questions)
+    return summaries(found.join(questions.select("question", *groups), "question"), *groups)
+
+
 def budget_metrics(results: DataFrame, expected: DataFrame, budget: int) -> DataFrame:
     """AGG-23: within the first 4 x budget characters in order of place: characters of expected units, of all, and the hit."""
     before = F.coalesce(F.sum("characters").over(Window.partitionBy("question").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -425,7 +425,7 @@ def replay_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT c_custkey AS k, c_custkey // 3 AS parent, c_mktsegment = 'BUILDING' AS chosen FROM customer)
 SELECT k, parent FROM s WHERE chosen UNION ALL SELECT k, parent FROM s WHERE NOT chosen AND parent IN (SELECT k FROM s WHERE chosen)""")
 def lineage_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-07, JOIN-06, JOIN-07."""
+    """FLT-07, JOIN-06."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"), (F.col("c_mktsegment") == "BUILDING").alias("chosen"))
     return joins.lineage(rows, F.col("chosen"), "k", "parent").select("k", "parent")
 
@@ -441,7 +441,7 @@ def task_map_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CASE WHEN event_type = 'click' AND user_id % 10 = 3 THEN 'exact' WHEN event_type IN ('click', 'view') THEN 'any-' || event_type END AS provider FROM events""")
 def attribution_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-09, SCL-25."""
+    """JOIN-09."""
     mapping = spark.createDataFrame([("click", "3", "exact"), ("click", "*", "any-click"), ("view", "*", "any-view")], "agent string, session string, provider string")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("agent"), (F.col("user_id") % 10).cast("string").alias("session"))
     return joins.with_wildcard(rows, mapping, "agent", "session", "provider").select("event_id", "provider")
@@ -450,7 +450,7 @@ def attribution_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + l_linenumber AS hi FROM lineitem)
 SELECT a.l_suppkey, a.l_orderkey AS a_order, a.l_linenumber AS a_line, b.l_orderkey AS b_order, b.l_linenumber AS b_line FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.lo <= b.hi AND a.hi >= b.lo WHERE a.l_orderkey % 2 = 0 AND b.l_orderkey % 2 = 1""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-15, WIN-20."""
+    """JOIN-15."""
     day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     rows = table(spark, sf_dir, "lineitem")
     side = lambda x, odd: rows.filter(F.col("l_orderkey") % 2 == odd).select("l_suppkey", F.col("l_orderkey").alias(f"{x}_order"), F.col("l_linenumber").alias(f"{x}_line"), day.alias(f"{x}_lo"), (day + F.col("l_linenumber")).alias(f"{x}_hi"))
@@ -575,7 +575,7 @@ def html_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT l_returnflag || l_linestatus AS form, l_orderkey * 10 + l_linenumber AS run, l_extendedprice AS x FROM lineitem), m AS (SELECT form, median(x) AS median, min(x) AS least, max(x) AS most, count(x) AS n FROM r GROUP BY form),
 d AS (SELECT r.form, run, row_number() OVER (PARTITION BY r.form ORDER BY abs(x - median), run) AS k FROM r JOIN m ON r.form = m.form) SELECT m.form, median, least, most, n, run AS representative FROM m JOIN d ON m.form = d.form AND k = 1""")
 def run_median_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-20, SORT-12, SRC-26."""
+    """AGG-20, SORT-12."""
     rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("form"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run"), F.col("l_extendedprice").alias("x"))
     return snapshots.run_summary(rows, "form", "run", "x")
 
@@ -668,7 +668,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25}, {METRICS} SELECT * FROM m")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-22, UDF-08."""
+    """AGG-22."""
     return metrics(spark, sf_dir)
 
 
@@ -679,6 +679,16 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.summary(metrics(spark, sf_dir), "question")
 
 
+@query(f"""WITH {BM25}, {METRICS}, k AS (SELECT *, 'kind-' || (question % 3) AS kind, 'corpus-' || (question % 2) AS corpus FROM m), e AS (SELECT *, 'all' AS "group", '' AS label FROM k UNION ALL SELECT *, 'kind', kind FROM k UNION ALL SELECT *, 'corpus', corpus FROM k)
+SELECT "group", label, count(*) AS questions, round(avg(hit_1::INT), 6) AS hit_1, round(avg(hit_3::INT), 6) AS hit_3, round(avg(hit_5::INT), 6) AS hit_5, round(avg(hit_10::INT), 6) AS hit_10, round(avg(reciprocal_rank), 6) AS mrr, round(avg(recall), 6) AS recall FROM e GROUP BY 1, 2""")
+def eval_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-41, UDF-08, SNK-12."""
+    label = lambda name, n: F.concat(F.lit(name), (F.col("item_id") % n).cast("string"))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), "text", label("kind-", 3).alias("kind"), label("corpus-", 2).alias("corpus"))
+    search = lambda q, limit: retrieval.bm25(table(spark, sf_dir, "documents"), q, "doc_id", "text", limit)
+    return retrieval.evaluated(questions, expected(spark, sf_dir), search, "kind", "corpus")
+
+
 @query(f"""WITH {BM25}, {EXPECTED}, r AS (SELECT question, unit, place, length(text) AS characters, coalesce(sum(length(text)) OVER (PARTITION BY question ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked JOIN documents ON doc_id = unit WHERE place <= 10),
 u AS (SELECT r.question, greatest(0, least(characters, 8000 - before)) AS used, x.unit IS NOT NULL AS ok FROM r LEFT JOIN x USING (question, unit))
 SELECT question, sum(used)::BIGINT AS used_characters, sum(CASE WHEN ok THEN used ELSE 0 END)::BIGINT AS right_characters, bool_or(ok) AS hit FROM u WHERE used > 0 GROUP BY question""")
@@ -971,7 +981,7 @@ def symbol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT source, count(*) AS units, count(vec_id) AS embedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source""")
 def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-12, AGG-26 to AGG-28."""
+    """JOIN-12, AGG-28."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return reports.covered(table(spark, sf_dir, "documents").select("doc_id", "source"), vectors, "source", "doc_id")
 

@@ -107,6 +107,13 @@ def copilot(rows: DataFrame) -> DataFrame:
     return deduplicated(own.select(*_row("copilot", F.coalesce(_at("$.sessionId"), F.col("file")), model, _at("$.timestamp"), counters, [request]), "line"))
 
 
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-02: file, value (null where the file is no JSON object) and warning, a row a file."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    ok = F.coalesce(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull(), F.lit(False))
+    return raw.select("file", F.when(ok, F.col("value")).alias("value"), F.when(~ok, "malformed_json").alias("warning"))
+
+
 def grok(spark: SparkSession, path: str) -> DataFrame:
     """SRC-02, SRC-07: one JSON object a file; modelUsage is a map by model or a list with models. A total unlike input + output leaves input unknown."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.try_parse_json("value").isNotNull())

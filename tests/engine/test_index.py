@@ -91,3 +91,32 @@ def test_sources(spark, tmp_path):
     results = {"results": [{"path": "a", "startLine": 1, "endLine": 2, "text": "x\ny\n"}, {"path": "a", "startLine": 1, "endLine": 1, "text": "x\ny"}, {"path": "a", "startLine": 1, "endLine": 1, "text": "x\ny", "lineMapping": "approximate"}, {"path": "", "startLine": 1, "endLine": 1, "text": ""}, {"path": "a", "startLine": 0, "endLine": 1, "text": ""}]}
     got = imports.engine_results(spark.createDataFrame([("q", json.dumps(results))], "question string, value string")).orderBy("place").collect()
     assert [r.problem for r in got] == [None, "text_exceeds_range", None, "missing_path", "invalid_range"]
+
+
+def test_windows_spans_and_members(spark, tmp_path):
+    import random
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lines = F.array(*[F.lit("x" * n) for n in [3] * 100])
+    spans = lambda xs, most: [tuple(r) for r in one(code.overlapping_windows(xs, F.lit(most)))]
+    assert spans(lines, 10_000) == [(1, 48), (41, 88), (81, 100)]
+    assert spans(F.array(*[F.lit("x" * n) for n in (5, 5, 30, 5)]), 11) == [(1, 2), (3, 3), (4, 4)] and spans(F.array().cast("array<string>"), 5) == []
+    text = "one two\n\nthree four five\nsix " + "y" * 40 + '\u0001"'
+    got = [tuple(r) for r in one(code.escaped_spans(F.lit(text), F.lit(20)))]
+    assert [text[a:b] for a, b in got][:2] == ["one two\n\n", "three four five\n"] and "".join(text[a:b] for a, b in got) == text
+    assert all(len(json.dumps(text[a:b])) - 2 <= 20 for a, b in got)
+    rng = random.Random(1)
+    value = lambda d: rng.choice([1, "a,b}", None, True, {"k": 1}] if d > 2 else [[value(d + 1) for _ in range(2)], {rng.choice("kmn"): value(d + 1) for _ in range(3)}, "q\\\"{"])
+    for _ in range(60):
+        obj = {k: value(0) for k in rng.sample("abkmn", 4)}
+        t = json.dumps(obj, indent=rng.choice([None, 2]))
+        for k in "abkmn":
+            at = code.member_span(t, k)
+            assert (at is None) == (k not in obj) and (at is None or json.loads(t[at[0] : at[1]]) == obj[k])
+    assert code.member_span('{"a": 1, "a": 22}', "a") == (14, 16)
+    (tmp_path / "a.json").write_text('\ufeff{"x": 1}')
+    (tmp_path / "b.json").write_text("[1]")
+    (tmp_path / "c.json").write_text('{"x": ')
+    from tallyforge.sources import logs
+
+    assert sorted((r.file[-6:], r.value, r.warning) for r in logs.json_objects(spark, f"file://{tmp_path}/*.json").collect()) == [("a.json", '{"x": 1}', None), ("b.json", None, "malformed_json"), ("c.json", None, "malformed_json")]
