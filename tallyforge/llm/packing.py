@@ -9,6 +9,8 @@ partitions without a sequential pass over the data. When a queue cannot fill ano
 window; when it runs dry, the other queues share its part. Less than one window at the end becomes sequences whose
 lengths are powers of two, which need no padding; all other sequences are full.
 
+A cycle's plan needs a row for each queue: beyond QUEUES sources, the smallest ones share a queue.
+
 Steps: tokenise once into a table in the shared folder (each task knows how far its own rows reach in each queue); add
 up partitions x sources, the only thing that is ordered; cut every document at the windows' edges.
 
@@ -33,6 +35,9 @@ from pyspark.sql.window import Window
 from tallyforge.llm.shared import stored, text_or_empty
 
 WINDOW, BURST, CYCLE = 2048, 256, 256
+#: Sources with a queue of their own, those with most tokens (and all that targets name); the others share one queue, in which each has its part. What
+#: the driver plans and broadcasts is bounded by it, however many sources there are.
+QUEUES = 4096
 #: Words that a worker remembers twice over, and the longest one worth remembering.
 REMEMBERED, LONGEST = 120_000, 64
 #: What a byte-level BPE splits texts by.
@@ -260,22 +265,31 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = 1
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     tokens = stored(tokenised(docs, tokenizer, end_id), "pack-tokens", codec="zstd")
     parts = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "pack-parts")
-    totals = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).toLocalIterator()}  # one row a source
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(parts.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "pack-bases")
-    schedule = docs.sparkSession.sparkContext.broadcast(Schedule(totals, targets, window, burst, cycle))
+    sizes = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    named = F.col("source").isin(*targets) if targets else F.lit(False)
+    own = sizes.orderBy(F.desc(named), F.desc("n"), "source").limit(QUEUES)
+    totals = {f"own:{r['source']}": r["n"] for r in own.toLocalIterator()}  # QUEUES rows at most
+    rest = (sizes.agg(F.sum("n")).first()[0] or 0) - sum(totals.values())
+    if rest:
+        totals["rest"] = rest
+    queue = F.when(F.col("mine"), F.concat(F.lit("own:"), "source")).otherwise("rest")
+    queued = parts.join(own.select("source", F.lit(True).alias("mine")), "source", "left").withColumn("queue", queue)
+    before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stored(queued.select("part", "source", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "pack-bases")
+    weights = {f"own:{k}": v for k, v in targets.items()} if targets else None
+    schedule = docs.sparkSession.sparkContext.broadcast(Schedule(totals, weights, window, burst, cycle))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = schedule.value
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("doc_id", "source", "n", "start")]
+            columns = [batch[c].to_pylist() for c in ("doc_id", "source", "queue", "n", "start")]
             out, size = [], 0
-            for row, (doc, source, n, start) in enumerate(zip(*columns, strict=True)):
+            for row, (doc, source, queue, n, start) in enumerate(zip(*columns, strict=True)):
                 blob = batch["ids"][row].as_buffer()
                 if not n:
                     continue
                 ids = np.frombuffer(blob, f"<u{len(blob) // n}").astype("<u4").tobytes()  # bytes: Arrow keeps a hold of each memoryview that it is given
-                for at, took, sequence, offset in plan.pieces(source, start, n):
+                for at, took, sequence, offset in plan.pieces(queue, start, n):
                     out.append((doc, source, at, took, n, sequence, offset, ids[4 * at : 4 * (at + took)]))
                 size += len(ids)
                 if size > 8 << 20:
@@ -290,5 +304,5 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = 1
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    placed = tokens.join(bases, ["part", "source"]).select("doc_id", "source", "n", (F.col("at") + F.col("base")).alias("start"), "ids")
+    placed = tokens.join(bases, ["part", "source"]).select("doc_id", "source", "queue", "n", (F.col("at") + F.col("base")).alias("start"), "ids")
     return placed.mapInArrow(cut, ", ".join(f"`{n}` {'string' if n == 'source' else 'binary' if n == 'ids' else 'long'}" for n in names))

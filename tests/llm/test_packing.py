@@ -55,6 +55,18 @@ def test_whole_and_gapless(spark):
     check(packing.packed(df, window=64, burst=16, cycle=8, targets={"a": 3, "hot": 1}).collect(), ids_of, 64)
 
 
+def test_small_sources_share_a_queue(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    rows = [(i, "word " * (i % 37 + (200 if i % 9 == 0 else 0)), ["big", "rest", None, *[f"s{k}" for k in range(20)]][0 if i % 9 == 0 else i % 23]) for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids_of = {i: plain.encode(t, add_special_tokens=False).ids + [1] for i, t, _ in rows}
+    got = packing.packed(df, window=64, burst=16, cycle=8).collect()
+    check(got, ids_of, 64)
+    assert {r.doc_id: r.source for r in got} == {i: s or "" for i, _, s in rows}
+    check(packing.packed(df, window=64, burst=16, cycle=8, targets={"s3": 1}).collect(), ids_of, 64)
+
+
 def test_empty(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
