@@ -17,13 +17,20 @@ from pyspark.sql.window import Window
 
 from tallyforge.functions.scalars import primary_terms, stem, words
 
-#: Languages whose comments are /* */ and //.
+#: Languages whose comments are /* */ and //.
 BRACED = ("javascript", "typescript", "tsx", "java", "c", "cpp", "c_sharp", "go", "rust", "kotlin", "swift", "scala", "groovy", "dart")
-#: Names of files that hold credentials.
+#: Names of files that hold credentials.
 CREDENTIALS = ("auth.json", "credentials.json", ".credentials.json", "hosts.yml", "secrets.env", "oauth_creds.json")
 SECRET_KEY = re.compile(r"(?i)(password|passwd|secret|token|api[_-]?key|authorization|cookie|credential|private[_-]?key)")
 
 
+#: SCL-14, fixed patterns: declarations of what a file depends on, with "S" for a string.
+WEB_IMPORTS = r'\b(?:import|export)\b[^;(\n]*?(?:from\s+)?"S"\s*;?|\b(?:const|let|var)\s+(?:[\w$]+|\{[^{};]*\})\s*=\s*require\(\s*"S"\s*\)\s*;?'
+IMPORTS = r'(?m)^\s*#\s*include\s*(?:<[^>\n]+>|"S")[^\S\n]*$|\b(?:package|import|using|use)\s+(?:static\s+)?[\w.*:]+\s*;?|\bimport\s*\(\s*(?:"S"\s*)+\)'
+#: TXT-09, fixed pattern: section and key lines of configurations.
+CONFIG_KEY = r"""^(?:\[[^\]]+\]|["\w.-]+["']?\s*[:=]|<(?![!?/])[\w:.-]+)"""
+
+
 def usage_path(path: str) -> str:
     """FLT-11: the path, unless its name is that of a file with credentials."""
     name = re.split(r"[/\\]", path)[-1]
@@ -72,9 +79,7 @@ def preamble(text: Column, language: Column) -> Column:
     require lines elsewhere. Strings count as one opaque piece, so that an address in one is no comment."""
     opaque = F.regexp_replace(text, r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|/\*[\s\S]*?\*/|//[^\n]*""", "$1")
     opaque = F.regexp_replace(opaque, r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)""", '"S"')
-    web = r'\b(?:import|export)\b[^;(\n]*?(?:from\s+)?"S"\s*;?|\b(?:const|let|var)\s+(?:[\w$]+|\{[^{};]*\})\s*=\s*require\(\s*"S"\s*\)\s*;?'
-    rest = r'(?m)^\s*#\s*include\s*(?:<[^>\n]+>|"S")[^\S\n]*$|\b(?:package|import|using|use)\s+(?:static\s+)?[\w.*:]+\s*;?|\bimport\s*\(\s*(?:"S"\s*)+\)'
-    left = F.when(language.isin("javascript", "typescript", "tsx"), F.regexp_replace(opaque, web, "")).otherwise(F.regexp_replace(opaque, rest, ""))
+    left = F.when(language.isin("javascript", "typescript", "tsx"), F.regexp_replace(opaque, WEB_IMPORTS, "")).otherwise(F.regexp_replace(opaque, IMPORTS, ""))
     known = language.isin(*BRACED, "php") & (F.trim(text, F.lit(" \t\r\n")) != "")
     return F.when(language == "python", python_preamble(text)).otherwise(known & (F.trim(left, F.lit(" \t\r\n")) == ""))
 
@@ -143,7 +148,7 @@ def excerpts(units: DataFrame) -> DataFrame:
 def config_contexts(lines: DataFrame) -> DataFrame:
     """TXT-09: lines (path, line, value) of configurations with the nearest section or key line at or before them: context, context_line. Before the first, the
     file's first line stands."""
-    own = F.when(F.trim("value").rlike(r"""^(?:\[[^\]]+\]|["\w.-]+["']?\s*[:=]|<(?![!?/])[\w:.-]+)"""), F.struct(F.trim("value").alias("text"), "line"))
+    own = F.when(F.trim("value").rlike(CONFIG_KEY), F.struct(F.trim("value").alias("text"), "line"))
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     near = F.coalesce(F.last(own, ignorenulls=True).over(w), F.first(F.struct(F.trim("value").alias("text"), F.lit(1).cast(lines.schema["line"].dataType).alias("line"))).over(w))
     return lines.withColumn("near", near).select(*lines.columns, F.col("near.text").alias("context"), F.col("near.line").alias("context_line"))
