@@ -38,10 +38,12 @@ WINDOW, BURST, CYCLE = 2048, 256, 256
 #: Sources with a queue of their own, those with most tokens (and all that targets name); the others share one queue, in which each has its part. What
 #: the driver plans and broadcasts is bounded by it, however many sources there are.
 QUEUES = 4096
-#: Words that a worker remembers twice over, and the longest one worth remembering.
-REMEMBERED, LONGEST = 120_000, 64
+#: Words that a worker remembers twice over (about 50 MB a generation), and the longest one worth remembering.
+REMEMBERED, LONGEST = 240_000, 64
 #: What a byte-level BPE splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Whether this machine's numbers must be turned round to be little-endian.
+SWAPPED = sys.byteorder == "big"
 #: Marks that may end a word as a piece of their own.
 ENDS = frozenset(".,;:!?)]}\"")
 
@@ -54,14 +56,14 @@ class Pieces(dict):
 
     def ids(self, piece: str) -> bytes:
         out = array(self.code, self.encode(piece.encode()))
-        if sys.byteorder == "big":
+        if SWAPPED:
             out.byteswap()
         return out.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         out = self.ids(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED // 4:
+            if len(self) >= REMEMBERED // 8:
                 self.clear()
             self[piece] = out
         return out
@@ -107,7 +109,7 @@ class Encoder(dict):
         """Ids of a word after a space. Two generations are remembered, so that frequent words outlast rare ones."""
         ids = self.older.get(word)
         if ids is None:
-            ids = self.encoded(" " + word)
+            ids = self.pieces.ids(" " + word) if self.by_chunk and word.isalpha() else self.encoded(" " + word)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
