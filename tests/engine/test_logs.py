@@ -51,6 +51,44 @@ def test_codex_increments(spark, write):
     assert {(r.bucket, r.used_percent, r.window_minutes) for r in q} == {("primary", 40.5, 300)}
 
 
+def codex_native(response, i, o, thread_i=None, thread_o=None, **more):
+    own = {"response_id": response, "usage": {"input_tokens": i, "output_tokens": o}}
+    if thread_i is not None:
+        own["thread_token_usage"] = {"input_tokens": thread_i, "output_tokens": thread_o}
+    return {"type": "token_usage_record", "timestamp": "2024-01-01T00:00:00Z", "payload": own | more}
+
+
+def codex_rows(rows):
+    return sorted((r.session_id, r.model, r.input_tokens, r.output_tokens) for r in rows.collect())
+
+
+def test_codex_native_records_end_the_snapshots(spark, write):
+    """Snapshots beyond what the first native record started from, or after it, are the same usage again."""
+    turn = lambda t, m: {"type": "turn_context", "payload": {"turn_id": t, "model": m}}
+    path = write("n.jsonl", [{"type": "session_meta", "payload": {"id": "own"}}, turn("a", "g1"), codex_snapshot(10, 1), codex_snapshot(30, 3), codex_native("r1", 20, 2, 30, 3, turn_id="b"), turn("b", "g2"), codex_snapshot(60, 9), codex_native("r2", 7, 1), codex_native("r2", 7, 4), codex_native("r3", 5, 5, thread_id="other"), codex_native(None, 5, 5)])
+    assert codex_rows(logs.codex(logs.lines(spark, path))) == [("own", "g1", 10, 1), ("own", "g2", 7, 4), ("own", "g2", 20, 2)]
+
+
+def test_codex_forks_leave_out_what_they_replay(spark, write):
+    parent = write("p.jsonl", [{"type": "session_meta", "payload": {"id": "up"}}, codex_snapshot(10, 1), codex_snapshot(20, 2)])
+    fork = write("f.jsonl", [{"type": "session_meta", "payload": {"id": "down", "forked_from_id": "up"}}, codex_snapshot(10, 1), codex_snapshot(20, 2), codex_snapshot(26, 5)])
+    inherits = write("i.jsonl", [{"type": "session_meta", "payload": {"id": "up"}}, codex_snapshot(20, 2), {"type": "session_meta", "payload": {"id": "late", "forked_from_id": "gone"}}, codex_snapshot(21, 3, 1, 1)])
+    unknown = write("u.jsonl", [{"type": "session_meta", "payload": {"id": "lost", "forked_from_id": "gone"}}, codex_snapshot(50, 5), codex_snapshot(60, 6)])
+    rows = logs.lines(spark, [parent, fork, inherits, unknown])
+    assert codex_rows(logs.codex(rows)) == [("down", "unknown", 6, 3), ("late", "unknown", 1, 1), ("up", "unknown", 10, 1), ("up", "unknown", 10, 1)]
+    assert {(r.session_id, r.parent_session_id) for r in logs.codex_lineage(rows).collect()} == {("up", None), ("down", "up"), ("late", "gone"), ("lost", "gone")}
+
+
+def test_claude_subagents_are_sessions_with_a_parent(spark, tmp_path):
+    folder = tmp_path / "top" / "subagents"
+    folder.mkdir(parents=True)
+    (folder / "child.jsonl").write_text(json.dumps(claude_row("1", "r", 3)) + "\n" + json.dumps({"type": "assistant", "message": {"model": "m", "usage": {"input_tokens": 1}}}))
+    (tmp_path / "top.jsonl").write_text(json.dumps(claude_row("2", "r", 4) | {"sessionId": "top"}))
+    rows = logs.lines(spark, [f"file://{folder}/child.jsonl", f"file://{tmp_path}/top.jsonl"])
+    assert {(r.session_id, r.output_tokens) for r in logs.claude(rows).collect()} == {("child", 3), ("top", 4)}
+    assert {(r.session_id, r.parent_session_id) for r in logs.claude_lineage(rows).collect()} == {("child", "top"), ("top", None)}
+
+
 def test_copilot_shapes(spark, write):
     path = write("d.jsonl", [{"type": "model.model_call_success", "sessionId": "s", "timestamp": 1700000000, "data": {"modelCall": {"model": "x", "request_id": "1"}, "responseUsage": {"prompt_tokens": 7, "completion_tokens": 2}}}, {"type": "assistant.usage", "sessionId": "s", "data": {"model": "y", "requestId": "2", "inputTokens": 3, "outputTokens": 1, "reasoningTokens": 5}}])
     got = sorted(((r.model, r.input_tokens, r.output_tokens, r.reasoning_tokens) for r in logs.copilot(logs.lines(spark, path)).collect()))
