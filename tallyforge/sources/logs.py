@@ -1,4 +1,4 @@
-"""Readers of agent logs: JSON lines with line numbers and quality counters, and adapters to the usage schema (SRC-01 to SRC-09, SRC-12, SRC-30).
+"""Readers of agent logs: JSON lines with line numbers and quality counters, and adapters to the usage schema (SRC-01 to SRC-05, SRC-07, SRC-08, SRC-30).
 
 A line that is no JSON object is counted, never an error. Every adapter is expressions and aggregates over lines; nothing is
 collected. Line numbers are those of the file, so that a file is read by one task and must be smaller than 2 GB; many files are many tasks.

@@ -134,3 +134,21 @@ def with_redaction(units: DataFrame, secrets: DataFrame) -> DataFrame:
     by_file = secrets.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("secret_lines"))
     hit = F.exists("secret_lines", lambda x: (x["first"] <= F.col("end_line")) & (x["last"] >= F.col("start_line")))
     return units.join(by_file, "path", "left").withColumn("redacted", F.coalesce(hit, F.lit(False))).drop("secret_lines")
+
+
+def java_texts(files: DataFrame, encoding: str = "utf-8") -> DataFrame:
+    """SRC-27: path, text of Java files in the given encoding, which is never guessed; a file that it does not fit raises."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["path"]].assign(text=[_strict(p, bytes(x), encoding) for p, x in zip(b["path"], b["content"], strict=True)])
+
+    rows = files.filter(F.lower("path").endswith(".java") & F.col("content").isNotNull()).select("path", "content")
+    return rows.mapInPandas(run, "path string, text string")
+
+
+def _strict(path: str, raw: bytes, encoding: str) -> str:
+    try:
+        return raw.decode(encoding).removeprefix("﻿")
+    except UnicodeDecodeError as error:
+        raise ValueError(f"{path} is not {encoding}: give the encoding of the build") from error
