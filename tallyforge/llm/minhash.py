@@ -13,10 +13,14 @@ likely as the sets are similar, so ROWS registers together make a band's key.
    maximum likelihood, and clearly dissimilar pairs (MARGIN below the threshold, over five standard errors) end there.
 3. What is left is confirmed or refused on the full sets. A pivot's set is sent once for a block of partners, not once a pair.
 4. Components of the links are found (components.py). A bucket whose members are in one component is done. In the others,
-   pairs of blocks of members meet, first by sizes and signs of the registers (two bits each), which tells the members that
-   have a likely partner in another component, then by full sets, as products of 0/1 matrices. Neither step yields pairs: the
-   first yields members, the second the components that it joins. Every pair of a bucket that could join two components is checked,
-   and work grows with the square of a bucket only where thousands of different texts lie just below the threshold.
+   the component with most members is the hub; its members are not compared with one another, only with the others, and the others
+   among themselves. Buckets with the same hub are one place, where a member stands once, if that is less work than each bucket
+   by itself. In a place pairs of blocks of members meet, first by sizes and signs of the registers (two bits each), which tells
+   the members that have a likely partner in another component, then by full sets, as products of 0/1 matrices. Neither step
+   yields pairs: the first yields members, the second the components that it joins. Every pair of a bucket that could join two
+   components is checked. A member is sent once for each block that it meets: once a place for a hub's member while the others fit
+   a block. Work grows with members times others, and with the square of a bucket only where thousands of different texts
+   lie just below the threshold.
 
 A pair at similarity s has no band in common with probability (1 - s**4)**32: 5e-6 at 0.75, less above. Signs refuse a pair
 at 0.75 with probability 1e-7 (they are 5.2 standard errors below what is expected there). Shingles are compared by 64-bit hashes.
@@ -282,19 +286,43 @@ def confirmed(rows: DataFrame) -> DataFrame:
     return rows.select("g", "side", "id", "root", "whole").repartition("g").sortWithinPartitions("g", "side", "id").mapInArrow(run, "a long, b long")
 
 
-def dealt(members: DataFrame, of: str, weight: Column, most: int) -> DataFrame:
-    """members of groups (column `of`), dealt out as pairs of blocks that hold about `most` of the weight each: adds g, side. A
-    block meets itself in a group without a side 1."""
-    sizes = members.groupBy(of).agg(F.ceil(F.sum(weight) / F.lit(most)).cast("int").alias("blocks"))
-    rows = members.join(sizes, of).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    g = F.xxhash64(of, F.least("own", "other"), F.greatest("own", "other"))
-    return rows.withColumn("g", g).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("blocks", "own", "other")
+def open_buckets(members: DataFrame) -> DataFrame:
+    """members (bucket, id, root, n) of buckets that hold several components, with hub (the bucket's component with most members, of
+    several the smallest) and pairs (of those outside the hub with any member, about)."""
+    size = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    most = F.max(F.struct("size", (F.lit(-1) - F.col("root")).alias("order"))).alias("m")
+    size = size.groupBy("bucket").agg(most, F.sum("size").alias("of")).filter("m.size < of")
+    pairs = (F.col("of") - F.col("m.size")).cast("double") * F.col("of")
+    return members.join(size.select("bucket", (F.lit(-1) - F.col("m.order")).alias("hub"), pairs.alias("pairs")), "bucket")
+
+
+def places(members: DataFrame) -> DataFrame:
+    """place, hub, id, root, n of members (open_buckets). place: all buckets of a hub, a member once, where that makes no more pairs
+    than its buckets make in all; else the bucket."""
+    apart = members.select("bucket", "hub", "pairs").distinct().groupBy("hub").agg(F.sum("pairs").alias("apart"))
+    whole = members.select("hub", "id", "root").distinct().groupBy("hub").agg(F.count_if(F.col("root") != F.col("hub")).alias("others"), F.count(F.lit(1)).alias("of"))
+    one = whole.join(apart, "hub").select("hub", (F.col("others").cast("double") * F.col("of") <= F.col("apart")).alias("one"))
+    place = F.when(F.col("one"), F.col("hub")).otherwise(F.col("bucket")).alias("place")
+    return members.join(one, "hub").select(place, "hub", "id", "root", "n").distinct()
+
+
+def dealt(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """members (place, hub, id, root, ...), dealt out as pairs of blocks that hold about `most` of the weight each: adds g, side. The hub's
+    blocks meet those of the others, which also meet one another; one that meets itself is a group without a side 1."""
+    own = F.col("root") == F.col("hub")
+    blocks = lambda of: F.ceil(F.sum(F.when(of, weight).otherwise(0)) / F.lit(most)).cast("int")
+    sizes = members.groupBy("place", "hub").agg(blocks(own).alias("first"), F.greatest(blocks(~own), F.lit(1)).alias("rest"))
+    rows = members.join(sizes, ["place", "hub"])
+    spread = F.xxhash64(F.lit(5), "id")
+    rows = rows.withColumn("own", F.when(own, F.pmod(spread, "first")).otherwise(F.col("first") + F.pmod(spread, "rest")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(own, F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)))
+    g = F.xxhash64("place", "hub", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.withColumn("g", g).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("first", "rest", "own", "other")
 
 
 def plausible(members: DataFrame) -> DataFrame:
-    """bucket, id of members (bucket, id, root, n, sign) that meet, in their bucket, one of another component that could be a link
-    by its size and by the share of equal register signs."""
+    """place, hub, id of members (place, hub, id, root, n, sign) that meet, in their place, one of another component that could be a
+    link by its size and by the share of equal register signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -320,7 +348,8 @@ def plausible(members: DataFrame) -> DataFrame:
                 good[x[i[hit]]] = True
                 good[right[j[hit]]] = True
             if good.any():
-                yield pa.record_batch([t["bucket"].combine_chunks().take(pa.array(np.flatnonzero(good))), pa.array(ids[good])], ["bucket", "id"])
+                place, hub = (t[c].combine_chunks().take(pa.array(np.flatnonzero(good))) for c in ("place", "hub"))
+                yield pa.record_batch([place, hub, pa.array(ids[good])], ["place", "hub", "id"])
 
         for batch in batches:
             if not len(batch):
@@ -334,9 +363,9 @@ def plausible(members: DataFrame) -> DataFrame:
                 held.append(batch.slice(s, e - s))
         yield from ended()
 
-    rows = dealt(members, "bucket", F.lit(1), SIGNS_BLOCK)
-    rows = rows.select("g", "side", "bucket", "id", "root", "n", "sign").repartition("g").sortWithinPartitions("g", "side", "id")
-    return rows.mapInArrow(run, "bucket long, id long").distinct()
+    rows = dealt(members, F.lit(1), SIGNS_BLOCK)
+    rows = rows.select("g", "side", "place", "hub", "id", "root", "n", "sign").repartition("g").sortWithinPartitions("g", "side", "id")
+    return rows.mapInArrow(run, "place long, hub long, id long").distinct()
 
 
 def near_groups(docs: DataFrame, rows_too: bool = False) -> DataFrame:
@@ -384,16 +413,15 @@ def near_groups(docs: DataFrame, rows_too: bool = False) -> DataFrame:
 
     # buckets whose members are not in one component: all pairs that could join two
     left = met.select("bucket", "id", "n").join(root.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("root"))
-    parts = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    left = stored(left.join(parts, "bucket", "left_semi").join(known.select("id", "sign"), "id"), "near-open")
-    dropped(spark, met, known)
-    held = stored(plausible(left), "near-plausible")
+    left = stored(open_buckets(left), "near-apart")
+    members = stored(places(left).join(known.select("id", "sign"), "id"), "near-open")
+    dropped(spark, met, known, left)
+    held = stored(plausible(members), "near-plausible")
     missing = held.select("id").distinct().join(sets.select("id"), "id", "left_anti")
     more = stored(full_sets(docs, missing), "near-more")
-    members = held.join(left.select("bucket", "id", "root", "n"), ["bucket", "id"])
-    pairs = dealt(members, "bucket", F.lit(LIGHTEST) + F.col("n"), SETS_BLOCK)
+    pairs = dealt(held.join(members.drop("sign"), ["place", "hub", "id"]), F.lit(LIGHTEST) + F.col("n"), SETS_BLOCK)
     later = stored(confirmed(pairs.select("g", "side", "id", "root").join(sets.unionByName(more), "id")), "near-later")
-    dropped(spark, left, held, sets, more)
+    dropped(spark, members, held, sets, more)
     root = components(links.unionByName(later))
     dropped(spark, links, later)
 

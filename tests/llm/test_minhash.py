@@ -100,3 +100,33 @@ def test_just_below_the_threshold(spark, monkeypatch):
     want = brute(rows)
     assert {tuple(r) for r in got.collect()} == want
     assert 1 < len({c for _, _, c, _ in want}) < 90
+
+
+def test_rows_of_a_large_group(spark, monkeypatch):
+    """Near copies of one text and four texts just below the threshold: rows that full sets are sent with grow as the group does."""
+    for name, value in (("SIGNS_BLOCK", 16), ("SETS_BLOCK", 4000), ("LIGHTEST", 200)):
+        monkeypatch.setattr(minhash, name, value)
+    sent, real = [], minhash.confirmed
+
+    def counted(rows):
+        sent.append(rows.count())
+        return real(rows)
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    last = []
+    for copies in (50, 200):
+        rng = random.Random(3)
+        base = [f"b{i}" for i in range(150)]
+        rows = [(0, " ".join(base))]
+        for i in range(1, copies):
+            w = list(base)
+            for at in (10, 40, 70, 100, 130) if i < 5 else (10, 60):
+                w[at + rng.randrange(10)] = f"e{rng.randrange(10**6)}"
+            rows.append((i, " ".join(w)))
+        got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        want = brute(rows)
+        assert {tuple(r) for r in got.collect()} == want
+        assert len({c for _, _, c, _ in want}) == 5
+        last.append(sent[-1])
+    print("rows sent", last)
+    assert 50 <= last[1] <= 5 * last[0]
