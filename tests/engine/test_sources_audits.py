@@ -2,6 +2,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyforge.operators.snapshots import run_summary
 from tallyforge.sources import audits, repository
 from tallyforge.streaming import ledger
@@ -58,3 +60,31 @@ def test_refresh_follows_changes_alone(spark):
     }
     rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in events.items()] + [("bad", "{"), ("null", None)], "name string, value string")
     assert {r["name"] for r in ledger.refresh_due(rows, "/w/repo", "mcp__own__").collect()} == {"edit", "roots"}
+
+
+def test_medians_of_odd_values(spark, monkeypatch):
+    import random
+    from collections import defaultdict
+    from math import inf, nan, nextafter
+
+    from tallyforge.operators import snapshots
+
+    pick = random.Random(3)
+    monkeypatch.setattr(snapshots, "PARTS", 8)
+    groups = {"one": [4.0], "two": [4.0, 9.0], "same": [2.0] * 9, "wide": [-1.7e308, 1.7e308, 3.0, 5e-324, 1e300], "near": [1.0, nextafter(1.0, 2.0)] * 3, "tiny": [0.0, 5e-324, 1e-323], "ends": [-inf, 1.0, 2.0, inf, nan], "long": [pick.expovariate(1) * 10 ** pick.randrange(6) for _ in range(200)], "even": [float(pick.randrange(9)) for _ in range(300)], "gap": [1.0, 1.0, 8.0, 9.0], "null": [None, 5.0, None, 7.0, 6.5], "none": [None, None]}
+    rows = [(g, i, x) for g, xs in groups.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "form string, run long, value double")
+    want = {r.form: (r.m, r.a, r.b, r.n) for r in df.groupBy("form").agg(F.median("value").alias("m"), F.min("value").alias("a"), F.max("value").alias("b"), F.count("value").alias("n")).collect()}
+    got = {r.form: ((r.median, r.least, r.most, r.n), r.representative) for r in run_summary(df, "form", "run", "value").collect()}
+    assert {k: str(v[0]) for k, v in got.items()} == {k: str(v) for k, v in want.items()}
+    by = defaultdict(list)
+    for g, i, x in rows:
+        by[g].append((x is None, 0 if x is None else abs(x - (want[g][0] or 0)), i))
+    for g in set(groups) - {"ends"}:
+        assert got[g][1] == min(by[g])[2], g
+
+
+def test_medians_sort_no_rows(spark):
+    df = spark.range(1000).selectExpr("'f' AS form", "id AS run", "double(id % 7) AS value")
+    plan = run_summary(df, "form", "run", "value")._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "median(" not in plan and "SortAggregate" not in plan
