@@ -72,6 +72,11 @@ def cost() -> tuple[Column, Column]:
     return price(low_w, low), price(high_w, high)
 
 
+def counted(requests: DataFrame, *only: str) -> DataFrame:
+    """Requests that are equal but for the columns `only` (what no price depends on) as one row, with request_count: each kind is priced once."""
+    return requests.groupBy(*[c for c in requests.columns if c not in only]).agg(F.count(F.lit(1)).alias("request_count"))
+
+
 def priced(requests: DataFrame) -> DataFrame:
     """SCL-24: adds lower_cost, upper_cost and status: priced, range, or why not. Of provider, service_tier, reasoning (requests), card_provider and
     ultrafast_multiplier (card), what is not there is unknown. The surcharge of `us` is one provider's, and a place that is neither

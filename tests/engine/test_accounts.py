@@ -113,3 +113,19 @@ def test_discovery_collection_and_report(spark, tmp_path):
     found = spark.createDataFrame([(i,) for i in range(10)], "id int")
     sound = lambda *ids, percent=30: reports.consistent(found, spark.createDataFrame([(i,) for i in ids], "id int"), "id", percent).first().sound
     assert sound(1, 2, 3) and not sound(1, 2, 3, 4) and not sound(1, 1) and not sound(1, 77) and sound(1, percent=0)
+
+
+def test_equal_requests_are_priced_once(spark, tmp_path):
+    from tallyforge.plans import queries
+
+    names = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    rows = [(i, 1 + i % 7, i % 11, 1.0 + i % 3, "ARN"[i % 3], "FO"[i % 2], datetime(1992 + i % 5, 1, 1)) for i in range(4000)]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = pricing.priced(pricing.effective(queries.requests(spark, str(tmp_path)), queries.card(spark))).select("model", queries.E7("lower_cost"), queries.E7("upper_cost"))
+    want = {}
+    for r in found.collect():
+        old = want.get(r.model, (0, 0, 0, 0))
+        want[r.model] = (old[0] + (r.lower_e7 or 0), old[1] + (r.upper_e7 or 0), old[2] + (r.lower_e7 is not None), old[3] + (r.lower_e7 is None))
+    got = queries.usage_costs(spark, str(tmp_path))
+    assert {r.model: tuple(r)[1:] for r in got.collect()} == want and want["A"][0] > 0
+    assert "request_count" in got._jdf.queryExecution().optimizedPlan().toString() and pricing.counted(pricing.effective(queries.requests(spark, str(tmp_path)), queries.card(spark)), "l_orderkey", "l_linenumber", "ts").count() < 2400
