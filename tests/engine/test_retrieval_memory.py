@@ -43,3 +43,13 @@ def test_more_vectors_than_wait(spark, monkeypatch):
     ask = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query long, q array<double>")
     got = {(r.query, r.place): r.id for r in retrieval.cosine_topk(vectors, ask, 5).collect()}
     assert got == {(1, k): 500 - k for k in range(1, 6)} | {(2, k): k - 1 for k in range(1, 6)}
+
+
+def test_units_meet_questions_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [[f"w{k}" for k in rng.integers(0, 40, 12)] for _ in range(6000)]
+    units = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words[:300])], "id long, text string")
+    questions = spark.createDataFrame([(i, f"w{i % 40} w{i * 7 % 40} w{i * 3 % 40}") for i in range(300)], "question long, text string")
+    batch = pa.record_batch([pa.array(range(6000)), pa.array([""] * 6000), pa.array(words)], ["unit", "group", "terms"])
+    out, most = peak(type(units), monkeypatch, lambda: retrieval.bm25(units, questions, "id", "text", 300), [batch])
+    assert most < 80 and len(out) == 90_000  # all scores and matches with their places: over 120
